@@ -24,9 +24,11 @@ def score_cells(scores: DataFrame, by: Sequence[str] = ("model",), weight: str |
     return scores.groupBy(*by, "pred").agg(count(1).alias("pos"), count(0).alias("neg"))
 
 
-def ranked_cells(cells: DataFrame, by: Sequence[str], ranges: int | None = None) -> DataFrame:
+def ranked_cells(cells: DataFrame, by: Sequence[str], ranges: int | None = None,
+                 points: Column | None = None) -> DataFrame:
     """Cells with running positives and negatives from the highest score down."""
-    return running_sums(cells, "pred", {"cum_pos": "pos", "cum_neg": "neg"}, by, descending=True, ranges=ranges)
+    return running_sums(cells, "pred", {"cum_pos": "pos", "cum_neg": "neg"}, by, descending=True, ranges=ranges,
+                        points=points)
 
 
 def roc_curve(scores: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
@@ -42,13 +44,14 @@ def roc_curve(scores: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
         *by, zero("n").alias("fpr"), zero("p").alias("tpr"), F.lit(float("inf")).alias("threshold")))
 
 
-def rank_metrics_of_cells(cells: DataFrame, by: Sequence[str], ranges: int | None = None) -> DataFrame:
+def rank_metrics_of_cells(cells: DataFrame, by: Sequence[str], ranges: int | None = None,
+                          points: Column | None = None) -> DataFrame:
     """Per group: ``auc`` (ties count half) and ``average_precision``; NULL where a class is missing."""
     by = list(by)
     cum_pos, cum_neg = F.col("cum_pos").cast("double"), F.col("cum_neg").cast("double")
     wins = F.col("neg") * (cum_pos - F.col("pos") / F.lit(2.0))
     precision = F.col("pos") * F.try_divide(cum_pos, cum_pos + cum_neg)
-    sums = ranked_cells(cells, by, ranges).groupBy(*by).agg(
+    sums = ranked_cells(cells, by, ranges, points).groupBy(*by).agg(
         F.sum(wins).alias("w"), F.sum(precision).alias("ap"),
         F.sum("pos").cast("double").alias("p"), F.sum("neg").cast("double").alias("n"))
     return sums.select(*by, F.try_divide(F.col("w"), F.col("p") * F.col("n")).alias("auc"),

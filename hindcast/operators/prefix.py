@@ -19,8 +19,14 @@ from hindcast.functions.scalars import quoted
 from hindcast.session import shuffle_width
 
 
-def cut_points(df: DataFrame, value: str, ranges: int) -> Column:
-    """A one-value subquery: approximate quantiles of ``value``, and every stride-th of them as a coarse list."""
+def cut_points(df: DataFrame, value: str, ranges: int, needed: Sequence[str] = ()) -> Column:
+    """A one-value subquery: approximate quantiles of ``value``, and every stride-th of them as a coarse list.
+
+    ``needed`` names columns that the main computation reads too. Reading them here as well keeps both plans alike,
+    so that Spark reuses one shuffle of ``df`` for both.
+    """
+    for c in needed:
+        df = df.where(F.col(c).isNotNull())
     probs = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
     points = F.percentile_approx(F.col(value).cast("double"), probs, F.lit(10 * ranges)).alias("p")
     coarse = F.filter("p", lambda _, i: (i + 1) % _stride(ranges) == 0)
@@ -54,13 +60,16 @@ def _offsets(df: DataFrame, by: Sequence[str], totals: Mapping[str, str], descen
 
 
 def running_sums(cells: DataFrame, value: str, sums: Mapping[str, str], by: Sequence[str] = (),
-                 descending: bool = False, ranges: int | None = None) -> DataFrame:
+                 descending: bool = False, ranges: int | None = None, points: Column | None = None) -> DataFrame:
     """Add running sums in the order of ``value`` within each group (inclusive of the row).
 
-    ``cells`` has at most one row per group and value. ``sums`` maps new column names to summed columns.
+    ``cells`` has at most one row per group and value. ``sums`` maps new column names to summed columns, which are not
+    NULL. ``points`` are cut points, where some cheaper table than ``cells`` has the same spread of values.
     """
     ranges = ranges or shuffle_width(cells.sparkSession)
-    placed = cells.withColumn("_range", value_range(cut_points(cells, value, ranges), F.col(value), ranges))
+    if points is None:
+        points = cut_points(cells, value, ranges, list(sums.values()))
+    placed = cells.withColumn("_range", value_range(points, F.col(value), ranges))
     return _running(placed, value, sums, by, descending)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -11,43 +11,54 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hindcast.functions.draws import key_hash, mix32_array, poisson1_array
-from hindcast.operators.metrics import rank_metrics_of_cells, score_cells
 from hindcast.operators.prefix import cut_points, value_range
-from hindcast.operators.sampling import bootstrap_draws
+from hindcast.operators.sampling import drawn_ordinals, row_ordinals
 from hindcast.session import shuffle_width
 
 BLOCK_CELLS = 4_000_000
 
 
-def bootstrap_aucs(scores: DataFrame, replicates: int, seed: int = 12345, key: str = "csn") -> DataFrame:
-    """AUC per (replicate, model) from n-of-n draws; all models see the same draws. One-class draws give NULL.
+def _hashed_weights(pdf: pd.DataFrame, replicates: int) -> Callable[[int, int], np.ndarray]:
+    """Poisson(1) weights from each row's hash: rows by replicates ``first`` to ``last``."""
+    slot = pdf["_slot"].to_numpy(np.uint64)[:, None]
+    return lambda first, last: poisson1_array(
+        mix32_array(slot + np.arange(first, last, dtype=np.uint64)[None, :] * np.uint64(2654435))).astype(np.float64)
 
-    ``scores`` has one row per model and key. Draws times rows are shuffled, so this suits modest tables;
-    ``poisson_aucs`` is the form for large ones.
-    """
-    draws = bootstrap_draws(scores.select(key).distinct(), replicates, seed, key)
-    cells = score_cells(draws.join(scores, key), ["b", "model"], "weight")
-    return rank_metrics_of_cells(cells, ["b", "model"]).drop("average_precision")
 
+def _listed_weights(pdf: pd.DataFrame, replicates: int) -> Callable[[int, int], np.ndarray]:
+    """Weights from each row's list of the replicates that drew it."""
+    lists = pdf["_draws"]
+    b = np.concatenate(lists.to_list()).astype(np.int64)
+    row = np.repeat(np.arange(len(pdf)), lists.map(len).to_numpy())
+    order = np.argsort(b, kind="stable")
+    b, row = b[order], row[order]
+
+    def block(first: int, last: int) -> np.ndarray:
+        lo, hi = np.searchsorted(b, [first, last])
+        width = last - first
+        flat = np.bincount(row[lo:hi] * width + (b[lo:hi] - first), minlength=len(pdf) * width)
+        return flat.reshape(len(pdf), width).astype(np.float64)
+
+    return block
 
-def _range_wins(replicates: int):
+
+def _range_wins(replicates: int, weights: Callable) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """Per group of rows: for each replicate the weights of positives and negatives, and the pairs won inside."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pred", ascending=False, kind="stable")
-        slot, pred = pdf["_slot"].to_numpy(np.uint64), pdf["pred"].to_numpy()
-        positive = pdf["label"].to_numpy() == 1
+        pred, positive = pdf["pred"].to_numpy(), pdf["label"].to_numpy() == 1
         starts = np.flatnonzero(np.r_[True, pred[1:] != pred[:-1]])
-        block = max(1, BLOCK_CELLS // len(pdf))
+        draw, width = weights(pdf, replicates), max(1, BLOCK_CELLS // len(pdf))
         parts = []
-        for first in range(0, replicates, block):
-            b = np.arange(first, min(first + block, replicates), dtype=np.uint64)
-            w = poisson1_array(mix32_array(slot[:, None] + b[None, :] * np.uint64(2654435))).astype(np.float64)
+        for first in range(0, replicates, width):
+            last = min(first + width, replicates)
+            w = draw(first, last)
             pos = np.add.reduceat(w * positive[:, None], starts, axis=0)
             neg = np.add.reduceat(w * ~positive[:, None], starts, axis=0)
             wins = (neg * (np.cumsum(pos, axis=0) - pos / 2)).sum(axis=0)
-            parts.append(pd.DataFrame({"b": b.astype(np.int32), "pos": pos.sum(axis=0), "neg": neg.sum(axis=0),
-                                       "wins": wins}))
+            parts.append(pd.DataFrame({"b": np.arange(first, last, dtype=np.int32), "pos": pos.sum(axis=0),
+                                       "neg": neg.sum(axis=0), "wins": wins}))
         out = pd.concat(parts)
         out["model"], out["_range"] = pdf["model"].iloc[0], pdf["_range"].iloc[0]
         return out[["model", "_range", "b", "pos", "neg", "wins"]]
@@ -55,24 +66,20 @@ def _range_wins(replicates: int):
     return run
 
 
-def poisson_aucs(scores: DataFrame, replicates: int, seed: int = 12345, key: str = "csn",
-                 ranges: int | None = None) -> DataFrame:
-    """AUC per (replicate, model) with Poisson(1) weights.
+def _aucs(rows: DataFrame, scores: DataFrame, replicates: int, weights: Callable, ranges: int) -> DataFrame:
+    """AUC per (replicate, model) from rows (model, label, pred, _slot and what ``weights`` reads).
 
-    Each score row is shuffled once, whatever the number of replicates: its weights are drawn from its key where it
-    lands. Scores are cut into ranges; a range gives its totals and the pairs won inside it, and ranges are then added
-    up. A score that is itself a cut point (so any score held by a large share of the rows) is a range of its own; in
-    it all pairs are ties, only the totals matter, and so it is dealt over many tasks.
+    Scores are cut into ranges; a range gives its totals and the pairs won inside it, and ranges are then added up. A
+    score that is itself a cut point (so any score held by a large share of the rows) is a range of its own; in it all
+    pairs are ties, only the totals matter, and so it is dealt over many tasks.
     """
-    ranges = ranges or shuffle_width(scores.sparkSession)
     points = cut_points(scores, "pred", ranges)
-    rows = key_hash(scores.select("model", key, "label", F.col("pred").cast("double")), seed, key, "_slot") \
-        .select("model", "label", "pred", "_slot")
     tied = F.array_contains(points["p"], F.col("pred"))
-    rows = rows.withColumn("_range", value_range(points, F.col("pred"), ranges) * 2 + tied.cast("int")) \
+    place = value_range(points, F.col("pred"), ranges) * 2 + F.coalesce(tied.cast("int"), F.lit(0))
+    rows = rows.withColumn("_range", place) \
         .withColumn("_salt", F.when(F.col("_range") % 2 == 1, F.pmod("_slot", F.lit(ranges))).otherwise(F.lit(0)))
     parts = rows.groupBy("model", "_range", "_salt").applyInPandas(
-        _range_wins(replicates), "model string, _range int, b int, pos double, neg double, wins double")
+        _range_wins(replicates, weights), "model string, _range int, b int, pos double, neg double, wins double")
     # The order of a range is fixed by its number: 2k+1 is cut point k+1, just above the open range 2k.
     per_range = parts.groupBy("model", "b", "_range").agg(
         F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum("wins").alias("wins")) \
@@ -84,6 +91,35 @@ def poisson_aucs(scores: DataFrame, replicates: int, seed: int = 12345, key: str
         .agg(F.try_divide(F.sum(won), F.sum("pos") * F.sum("neg")).alias("auc"))
 
 
+def bootstrap_aucs(scores: DataFrame, replicates: int, seed: int = 12345, key: str = "csn",
+                   ranges: int | None = None) -> DataFrame:
+    """AUC per (replicate, model) from n-of-n draws; all models see the same draws. One-class draws give NULL.
+
+    ``scores`` has one row per model and key. Replicates times rows draws are shuffled once, as lists of replicates per
+    row; for large tables use ``poisson_aucs``.
+    """
+    ranges = ranges or shuffle_width(scores.sparkSession)
+    keys = scores.select(key).distinct()
+    lists = drawn_ordinals(keys, replicates, seed, key).groupBy("ordinal").agg(F.collect_list("b").alias("_draws"))
+    rows = scores.select("model", key, "label", F.col("pred").cast("double")) \
+        .join(row_ordinals(keys, seed, key), key).join(lists, "ordinal") \
+        .select("model", "label", "pred", F.col("ordinal").alias("_slot"), "_draws")
+    return _aucs(rows, scores, replicates, _listed_weights, ranges)
+
+
+def poisson_aucs(scores: DataFrame, replicates: int, seed: int = 12345, key: str = "csn",
+                 ranges: int | None = None) -> DataFrame:
+    """AUC per (replicate, model) with Poisson(1) weights.
+
+    Each score row is shuffled once, whatever the number of replicates: its weights are drawn from its key where it
+    lands.
+    """
+    ranges = ranges or shuffle_width(scores.sparkSession)
+    rows = key_hash(scores.select("model", key, "label", F.col("pred").cast("double")), seed, key, "_slot") \
+        .select("model", "label", "pred", "_slot")
+    return _aucs(rows, scores, replicates, _hashed_weights, ranges)
+
+
 def auc_interval(aucs: DataFrame, ci: float = 95) -> DataFrame:
     """Mean and percentile interval per model over its replicates; draws with one class only are skipped."""
     low = (100 - ci) / 200

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from hindcast.functions.draws import key_hash, mix32, poisson1, uniform
 from hindcast.functions.scalars import quoted
 from hindcast.operators.prefix import random_rank
+from hindcast.session import shuffle_width
 
 
 def sample_one(df: DataFrame, seed: int, patient: str = "empi", key: str = "csn") -> DataFrame:
@@ -69,23 +70,40 @@ def stratified_folds(df: DataFrame, k: int = 5, seed: int = 42, label: str = "la
     return ranked.withColumn(out, ((F.col("_rank") - 1) % k).cast("int")).drop("_rank")
 
 
-def bootstrap_draws(df: DataFrame, replicates: int, seed: int = 12345, key: str = "csn") -> DataFrame:
-    """n-of-n resampling with replacement: (replicate, key, weight), weight being how often the row was drawn.
+def _replicated(df: DataFrame, replicates: int, seed: int, key: str) -> DataFrame:
+    """(key, _slot, b): every key once per replicate, with its hash. Keys are dealt out evenly before they multiply."""
+    keys = df.select(key).repartition(shuffle_width(df.sparkSession), key)
+    return key_hash(keys, seed, key, "_slot") \
+        .withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+
+
+def drawn_ordinals(df: DataFrame, replicates: int, seed: int = 12345, key: str = "csn") -> DataFrame:
+    """(b, ordinal): n draws per replicate of row numbers 0 to n-1, spread by row number.
 
-    Every row makes one draw per replicate, a hash of (seed, its key, replicate) that names the row drawn; equal draws
-    are counted on the map side. The work and the shuffle grow with replicates times rows; ``poisson_draws`` needs no shuffle.
+    Every row makes one draw per replicate, a hash of (seed, its key, replicate) that names the row drawn.
     """
-    ordinals = random_rank(df.select(key), seed, key, "ordinal").withColumn("ordinal", F.col("ordinal") - 1)
     n = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    rows = key_hash(df.select(key), seed, key, "_slot")
-    rows = rows.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    rows = _replicated(df, replicates, seed, key)
     rows = mix32(rows, F.col("_slot") + F.col("b") * F.lit(2654435), "_h1")
     rows = mix32(rows, F.col("_h1") + F.lit(seed), "_h2")
     u = (F.shiftleft("_h1", 21) + F.shiftrightunsigned("_h2", 11)) / F.lit(float(2**53))
-    # Never NULL, and declared so: else the join adds a filter that repeats the whole hash.
+    # Never NULL, and declared so: else a join on it adds a filter that repeats the whole hash.
     ordinal = F.coalesce(F.floor(u * n), F.lit(0).cast("bigint")).alias("ordinal")
-    picks = rows.select("b", ordinal).groupBy("b", "ordinal").agg(F.count(F.lit(1)).alias("weight"))
-    return picks.join(ordinals, "ordinal").select("b", key, "weight")
+    return rows.select("b", ordinal).repartition(shuffle_width(df.sparkSession), "ordinal")
+
+
+def row_ordinals(df: DataFrame, seed: int = 12345, key: str = "csn") -> DataFrame:
+    """(key, ordinal): the rows numbered from 0."""
+    return random_rank(df.select(key), seed, key, "ordinal").withColumn("ordinal", F.col("ordinal") - 1)
+
+
+def bootstrap_draws(df: DataFrame, replicates: int, seed: int = 12345, key: str = "csn") -> DataFrame:
+    """n-of-n resampling with replacement: (b, key, weight), weight being how often replicate b drew the row.
+
+    Replicates times rows draws are shuffled, once; ``poisson_draws`` needs no shuffle of them.
+    """
+    picks = drawn_ordinals(df, replicates, seed, key).groupBy("b", "ordinal").agg(F.count(F.lit(1)).alias("weight"))
+    return picks.join(row_ordinals(df, seed, key), "ordinal").select("b", key, "weight")
 
 
 def poisson_draws(df: DataFrame, replicates: int, seed: int = 12345, key: str = "csn") -> DataFrame:
@@ -93,16 +111,14 @@ def poisson_draws(df: DataFrame, replicates: int, seed: int = 12345, key: str =
 
     Sizes vary around n instead of being n, by a share of about 1/sqrt(n).
     """
-    rows = key_hash(df.select(key), seed, key, "_slot")
-    rows = rows.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    rows = _replicated(df, replicates, seed, key)
     rows = mix32(rows, F.col("_slot") + F.col("b") * F.lit(2654435), "_h1")
     return rows.select("b", key, poisson1(F.col("_h1")).cast("bigint").alias("weight")).where("weight > 0")
 
 
 def background_sample(df: DataFrame, draws: DataFrame, seed: int, key: str, draw: str = "draw") -> DataFrame:
     """One uniformly drawn row of ``df`` per row of ``draws``, with replacement."""
-    ordinals = random_rank(df.select(key), seed, key, "_ordinal").withColumn("_ordinal", F.col("_ordinal") - 1)
-    n = ordinals.agg(F.count(F.lit(1)).alias("n")).scalar()
-    picked = draws.withColumn("_ordinal", F.coalesce(F.floor(uniform(seed, draw) * n), F.lit(0).cast("bigint"))) \
-        .join(ordinals, "_ordinal")
-    return picked.drop("_ordinal").join(df, key)
+    n = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    ordinal = F.coalesce(F.floor(uniform(seed, draw) * n), F.lit(0).cast("bigint"))
+    picked = draws.withColumn("ordinal", ordinal).join(row_ordinals(df, seed, key), "ordinal")
+    return picked.drop("ordinal").join(df, key)
