@@ -32,7 +32,7 @@ def logistic_candidates(columns: Sequence[str]) -> list[str]:
     """Last lab values, then names containing ``n_``, then age and sex."""
     names = {c.lower(): c for c in columns}
     out = cols_like(columns, contains=": last") + cols_like(columns, contains="n_")
-    return out + [names[c] for c in ("pat_age", "sex_c") if c in names]
+    return list(dict.fromkeys(out + [names[c] for c in ("pat_age", "sex_c") if c in names]))
 
 
 def drop_columns(df: DataFrame, names: Sequence[str] = ("pat_id", "empi", "appt_date")) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hindcast.functions.scalars import grid_point, grid_rank, list_rank
-from hindcast.operators.prefix import exact_quantiles, running_sums
+from hindcast.operators.prefix import count_below, exact_quantiles, running_sums
 
 COUNTS = ("tn", "fp", "fn", "tp")
 
@@ -245,7 +245,7 @@ def subgroup_numeric(scores: DataFrame, column: str, target: float = 0.5, by: Se
         .groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("prob", "quantile"))).alias("e")) \
         .select(*by, F.col("e.quantile").alias("_edges"))
     # Groups are few here (models); each has one short array of edges.
-    tile = F.coalesce(F.size(F.filter("_edges", lambda e: e < F.col(column))), F.lit(0))
+    tile = count_below(F.col("_edges"), tiles, F.col(column))
     placed = scores.join(edges, by).withColumn("tile", tile).drop("_edges") \
         .where((F.col("tile") > 0) & (F.col("tile") < tiles))
     cut = nearest_grid_threshold(target)

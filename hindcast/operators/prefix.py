@@ -39,15 +39,30 @@ def _stride(ranges: int) -> int:
     return max(1, math.isqrt(ranges))
 
 
-def value_range(points: Column, value: Column, ranges: int) -> Column:
-    """The number of cut points below ``value``: a range number that rises with the value.
+def count_below(points: Column, size: int, value: Column, start: Column | None = None) -> Column:
+    """How many of the ``size`` rising entries of an array (from ``start`` on) lie below ``value``.
 
-    Coarse points first, then one stretch of fine points, so a row is compared with about 2 * sqrt(ranges) points.
+    A tree of comparisons, so a row costs log2(size) of them inside generated code. Entries past the end count as not
+    below.
     """
-    value, stride = value.cast("double"), _stride(ranges)
-    below = lambda points: F.array_position(F.sort_array(F.array_append(points, value)), value) - 1
-    skipped = (below(points["coarse"]) * stride).cast("int")
-    return F.coalesce((skipped + below(F.slice(points["p"], skipped + 1, stride))).cast("int"), F.lit(0))
+    def between(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        at = F.lit(mid) if start is None else start + mid
+        return F.when(F.get(points, at) < value, between(mid + 1, hi)).otherwise(between(lo, mid))
+
+    return between(0, size)
+
+
+def with_range(df: DataFrame, points: Column, value: str, ranges: int, out: str = "_range") -> DataFrame:
+    """Add ``out``: the number of cut points below ``value``, a range number that rises with the value.
+
+    Coarse points first, then the one stretch of fine points that is left.
+    """
+    stride, v = _stride(ranges), F.col(value).cast("double")
+    df = df.withColumn("_skip", count_below(points["coarse"], (ranges - 1) // stride, v) * stride)
+    return df.withColumn(out, F.col("_skip") + count_below(points["p"], stride, v, F.col("_skip"))).drop("_skip")
 
 
 def _offsets(df: DataFrame, by: Sequence[str], totals: Mapping[str, str], descending: bool) -> DataFrame:
@@ -61,16 +76,15 @@ def _offsets(df: DataFrame, by: Sequence[str], totals: Mapping[str, str], descen
 
 def running_sums(cells: DataFrame, value: str, sums: Mapping[str, str], by: Sequence[str] = (),
                  descending: bool = False, ranges: int | None = None, points: Column | None = None) -> DataFrame:
-    """Add running sums in the order of ``value`` within each group (inclusive of the row).
+    """Add running sums in the order of ``value`` within each group (inclusive of the row); NULL groups are left out.
 
     ``cells`` has at most one row per group and value. ``sums`` maps new column names to summed columns, which are not
     NULL. ``points`` are cut points, where some cheaper table than ``cells`` has the same spread of values.
     """
     ranges = ranges or shuffle_width(cells.sparkSession)
     if points is None:
-        points = cut_points(cells, value, ranges, list(sums.values()))
-    placed = cells.withColumn("_range", value_range(points, F.col(value), ranges))
-    return _running(placed, value, sums, by, descending)
+        points = cut_points(cells, value, ranges, [*by, *sums.values()])
+    return _running(with_range(cells, points, value, ranges), value, sums, by, descending)
 
 
 def _running(placed: DataFrame, value: str, sums: Mapping[str, str], by: Sequence[str],

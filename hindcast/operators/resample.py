@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hindcast.functions.draws import key_hash, mix32_array, poisson1_array
-from hindcast.operators.prefix import cut_points, value_range
+from hindcast.operators.prefix import cut_points, with_range
 from hindcast.operators.sampling import drawn_ordinals, row_ordinals
 from hindcast.session import shuffle_width
 
@@ -75,8 +75,8 @@ def _aucs(rows: DataFrame, scores: DataFrame, replicates: int, weights: Callable
     """
     points = cut_points(scores, "pred", ranges)
     tied = F.array_contains(points["p"], F.col("pred"))
-    place = value_range(points, F.col("pred"), ranges) * 2 + F.coalesce(tied.cast("int"), F.lit(0))
-    rows = rows.withColumn("_range", place) \
+    place = F.col("_range") * 2 + F.coalesce(tied.cast("int"), F.lit(0))
+    rows = with_range(rows, points, "pred", ranges).withColumn("_range", place) \
         .withColumn("_salt", F.when(F.col("_range") % 2 == 1, F.pmod("_slot", F.lit(ranges))).otherwise(F.lit(0)))
     parts = rows.groupBy("model", "_range", "_salt").applyInPandas(
         _range_wins(replicates, weights), "model string, _range int, b int, pos double, neg double, wins double")

@@ -34,12 +34,17 @@ def split_patients(df: DataFrame, seed: int = 123456, prop_train: float = 0.7, p
 
 def split_patients_exact(df: DataFrame, seed: int = 123456, prop_train: float = 0.7,
                          patient: str = "empi") -> DataFrame:
-    """Add ``group`` with exactly ``int(patients * prop_train)`` patients in train."""
-    patients = df.select(patient).distinct()
+    """Add ``group`` with exactly ``int(patients * prop_train)`` patients in train.
+
+    Only patient ids are ranked. What comes out is the last draw that still belongs to train; rows compare their own
+    patient's draw with it, so the table itself is neither joined nor shuffled.
+    """
+    patients = df.select(patient).where(F.col(patient).isNotNull()).distinct()
     size = patients.agg(F.floor(F.count(F.lit(1)) * F.lit(prop_train)).alias("n")).scalar()
-    sides = random_rank(patients, seed, patient).select(
-        patient, F.when(F.col("rank") <= size, F.lit("train")).otherwise(F.lit("test")).alias("group"))
-    return df.join(sides, patient)
+    draw = F.struct(uniform(seed, patient).alias("u"), F.col(patient).alias("k"))
+    last = random_rank(patients, seed, patient).where(F.col("rank") == size).select(draw.alias("d")).scalar()
+    in_train = F.coalesce(draw <= last, F.lit(False))
+    return df.withColumn("group", F.when(in_train, F.lit("train")).otherwise(F.lit("test")))
 
 
 def split_rows(df: DataFrame, seed: int = 42, test_size: float = 0.3, key: str = "csn") -> DataFrame:

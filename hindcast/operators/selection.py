@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hindcast.functions.scalars import quoted
-from hindcast.operators.prefix import exact_quantiles
+from hindcast.operators.prefix import count_below, exact_quantiles
 
 MAX_CORR_EXPRESSIONS = 300
 
@@ -123,7 +123,7 @@ def mutual_information(df: DataFrame, features: Sequence[str], label: str = "lab
         .groupBy("feature").agg(F.array_sort(F.collect_set("quantile")).alias("_edges"))
     # One short array per column of the table: small by construction.
     placed = rows.join(F.broadcast(edges), "feature") \
-        .withColumn("bin", F.size(F.filter("_edges", lambda e: e < F.col("value"))))
+        .withColumn("bin", count_below(F.col("_edges"), bins - 1, F.col("value")))
     counts = placed.groupBy("feature", "bin", label).agg(F.count(F.lit(1)).alias("n"))
     part = lambda *by: F.sum("n").over(Window.partitionBy(*by))
     joint = counts.select("feature", "n", part("feature", "bin").alias("nb"), part("feature", label).alias("nl"),

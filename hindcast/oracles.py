@@ -341,6 +341,36 @@ add("corr_pairs", "", " UNION ALL ".join(
     for i, a in enumerate(NAMES) for b in NAMES[i + 1:]))
 ORACLES["corr_pairs_wide"] = ORACLES["corr_pairs"]
 add("fs_mutual_info", "mi", f"SELECT feature, {r('score', 'score')} FROM mi")
+# The greedy walk over correlated features, as a recursion over feature positions.
+DERIVED = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber", "price_net", "price_gross",
+           "quantity_left", "constant"]
+WALK = {
+    "derived": """SELECT l_quantity, l_extendedprice, l_discount, l_tax, l_linenumber::DOUBLE AS l_linenumber,
+        l_extendedprice * (1::DOUBLE - l_discount) AS price_net, l_extendedprice * (1::DOUBLE + l_tax) AS price_gross,
+        50 - l_quantity AS quantity_left, 1::DOUBLE AS constant, CAST(l_returnflag = 'R' AS INT) AS label FROM lineitem""",
+    "derived_long": f"SELECT * FROM derived UNPIVOT (value FOR feature IN ({', '.join(DERIVED)}))",
+    "varying": f"""SELECT name, row_number() OVER (ORDER BY p) AS pos
+        FROM (SELECT unnest({DERIVED}) AS name, unnest(range({len(DERIVED)})) AS p)
+        WHERE name IN (SELECT feature FROM derived_long GROUP BY feature HAVING var_samp(value) <> 0)""",
+    "pair": " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS c FROM derived"
+                               for a in DERIVED[:-1] for b in DERIVED[:-1] if a != b),
+    "near": """SELECT v.pos, v.name, coalesce(list(w.name ORDER BY w.pos) FILTER (WHERE w.name IS NOT NULL), []) AS near
+        FROM varying v LEFT JOIN pair ON v.name = a AND c > 0.95 LEFT JOIN varying w ON w.name = b GROUP BY v.pos, v.name""",
+    "walk": """SELECT 0::BIGINT AS i, []::VARCHAR[] AS taken, NULL::VARCHAR AS rep, []::VARCHAR[] AS members UNION ALL
+        SELECT pos, CASE WHEN list_contains(taken, name) THEN taken ELSE list_concat(taken, near) END,
+            CASE WHEN NOT list_contains(taken, name) THEN name END, near FROM walk JOIN near ON pos = i + 1""",
+    "mi_all": VIEWS["mi"].replace("line_long", "derived_long"),
+}
+add("fs_corr_groups", "", """
+    SELECT CAST(row_number() OVER (ORDER BY i) - 1 AS INT) AS pos, rep AS representative, NULL::VARCHAR AS member
+    FROM walk WHERE false UNION ALL
+    SELECT CAST(g AS INT), rep, unnest(CASE WHEN len(members) = 0 THEN [NULL] ELSE members END)
+    FROM (SELECT *, row_number() OVER (ORDER BY i) - 1 AS g FROM walk WHERE rep IS NOT NULL)""", WALK)
+add("fs_final", "", """
+    SELECT CAST(row_number() OVER (ORDER BY i) - 1 AS INT) AS pos, rep AS feature FROM walk
+    WHERE rep IS NOT NULL AND rep IN (SELECT feature FROM mi_all WHERE score > 1e-6)""", WALK)
+for name in ("fs_corr_groups", "fs_final"):
+    ORACLES[name] = ORACLES[name].replace("WITH ", "WITH RECURSIVE ", 1)
 COUNT_NAMES = [f"n_{g}" for g in STAGE_GROUPS]
 ALL_NAMES = ["pat_age", "sex_c", *COUNT_NAMES]
 add("normalise", "enc stage_wide", f"SELECT csn, \"group\", " + ", ".join(
