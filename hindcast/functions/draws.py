@@ -16,6 +16,8 @@ MASK32 = 0xFFFFFFFF
 # Multipliers below 2**31, so a 32-bit value times one of them stays inside a signed 64-bit integer.
 MIX_STEPS = ((16, 0x7FEB352D), (15, 0x31848BAB))
 MIX_LAST_SHIFT = 14
+# What a row's hash moves by from one replicate to the next, before it is hashed again.
+REPLICATE_STEP = 2654435
 
 
 def uniform(seed: int, *keys: Column | str) -> Column:

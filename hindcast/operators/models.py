@@ -103,8 +103,8 @@ def _search(df: DataFrame, features: Sequence[str], estimator, points: Sequence[
     table = df.select(F.col(key), F.col("label").cast("double").alias("label"),
                       *[F.col(quoted(f)).cast("double").alias(f) for f in features])
     vectors = assembler(features).transform(stratified_folds(table, k_cv, 42, "label", key)).select(
-        "label", "features", "fold", (uniform(7, key) < 0.1).alias("held_out"))
-    prepared = materialize(vectors)
+        key, "label", "features", "fold", (uniform(7, key) < 0.1).alias("held_out"))
+    prepared = materialize(vectors, key).drop(key)
     maps = _param_maps(estimator, points)
     cv = CrossValidator(estimator=estimator, estimatorParamMaps=maps, evaluator=evaluator, numFolds=k_cv,
                         foldCol="fold", parallelism=parallelism)

@@ -10,9 +10,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hindcast.functions.draws import key_hash, mix32_array, poisson1_array
+from hindcast.functions.draws import REPLICATE_STEP, key_hash, mix32_array, poisson1_array
 from hindcast.operators.prefix import cut_points, with_range
-from hindcast.operators.sampling import drawn_ordinals, row_ordinals
+from hindcast.operators.sampling import drawn_rows, row_ordinals
 from hindcast.session import shuffle_width
 
 BLOCK_CELLS = 4_000_000
@@ -22,7 +22,7 @@ def _hashed_weights(pdf: pd.DataFrame, replicates: int) -> Callable[[int, int],
     """Poisson(1) weights from each row's hash: rows by replicates ``first`` to ``last``."""
     slot = pdf["_slot"].to_numpy(np.uint64)[:, None]
     return lambda first, last: poisson1_array(
-        mix32_array(slot + np.arange(first, last, dtype=np.uint64)[None, :] * np.uint64(2654435))).astype(np.float64)
+        mix32_array(slot + np.arange(first, last, dtype=np.uint64)[None, :] * np.uint64(REPLICATE_STEP))).astype(np.float64)
 
 
 def _listed_weights(pdf: pd.DataFrame, replicates: int) -> Callable[[int, int], np.ndarray]:
@@ -100,10 +100,9 @@ def bootstrap_aucs(scores: DataFrame, replicates: int, seed: int = 12345, key: s
     """
     ranges = ranges or shuffle_width(scores.sparkSession)
     keys = scores.select(key).distinct()
-    lists = drawn_ordinals(keys, replicates, seed, key).groupBy("ordinal").agg(F.collect_list("b").alias("_draws"))
     rows = scores.select("model", key, "label", F.col("pred").cast("double")) \
-        .join(row_ordinals(keys, seed, key), key).join(lists, "ordinal") \
-        .select("model", "label", "pred", F.col("ordinal").alias("_slot"), "_draws")
+        .join(row_ordinals(keys, seed, key), key).join(drawn_rows(keys, replicates, seed, key), "ordinal") \
+        .select("model", "label", "pred", F.col("ordinal").alias("_slot"), F.col("draws").alias("_draws"))
     return _aucs(rows, scores, replicates, _listed_weights, ranges)
 
 

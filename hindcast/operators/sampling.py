@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hindcast.functions.draws import key_hash, mix32, poisson1, uniform
+from hindcast.functions.draws import REPLICATE_STEP, key_hash, mix32, mix32_array, poisson1, uniform
 from hindcast.functions.scalars import quoted
 from hindcast.operators.prefix import random_rank
-from hindcast.session import shuffle_width
+from hindcast.session import spread
+
+DRAWS_AT_A_TIME = 4_000_000
 
 
 def sample_one(df: DataFrame, seed: int, patient: str = "empi", key: str = "csn") -> DataFrame:
@@ -75,26 +79,56 @@ def stratified_folds(df: DataFrame, k: int = 5, seed: int = 42, label: str = "la
     return ranked.withColumn(out, ((F.col("_rank") - 1) % k).cast("int")).drop("_rank")
 
 
-def _replicated(df: DataFrame, replicates: int, seed: int, key: str) -> DataFrame:
-    """(key, _slot, b): every key once per replicate, with its hash. Keys are dealt out evenly before they multiply."""
-    keys = df.select(key).repartition(shuffle_width(df.sparkSession), key)
-    return key_hash(keys, seed, key, "_slot") \
-        .withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-
-
-def drawn_ordinals(df: DataFrame, replicates: int, seed: int = 12345, key: str = "csn") -> DataFrame:
-    """(b, ordinal): n draws per replicate of row numbers 0 to n-1, spread by row number.
-
-    Every row makes one draw per replicate, a hash of (seed, its key, replicate) that names the row drawn.
+def _spread_keys(df: DataFrame, seed: int, key: str) -> DataFrame:
+    """(key, _slot): every key with its hash, dealt out evenly, for work that multiplies per key."""
+    return key_hash(spread(df.select(key), key), seed, key, "_slot")
+
+
+def _draw_lists(replicates: int, seed: int) -> Callable:
+    """From (_slot, _n) batches: the rows drawn, and for each the replicates whose draw it was."""
+
+    def lists(slot: np.ndarray, n: int) -> pa.RecordBatch:
+        b = np.arange(replicates, dtype=np.uint64)
+        h1 = mix32_array((slot[:, None] + b[None, :] * np.uint64(REPLICATE_STEP)).ravel())
+        h2 = mix32_array(h1 + np.uint64(seed))
+        unit = ((h1 << np.uint64(21)) + (h2 >> np.uint64(11))).astype(np.float64) / 2.0**53
+        ordinal = np.floor(unit * float(n)).astype(np.int64)
+        order = np.argsort(ordinal, kind="stable")
+        ordinal = ordinal[order]
+        starts = np.flatnonzero(np.r_[True, ordinal[1:] != ordinal[:-1]])
+        values = pa.array((order % replicates).astype(np.int32))
+        ends = pa.array(np.r_[starts, len(order)].astype(np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(ordinal[starts]), pa.ListArray.from_arrays(ends, values)],
+                                          names=["ordinal", "draws"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width, waiting, n = max(1, DRAWS_AT_A_TIME // replicates), [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n = batch.column("_n")[0].as_py()
+            waiting.append(batch.column("_slot").to_numpy().astype(np.uint64))
+            while sum(map(len, waiting)) >= width:
+                slots = np.concatenate(waiting)
+                yield lists(slots[:width], n)
+                waiting = [slots[width:]]
+        rest = np.concatenate(waiting) if waiting else np.array([])
+        if len(rest):
+            yield lists(rest, n)
+
+    return run
+
+
+def drawn_rows(df: DataFrame, replicates: int, seed: int = 12345, key: str = "csn") -> DataFrame:
+    """(ordinal, draws): for each drawn row number of 0 to n-1, the replicates that drew it, with repeats.
+
+    n-of-n resampling: every row makes one draw per replicate, a hash of (seed, its key, replicate) that names the row
+    drawn. Draws are made in arrays and leave a task as lists per row drawn.
     """
     n = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    rows = _replicated(df, replicates, seed, key)
-    rows = mix32(rows, F.col("_slot") + F.col("b") * F.lit(2654435), "_h1")
-    rows = mix32(rows, F.col("_h1") + F.lit(seed), "_h2")
-    u = (F.shiftleft("_h1", 21) + F.shiftrightunsigned("_h2", 11)) / F.lit(float(2**53))
-    # Never NULL, and declared so: else a join on it adds a filter that repeats the whole hash.
-    ordinal = F.coalesce(F.floor(u * n), F.lit(0).cast("bigint")).alias("ordinal")
-    return rows.select("b", ordinal).repartition(shuffle_width(df.sparkSession), "ordinal")
+    slots = _spread_keys(df, seed, key).select("_slot", n.alias("_n"))
+    parts = slots.mapInArrow(_draw_lists(replicates, seed), "ordinal long, draws array<int>")
+    return parts.groupBy("ordinal").agg(F.flatten(F.collect_list("draws")).alias("draws"))
 
 
 def row_ordinals(df: DataFrame, seed: int = 12345, key: str = "csn") -> DataFrame:
@@ -107,7 +141,8 @@ def bootstrap_draws(df: DataFrame, replicates: int, seed: int = 12345, key: str
 
     Replicates times rows draws are shuffled, once; ``poisson_draws`` needs no shuffle of them.
     """
-    picks = drawn_ordinals(df, replicates, seed, key).groupBy("b", "ordinal").agg(F.count(F.lit(1)).alias("weight"))
+    picks = drawn_rows(df, replicates, seed, key).select("ordinal", F.explode("draws").alias("b")) \
+        .groupBy("b", "ordinal").agg(F.count(F.lit(1)).alias("weight"))
     return picks.join(row_ordinals(df, seed, key), "ordinal").select("b", key, "weight")
 
 
@@ -116,8 +151,9 @@ def poisson_draws(df: DataFrame, replicates: int, seed: int = 12345, key: str =
 
     Sizes vary around n instead of being n, by a share of about 1/sqrt(n).
     """
-    rows = _replicated(df, replicates, seed, key)
-    rows = mix32(rows, F.col("_slot") + F.col("b") * F.lit(2654435), "_h1")
+    rows = _spread_keys(df, seed, key) \
+        .withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    rows = mix32(rows, F.col("_slot") + F.col("b") * F.lit(REPLICATE_STEP), "_h1")
     return rows.select("b", key, poisson1(F.col("_h1")).cast("bigint").alias("weight")).where("weight > 0")
 
 

@@ -3,7 +3,7 @@ no shared logic with the Spark side."""
 
 from __future__ import annotations
 
-from hindcast.functions.draws import MASK32, MIX_LAST_SHIFT, MIX_STEPS, POISSON_CUTS
+from hindcast.functions.draws import MASK32, MIX_LAST_SHIFT, MIX_STEPS, POISSON_CUTS, REPLICATE_STEP
 from hindcast.sources.clinical import DRIVER_TESTS, SITES, STAGE_GROUPS
 
 ORACLES: dict[str, str] = {}
@@ -310,7 +310,7 @@ def keyed(source: str, key: str, keep: str, seed: int = 12345) -> str:
 def exact_draws(replicates: int, seed: int = 12345) -> str:
     ordinals = f"SELECT csn, row_number() OVER (ORDER BY {u(seed, 'csn')}, csn) - 1 AS ordinal FROM enc"
     rows = f"SELECT _slot, b::BIGINT AS b FROM ({keyed('SELECT csn FROM enc', 'csn', 'csn')}), range({replicates}) t(b)"
-    h1 = mixed(rows, "_slot + b * 2654435", "_h1", "b")
+    h1 = mixed(rows, f"_slot + b * {REPLICATE_STEP}", "_h1", "b")
     h2 = mixed(h1, f"_h1 + {seed}", "_h2", "b, _h1")
     return f"""
         SELECT CAST(b AS INT) AS b, csn, count(*) AS weight FROM (
@@ -325,7 +325,7 @@ def poisson_draws(replicates: int) -> str:
     weight = " + ".join(f"CAST(_h1 >= {c} AS INT)" for c in POISSON_CUTS)
     return f"""
         SELECT CAST(b AS INT) AS b, csn, CAST({weight} AS BIGINT) AS weight
-        FROM ({mixed(rows, '_slot + b * 2654435', '_h1', 'csn, b')}) WHERE _h1 >= {POISSON_CUTS[0]}"""
+        FROM ({mixed(rows, f'_slot + b * {REPLICATE_STEP}', '_h1', 'csn, b')}) WHERE _h1 >= {POISSON_CUTS[0]}"""
 
 
 add("bootstrap_draws", "enc", exact_draws(20))

@@ -540,7 +540,7 @@ def _training(spark, sf) -> tuple[DataFrame, list[str]]:
     table = table.withColumn("label", F.col("death_date").isNotNull().cast("int"))
     names = candidate_features(table)
     kept = table.select("csn", "empi", "label", *[F.col(quoted(n)) for n in names])
-    return materialize(sampling.split_patients(kept)), names
+    return materialize(sampling.split_patients(kept), "csn"), names
 
 
 def _train_rows(table: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -41,13 +42,21 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt evenly over the session's shuffle width by a unique key, for work that is heavy per row.
+
+    A hash of the key, not the key: a table already grouped by the key in few, merged partitions would stay as it is.
+    """
+    return df.repartition(shuffle_width(df.sparkSession), F.xxhash64(key))
+
+
+def materialize(df: DataFrame, key: str | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back; with a unique ``key``, in evenly filled files.
 
     For tables that several jobs read (model fits, searches): the lineage is cut, and the copy outlives lost executors.
     """
     path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
+    (spread(df, key) if key else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
