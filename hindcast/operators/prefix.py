@@ -61,8 +61,11 @@ def with_range(df: DataFrame, points: Column, value: str, ranges: int, out: str
     Coarse points first, then the one stretch of fine points that is left.
     """
     stride, v = _stride(ranges), F.col(value).cast("double")
-    df = df.withColumn("_skip", count_below(points["coarse"], (ranges - 1) // stride, v) * stride)
-    return df.withColumn(out, F.col("_skip") + count_below(points["p"], stride, v, F.col("_skip"))).drop("_skip")
+    # A column first: every mention of the subquery itself would be planned on its own.
+    df = df.withColumn("_points", points)
+    df = df.withColumn("_skip", count_below(F.col("_points.coarse"), (ranges - 1) // stride, v) * stride)
+    fine = count_below(F.col("_points.p"), stride, v, F.col("_skip"))
+    return df.withColumn(out, F.col("_skip") + fine).drop("_skip", "_points")
 
 
 def _offsets(df: DataFrame, by: Sequence[str], totals: Mapping[str, str], descending: bool) -> DataFrame:

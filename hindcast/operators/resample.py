@@ -71,13 +71,15 @@ def _aucs(rows: DataFrame, scores: DataFrame, replicates: int, weights: Callable
 
     Scores are cut into ranges; a range gives its totals and the pairs won inside it, and ranges are then added up. A
     score that is itself a cut point (so any score held by a large share of the rows) is a range of its own; in it all
-    pairs are ties, only the totals matter, and so it is dealt over many tasks.
+    pairs are ties, only the totals matter, and so it is dealt over as many tasks as its share of the rows calls for.
     """
-    points = cut_points(scores, "pred", ranges)
-    tied = F.array_contains(points["p"], F.col("pred"))
-    place = F.col("_range") * 2 + F.coalesce(tied.cast("int"), F.lit(0))
-    rows = with_range(rows, points, "pred", ranges).withColumn("_range", place) \
-        .withColumn("_salt", F.when(F.col("_range") % 2 == 1, F.pmod("_slot", F.lit(ranges))).otherwise(F.lit(0)))
+    rows = rows.withColumn("_cuts", cut_points(scores, "pred", ranges))
+    # How often a score is a cut point tells its share of the rows, in units of one range.
+    share = F.size("_cuts.p") - F.size(F.array_remove("_cuts.p", F.col("pred")))
+    place = F.col("_range") * 2 + F.when(F.col("_share") > 0, F.lit(1)).otherwise(F.lit(0))
+    rows = with_range(rows, F.col("_cuts"), "pred", ranges).withColumn("_share", share) \
+        .withColumn("_salt", F.pmod("_slot", F.greatest("_share", F.lit(1)))).withColumn("_range", place) \
+        .drop("_cuts", "_share")
     parts = rows.groupBy("model", "_range", "_salt").applyInPandas(
         _range_wins(replicates, weights), "model string, _range int, b int, pos double, neg double, wins double")
     # The order of a range is fixed by its number: 2k+1 is cut point k+1, just above the open range 2k.

@@ -61,8 +61,8 @@ def _corr_by_products(df: DataFrame, features: Sequence[str]) -> DataFrame:
     # Values are shifted by the feature's mean, so that the products lose no digits.
     means = df.agg(*[F.avg(quoted(f)).alias(f"m{i}") for i, f in enumerate(features)]) \
         .select(F.struct(*[f"m{i}" for i in range(k)]).alias("m")).scalar()
-    shifted = df.select(*[(F.col(quoted(f)).cast("double") - means[f"m{i}"]).alias(f"x{i}")
-                          for i, f in enumerate(features)])
+    shifted = df.withColumn("_m", means).select(*[
+        (F.col(quoted(f)).cast("double") - F.col(f"_m.m{i}")).alias(f"x{i}") for i, f in enumerate(features)])
 
     def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((6, k, k))
@@ -152,8 +152,8 @@ def normalise(train: DataFrame, frames: Sequence[DataFrame], features: Sequence[
                         for s, agg in (("m", F.avg), ("s", F.stddev_samp))])
     row = stats.select(F.struct(*stats.columns).alias("r")).scalar()
     place = {f: i for i, f in enumerate(features)}
-    scaled = lambda f: F.try_divide(value(f) - row[f"m{place[f]}"], row[f"s{place[f]}"])
-    return [df.select(*[scaled(c).alias(c) if c in place else F.col(quoted(c)) for c in df.columns])
+    scaled = lambda f: F.try_divide(value(f) - F.col(f"_r.m{place[f]}"), F.col(f"_r.s{place[f]}"))
+    return [df.withColumn("_r", row).select(*[scaled(c).alias(c) if c in place else F.col(quoted(c)) for c in df.columns])
             for df in frames]
 
 
