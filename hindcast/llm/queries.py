@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from hindcast.llm import exact_dedup, mixing, url_filter
+from hindcast.llm import exact_dedup, fingerprints, mixing, url_filter, warc
 from hindcast.llm.common import table
+from hindcast.session import shared_dir
 
 WORD_SQL = r"[^\x20\x09-\x0D]+"
 LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -60,5 +61,26 @@ def op7_source_mixing(spark, sf):
                                                "mix_target AS target", "mix_taken AS taken")
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_url_filter": op2_url_filter, "op7_source_mixing": op7_source_mixing}
-ORACLES = {"op1_exact_dedup": OP1_SQL, "op2_url_filter": OP2_SQL}
+def op4_fingerprints(spark, sf):
+    return fingerprints.fingerprint_documents(table(spark, sf, "documents"))
+
+
+def op6_warc(spark, sf):
+    path = shared_dir(spark)
+    warc.write_archives(table(spark, sf, "pages"), path)
+    return warc.read_archives(spark, path).where("gap IS NULL") \
+        .select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP6_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha1(html) AS payload_digest FROM p),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS best FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> best THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> best THEN best END AS refers_to
+FROM m"""
+
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_url_filter": op2_url_filter, "op4_fingerprints": op4_fingerprints,
+           "op6_warc": op6_warc, "op7_source_mixing": op7_source_mixing}
+ORACLES = {"op1_exact_dedup": OP1_SQL, "op2_url_filter": OP2_SQL, "op6_warc": OP6_SQL}
