@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hindcast.llm import exact_dedup, fingerprints, mixing, url_filter, warc
+from hindcast.llm import byte_cnn, exact_dedup, fingerprints, mixing, url_filter, warc
 from hindcast.llm.common import table
 from hindcast.session import shared_dir
 
@@ -81,6 +81,11 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 1000 AND page_id <> best THEN best END AS refers_to
 FROM m"""
 
+
+def op9_quality(spark, sf):
+    return byte_cnn.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_url_filter": op2_url_filter, "op4_fingerprints": op4_fingerprints,
-           "op6_warc": op6_warc, "op7_source_mixing": op7_source_mixing}
+           "op6_warc": op6_warc, "op7_source_mixing": op7_source_mixing, "op9_quality": op9_quality}
 ORACLES = {"op1_exact_dedup": OP1_SQL, "op2_url_filter": OP2_SQL, "op6_warc": OP6_SQL}
