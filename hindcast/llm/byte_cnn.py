@@ -19,6 +19,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hindcast.functions.scalars import quoted
 from hindcast.llm.common import free_name, in_fold, text_of
@@ -28,7 +29,7 @@ CHUNK = 2 * HALF
 PIECE = 256  # chunks
 BLOCK_BYTES = 1 << 19
 SAMPLE = 2000
-EPOCHS, BATCH, RATE = 14, 48, 0.004
+STEPS, BATCH, RATE = 1200, 48, 0.004
 
 
 def initial(seed: int = 5) -> dict[str, np.ndarray]:
@@ -145,25 +146,28 @@ def _gradients(model: dict, blobs: Sequence[bytes], y: np.ndarray, weight: np.nd
     return grad | {"embed": d_embed}
 
 
-def train(blobs: Sequence[bytes], labels: np.ndarray, seed: int = 5, epochs: int = EPOCHS) -> dict[str, np.ndarray]:
-    """Adam on the log loss, both classes with equal weight. Without rows of both classes every text gets the share of
-    label 1, or 0.5 without any row."""
+def train(blobs: Sequence[bytes], labels: np.ndarray, seed: int = 5, share: float | None = None,
+          steps: int = STEPS) -> dict[str, np.ndarray]:
+    """Adam on the log loss, classes weighted to ``share`` of label 1 (by default the rows' own). With rows of one class
+    only every text gets a score near that class, without any row 0.5."""
     model = initial(seed)
     y = np.asarray(labels, np.float32)
     if len(y) == 0 or y.min() == y.max():
         model["out"][:] = 0
         model["out_bias"][:] = 0 if len(y) == 0 else (8 if y[0] else -8)
         return model
-    weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    share = float(y.mean()) if share is None else share
+    weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
     r, step = np.random.default_rng(seed), 0
     first, second = ({k: np.zeros_like(v) for k, v in model.items()} for _ in range(2))
-    total = epochs * -(-len(y) // BATCH)
-    for _ in range(epochs):
+    while step < steps:
         order = r.permutation(len(y))
         for at in range(0, len(y), BATCH):
             step += 1
+            if step > steps:
+                break
             pick = order[at:at + BATCH]
-            rate = RATE * (1 - step / (total + 1))
+            rate = RATE * (1 - step / (steps + 1))
             for k, g in _gradients(model, [blobs[i] for i in pick], y[pick], weight[pick]).items():
                 first[k] = 0.9 * first[k] + 0.1 * g
                 second[k] = 0.99 * second[k] + 0.01 * g * g
@@ -179,6 +183,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: in
     order = F.xxhash64(F.lit(seed), F.col("doc_id"))
     usable = labels.select("doc_id", F.col("quality").cast("int").alias("label")) \
         .where(F.col("doc_id").isNotNull() & ~in_fold("doc_id", folds, held_out))
+    # Without the one class or the other no share is needed.
+    counts = usable.agg(F.count_if(F.col("label") == 0), F.count_if(F.col("label") == 1)).first()
+    share = counts[1] / (counts[0] + counts[1]) if counts[0] + counts[1] else None
     chosen = [usable.where(F.col("label") == k).orderBy(order, "doc_id").limit(sample) for k in (0, 1)]
     # At most 2 * sample ids and labels.
     rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen[0].unionAll(chosen[1])), "doc_id")
@@ -187,7 +194,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: in
         parts = list(batches)
         data = (pd.concat(parts) if parts else pd.DataFrame({"doc_id": [], "text": [], "label": []})) \
             .sort_values(["doc_id", "text"], kind="stable")
-        model = train([t.encode("utf-8", "replace") for t in data["text"]], data["label"].to_numpy())
+        model = train([t.encode("utf-8", "replace") for t in data["text"]], data["label"].to_numpy(), seed,
+                      share)
         out = io.BytesIO()
         np.savez(out, **model)
         yield pd.DataFrame({"model": [out.getvalue()]})
@@ -205,7 +213,7 @@ def score_texts(docs: DataFrame, model: dict[str, np.ndarray], out: str = "score
         raise ValueError(f"column {out} is there already")
     blob = free_name("_bytes", docs.columns)
     wide = docs.withColumn(blob, text_of().cast("binary"))
-    schema = docs.schema.add(out, "double")
+    schema = T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hindcast.llm import byte_cnn, exact_dedup, fingerprints, mixing, url_filter, warc
+from hindcast.llm import byte_cnn, exact_dedup, fingerprints, mixing, substring_dedup, url_filter, warc
 from hindcast.llm.common import table
 from hindcast.session import shared_dir
 
@@ -82,10 +82,29 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM m"""
 
 
+def op8_substring_dedup(spark, sf):
+    return substring_dedup.remove_repeats(table(spark, sf, "documents"))
+
+
+OP8_SQL = f"""
+WITH t AS (SELECT doc_id, coalesce(regexp_extract_all(text, '{WORD_SQL}'), []) AS w FROM documents),
+s AS (SELECT doc_id, w, unnest(generate_series(1, len(w) - 19)) AS start FROM t WHERE len(w) >= 20),
+h AS (SELECT doc_id, start, array_to_string(list_slice(w, start, start + 19), ' ') AS win FROM s),
+r AS (SELECT doc_id, start, row_number() OVER (PARTITION BY win ORDER BY doc_id, start) AS nth FROM h),
+g AS (SELECT DISTINCT doc_id, unnest(generate_series(start, start + 19)) AS pos FROM r WHERE nth > 1),
+l AS (SELECT doc_id, list(pos) AS gone FROM g GROUP BY doc_id),
+k AS (SELECT t.doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed,
+             CASE WHEN gone IS NULL THEN w ELSE
+             [w[i] FOR i IN generate_series(1, len(w)) IF NOT list_contains(gone, i)] END AS kept
+      FROM t LEFT JOIN l ON t.doc_id = l.doc_id)
+SELECT doc_id, n_words, n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM k"""
+
 def op9_quality(spark, sf):
     return byte_cnn.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
 QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_url_filter": op2_url_filter, "op4_fingerprints": op4_fingerprints,
-           "op6_warc": op6_warc, "op7_source_mixing": op7_source_mixing, "op9_quality": op9_quality}
-ORACLES = {"op1_exact_dedup": OP1_SQL, "op2_url_filter": OP2_SQL, "op6_warc": OP6_SQL}
+           "op6_warc": op6_warc, "op7_source_mixing": op7_source_mixing, "op8_substring_dedup": op8_substring_dedup,
+           "op9_quality": op9_quality}
+ORACLES = {"op1_exact_dedup": OP1_SQL, "op2_url_filter": OP2_SQL, "op6_warc": OP6_SQL,
+           "op8_substring_dedup": OP8_SQL}

@@ -30,13 +30,20 @@ _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BASES = ((0x9E3779B97F4A7C15, 0), (0xC2B2AE3D27D4EB4F, 0x5851F42D4C957F2D))
 
 
+BLOCK = 1 << 20  # bytes hashed at a time
+_known: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    """base^0 .. base^(n-1) modulo 2^64."""
-    out = np.full(n, base, np.uint64)
-    if n:
-        out[0] = 1
-        np.multiply.accumulate(out, out=out)
-    return out
+    """base^0 .. base^(n-1) modulo 2^64; those of a block are kept."""
+    if n <= len(_known.get(base, ())):
+        return _known[base][:n]
+    out = np.full(max(n, 1), base, np.uint64)
+    out[0] = 1
+    np.multiply.accumulate(out, out=out)
+    if n <= BLOCK + 1:
+        _known[base] = out
+    return out[:n]
 
 
 def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
@@ -48,13 +55,12 @@ def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: i
 
 
 class Words:
-    """Words of a batch of texts: ``hash`` of each, ``doc`` index, byte ``start`` and ``end`` in ``data``,
+    """Words of a batch of texts: ``hash`` of each, ``doc`` index, byte ``start`` and ``end`` in the joined texts,
     and ``first``, where each document's words begin (one entry more than documents)."""
 
     def __init__(self, texts: Sequence[str | None], lower: bool = False):
         blobs = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
-        self.data = b" ".join(blobs) + b" "
-        raw = np.frombuffer(self.data, np.uint8)
+        raw = np.frombuffer(b" ".join(blobs) + b" ", np.uint8)
         sizes = np.fromiter((len(b) + 1 for b in blobs), np.int64, len(blobs))
         doc_end = np.cumsum(sizes)
         space = _SPACE[raw]
@@ -64,9 +70,16 @@ class Words:
         self.start, self.end = edge[0::2], edge[1::2]
         self.first = np.concatenate([[0], np.searchsorted(self.start, doc_end)]).astype(np.int64)
         self.doc = np.repeat(np.arange(len(blobs)), np.diff(self.first))
-        values = _BYTE[_LOWER[raw]] if lower else _BYTE[raw]
-        self.hash = mix(run_hashes(values, self.start, self.end, _BASES[0][0])
-                        + (self.end - self.start).astype(np.uint64))
+        table = _BYTE[_LOWER] if lower else _BYTE
+        self.hash = np.empty(len(self.start), np.uint64)
+        i = 0
+        while i < len(self.start):
+            # As many words as a block of bytes holds, one at least.
+            j = max(i + 1, int(np.searchsorted(self.end, self.start[i] + BLOCK, "right")))
+            lo, hi = self.start[i], self.end[j - 1]
+            own = run_hashes(table[raw[lo:hi]], self.start[i:j] - lo, self.end[i:j] - lo, _BASES[0][0])
+            self.hash[i:j] = mix(own + (self.end[i:j] - self.start[i:j]).astype(np.uint64))
+            i = j
 
     def runs(self, length: int, which: int = 0) -> np.ndarray:
         """The hash of the ``length`` words from each word on; runs that leave a document are in ``inside`` false."""
