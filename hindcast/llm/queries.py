@@ -67,7 +67,7 @@ def op4_fingerprints(spark, sf):
 
 def op6_warc(spark, sf):
     path = shared_dir(spark)
-    warc.write_archives(table(spark, sf, "pages"), path)
+    warc.write_archives(table(spark, sf, "pages"), path, compression="gzip")
     return warc.read_archives(spark, path).where("gap IS NULL") \
         .select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
