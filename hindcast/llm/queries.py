@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hindcast.llm import byte_cnn, exact_dedup, fingerprints, mixing, substring_dedup, url_filter, warc
+from hindcast.llm import byte_cnn, exact_dedup, fingerprints, language_model, mixing, substring_dedup, url_filter, warc
 from hindcast.llm.common import table
 from hindcast.session import shared_dir
 
@@ -61,6 +61,10 @@ def op7_source_mixing(spark, sf):
                                                "mix_target AS target", "mix_taken AS taken")
 
 
+def op3_language_model(spark, sf):
+    return language_model.score_documents(table(spark, sf, "documents"))
+
+
 def op4_fingerprints(spark, sf):
     return fingerprints.fingerprint_documents(table(spark, sf, "documents"))
 
@@ -103,7 +107,8 @@ def op9_quality(spark, sf):
     return byte_cnn.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_url_filter": op2_url_filter, "op4_fingerprints": op4_fingerprints,
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_url_filter": op2_url_filter, "op3_language_model": op3_language_model,
+           "op4_fingerprints": op4_fingerprints,
            "op6_warc": op6_warc, "op7_source_mixing": op7_source_mixing, "op8_substring_dedup": op8_substring_dedup,
            "op9_quality": op9_quality}
 ORACLES = {"op1_exact_dedup": OP1_SQL, "op2_url_filter": OP2_SQL, "op6_warc": OP6_SQL,
