@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hindcast.llm import byte_cnn, exact_dedup, fingerprints, language_model, mixing, substring_dedup, url_filter, warc
+from hindcast.llm import byte_cnn, exact_dedup, fingerprints, jaccard_join, language_model, mixing, substring_dedup, url_filter, warc
 from hindcast.llm.common import table
 from hindcast.session import shared_dir
 
@@ -69,6 +69,10 @@ def op4_fingerprints(spark, sf):
     return fingerprints.fingerprint_documents(table(spark, sf, "documents"))
 
 
+def op5_jaccard_join(spark, sf):
+    return jaccard_join.link_documents(table(spark, sf, "documents")).drop("row", "label")
+
+
 def op6_warc(spark, sf):
     path = shared_dir(spark)
     warc.write_archives(table(spark, sf, "pages"), path, compression="gzip")
@@ -109,7 +113,7 @@ def op9_quality(spark, sf):
 
 QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_url_filter": op2_url_filter, "op3_language_model": op3_language_model,
            "op4_fingerprints": op4_fingerprints,
-           "op6_warc": op6_warc, "op7_source_mixing": op7_source_mixing, "op8_substring_dedup": op8_substring_dedup,
+           "op5_jaccard_join": op5_jaccard_join, "op6_warc": op6_warc, "op7_source_mixing": op7_source_mixing, "op8_substring_dedup": op8_substring_dedup,
            "op9_quality": op9_quality}
 ORACLES = {"op1_exact_dedup": OP1_SQL, "op2_url_filter": OP2_SQL, "op6_warc": OP6_SQL,
            "op8_substring_dedup": OP8_SQL}
