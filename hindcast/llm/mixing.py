@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from hindcast.functions.draws import uniform
 from hindcast.functions.scalars import quoted
-from hindcast.llm.common import count_words, id_text, text_of
+from hindcast.llm.common import count_words, free_name, id_text, text_of
 from hindcast.session import materialize
 
 ROWS_PER_RANGE = 20_000
@@ -99,14 +99,15 @@ def _thresholds(rows: DataFrame, targets: DataFrame) -> DataFrame:
 
 def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, seed: int = 7,
                 weight: Column | None = None) -> DataFrame:
-    """The documents' columns with (mix_size, mix_source_size, mix_target, mix_taken): words, and words the mix takes.
+    """The documents' columns with (mix_size, mix_source_size, mix_target, mix_taken, mix_copies): words, words the
+    mix takes, and how often it reads the document.
 
     Size: words of the text (null: 0). ``weight`` is the document's quality weight, by default from its marks. A null
     source is a source of its own, the last one; a null id draws as an empty one; rows of one id in one source share a
     draw and are taken or left together. Empty texts are taken zero words at a time. An empty table gives no rows.
     """
     names = {c.lower() for c in docs.columns}
-    if clash := names & {"mix_size", "mix_source_size", "mix_target", "mix_taken", "t_source"}:
+    if clash := names & {"mix_size", "mix_source_size", "mix_target", "mix_taken", "mix_copies", "t_source"}:
         raise ValueError(f"columns {sorted(clash)} are names of the result")
     text = text_of("text")
     key = weighted_key(seed, quality_weight(text) if weight is None else weight)
@@ -116,7 +117,15 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: floa
     targets = source_targets(sizes, weights, share).withColumnRenamed("source", "t_source")
     limits = materialize(_thresholds(rows, targets))
     size = count_words(text)
-    taken = size * (F.col("epochs") + (key >= F.col("least")).cast("long"))
+    copies = F.col("epochs") + (key >= F.col("least")).cast("long")
     return docs.join(limits, F.expr("source <=> t_source"), "left").select(
         *[F.col(quoted(c)) for c in docs.columns], size.alias("mix_size"), F.col("source_size").alias("mix_source_size"),
-        F.col("target").alias("mix_target"), taken.alias("mix_taken"))
+        F.col("target").alias("mix_target"), (size * copies).alias("mix_taken"), copies.alias("mix_copies"))
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The rows of the mix with the documents' columns: each document as often as the mix reads it."""
+    copy = free_name("copy", docs.columns)
+    rows = mix_sources(docs, **options).where("mix_copies > 0") \
+        .withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies"))))
+    return rows.select(*[F.col(quoted(c)) for c in docs.columns])

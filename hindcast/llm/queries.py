@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hindcast.llm import byte_cnn, exact_dedup, fingerprints, jaccard_join, language_model, mixing, substring_dedup, url_filter, warc
+from hindcast.llm import byte_cnn, exact_dedup, fingerprints, jaccard_join, language_model, mixing, pieces, substring_dedup, url_filter, warc
 from hindcast.llm.common import table
 from hindcast.session import shared_dir
 
@@ -111,9 +111,14 @@ def op9_quality(spark, sf):
     return byte_cnn.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+def op10_sentencepiece(spark, sf):
+    return pieces.encode_documents(table(spark, sf, "documents"))
+
+
 QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_url_filter": op2_url_filter, "op3_language_model": op3_language_model,
            "op4_fingerprints": op4_fingerprints,
            "op5_jaccard_join": op5_jaccard_join, "op6_warc": op6_warc, "op7_source_mixing": op7_source_mixing, "op8_substring_dedup": op8_substring_dedup,
-           "op9_quality": op9_quality}
+           "op9_quality": op9_quality,
+           "op10_sentencepiece": op10_sentencepiece}
 ORACLES = {"op1_exact_dedup": OP1_SQL, "op2_url_filter": OP2_SQL, "op6_warc": OP6_SQL,
            "op8_substring_dedup": OP8_SQL}
