@@ -80,7 +80,9 @@ def name_texts(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
 def _settle(docs: DataFrame, data: Column, size: int, placed: DataFrame, shared: DataFrame) -> DataFrame:
     """Names of their own, below -1, for blocks whose hash other blocks share too, met by the blocks themselves."""
-    own = docs.select(F.monotonically_increasing_id().alias("row"), F.posexplode(_blocks(data, size)).alias("pos", "block")) \
+    # Numbered before the blocks are unfolded: in one step the blocks would be numbered.
+    own = docs.select(F.monotonically_increasing_id().alias("row"), data.alias("data")) \
+        .select("row", F.posexplode(_blocks(F.col("data"), size)).alias("pos", "block")) \
         .join(shared, F.xxhash64("block") == F.col("hash"), "left_semi")
     names = materialize(_named(own.select("block")))
     settled = own.join(names, "block").select("row", "pos", (F.lit(-2) - F.col("name")).alias("settled"))
