@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -13,7 +12,8 @@ from pyspark.sql import functions as F
 from hindcast.functions.scalars import quoted
 from hindcast.operators.prefix import count_below, exact_quantiles
 
-MAX_CORR_EXPRESSIONS = 300
+CORR_TASKS = 2000
+NO_SPREAD = 1e-12  # share of the sum of squares that rounding may leave
 
 
 def _long(pairs: list, names: tuple[str, ...]) -> F.Column:
@@ -39,24 +39,13 @@ def drop_zero_variance(df: DataFrame, features: Sequence[str]) -> list[str]:
     return [f for f in features if f not in zero]
 
 
-def corr_pairs(df: DataFrame, features: Sequence[str]) -> DataFrame:
+def corr_pairs(df: DataFrame, features: Sequence[str], tasks: int = CORR_TASKS) -> DataFrame:
     """(f1, f2, corr) for f1 before f2 in the given order: Pearson over rows where both are present.
 
-    Few features: one aggregate per pair. Many: each task turns its rows into cross-product matrices, and only those
-    are added up, so what is shuffled does not depend on the number of rows.
+    Each task turns its rows into cross-product matrices, and only those are added up; at most ``tasks`` tasks read the
+    rows, so what is shuffled is bounded by that number and the number of pairs, not by the rows. A pair has NULL where
+    one of the two does not vary, beyond rounding, over the rows they share.
     """
-    if len(features) * (len(features) - 1) // 2 <= MAX_CORR_EXPRESSIONS:
-        pairs = list(combinations(features, 2))
-        corr = lambda a, b: F.corr(F.col(quoted(a)).cast("double"), F.col(quoted(b)).cast("double"))
-        # A constant column has no correlation; NaN would count as larger than any threshold.
-        row = df.agg(*[F.nanvl(corr(a, b), F.lit(None).cast("double")).alias(f"c{i}")
-                       for i, (a, b) in enumerate(pairs)])
-        return row.select(_long([(F.lit(a), F.lit(b), F.col(f"c{i}")) for i, (a, b) in enumerate(pairs)],
-                                ("f1", "f2", "corr")).alias("r")).select("r.*")
-    return _corr_by_products(df, features)
-
-
-def _corr_by_products(df: DataFrame, features: Sequence[str]) -> DataFrame:
     k = len(features)
     # Values are shifted by the feature's mean, so that the products lose no digits.
     means = df.agg(*[F.avg(quoted(f)).alias(f"m{i}") for i, f in enumerate(features)]) \
@@ -75,15 +64,19 @@ def _corr_by_products(df: DataFrame, features: Sequence[str]) -> DataFrame:
         yield pd.DataFrame({"i": i.astype(np.int32), "j": j.astype(np.int32),
                             **{n: total[t][i, j] for t, n in enumerate(("n", "sx", "sy", "sxy", "sxx", "syy"))}})
 
-    sums = shifted.mapInPandas(products, "i int, j int, n double, sx double, sy double, sxy double, sxx double, "
+    sums = shifted.coalesce(tasks).mapInPandas(products, "i int, j int, n double, sx double, sy double, sxy double, sxx double, "
                                          "syy double").groupBy("i", "j") \
         .agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxy", "sxx", "syy")])
     cov = F.col("sxy") - F.try_divide(F.col("sx") * F.col("sy"), F.col("n"))
-    spread = lambda q, s: F.col(q) - F.try_divide(F.col(s) * F.col(s), F.col("n"))
+
+    def spread(q: str, s: str) -> F.Column:
+        left = F.col(q) - F.try_divide(F.col(s) * F.col(s), F.col("n"))
+        return F.when(left > F.col(q) * NO_SPREAD, left)
+
     names = F.array(*[F.lit(f) for f in features])
     at = lambda c: F.element_at(names, F.col(c) + 1)
     return sums.select(at("i").alias("f1"), at("j").alias("f2"),
-                       F.try_divide(cov, F.sqrt(spread("sxx", "sx") * spread("syy", "sy"))).alias("corr"))
+                       F.try_divide(cov, F.sqrt(spread("sxx", "sx")) * F.sqrt(spread("syy", "sy"))).alias("corr"))
 
 
 def correlation_groups(df: DataFrame, features: Sequence[str], threshold: float = 0.95) -> dict[str, list[str]]:
@@ -92,7 +85,8 @@ def correlation_groups(df: DataFrame, features: Sequence[str], threshold: float
     A feature that is not grouped yet is kept, and takes every other feature with signed correlation above the
     threshold; this is not transitive. Spark finds the pairs above the threshold; the walk reads those names only.
     """
-    pairs = corr_pairs(df, features).where(F.col("corr") > threshold).select("f1", "f2").collect()
+    near_pair = (F.col("corr") > threshold) & ~F.isnan("corr")
+    pairs = corr_pairs(df, features).where(near_pair).select("f1", "f2").collect()
     near: dict[str, set[str]] = {f: set() for f in features}
     for a, b in pairs:
         near[a].add(b)

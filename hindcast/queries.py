@@ -267,8 +267,8 @@ def corr_pairs(spark, sf):
 
 @query
 def corr_pairs_wide(spark, sf):
-    """The form for many columns, on the same input."""
-    return rounded(selection._corr_by_products(_lines(spark, sf), [*LINE_NUMERICS, "l_linenumber"]))
+    """The same with few tasks, as where a wide table bounds them."""
+    return rounded(selection.corr_pairs(_lines(spark, sf), [*LINE_NUMERICS, "l_linenumber"], tasks=2))
 
 
 def _derived(spark, sf) -> tuple[DataFrame, list[str]]:

@@ -32,12 +32,28 @@ def test_correlations_with_missing_values(spark):
     pdf = pd.DataFrame(x, columns=list("abcd")).mask(rng.random((300, 4)) < 0.1)
     df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), "a double, b double, c double, d double")
     want = pdf.corr()
-    for pairs in (selection.corr_pairs(df, list("abcd")), selection._corr_by_products(df, list("abcd"))):
+    for pairs in (selection.corr_pairs(df, list("abcd")), selection.corr_pairs(df, list("abcd"), tasks=1)):
         rows = pairs.collect()
         assert len(rows) == 6
         assert all(r["corr"] == pytest.approx(want.loc[r.f1, r.f2], abs=1e-9) for r in rows)
 
 
+def test_columns_without_spread_have_no_correlation(spark):
+    """Also one that is constant only where the other is present, and among more columns than fit one expression list."""
+    rng = np.random.default_rng(6)
+    pdf = pd.DataFrame(rng.normal(size=(200, 26)), columns=[f"c{i}" for i in range(26)])
+    pdf["flat"] = 0.1
+    pdf["part"] = np.where(np.arange(200) % 2 == 0, 0.3, pdf.c0)
+    pdf["even"] = pdf.c1.where(np.arange(200) % 2 == 0)
+    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), ", ".join(f"{c} double" for c in pdf))
+    got = {(r.f1, r.f2): r["corr"] for r in selection.corr_pairs(df, list(pdf)).collect()}
+    assert len(got) == 29 * 28 // 2
+    assert {p for p, c in got.items() if c is None} == {p for p in got if "flat" in p} | {("part", "even")}
+    want = pdf.corr()
+    assert all(c == pytest.approx(want.loc[p], abs=1e-9) for p, c in got.items() if c is not None)
+    assert selection.correlation_groups(df, list(pdf))["c2"] == []
+
+
 def test_groups_are_signed_and_not_transitive(spark):
     rng = np.random.default_rng(1)
     a, e = rng.normal(size=5000), rng.normal(size=(2, 5000))
