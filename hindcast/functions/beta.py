@@ -16,12 +16,12 @@ def _lgamma(x: np.ndarray) -> np.ndarray:
     return np.array([math.lgamma(v) for v in x])
 
 
-def _beta_cdf(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The regularised incomplete beta function by its continued fraction (Lentz)."""
+def _beta_cdf(x: np.ndarray, a: np.ndarray, b: np.ndarray, log_scale: np.ndarray) -> np.ndarray:
+    """The regularised incomplete beta function by its continued fraction (Lentz); ``log_scale`` is -log B(a, b)."""
     flip = x > (a + 1) / (a + b + 2)
     x, a, b = np.where(flip, 1 - x, x), np.where(flip, b, a), np.where(flip, a, b)
     with np.errstate(divide="ignore", invalid="ignore"):
-        front = np.exp(_lgamma(a + b) - _lgamma(a) - _lgamma(b) + a * np.log(x) + b * np.log1p(-x)) / a
+        front = np.exp(log_scale + a * np.log(x) + b * np.log1p(-x)) / a
     tiny = 1e-300
     c = np.ones_like(x)
     d = 1 / np.where(np.abs(1 - (a + b) * x / (a + 1)) < tiny, tiny, 1 - (a + b) * x / (a + 1))
@@ -37,6 +37,8 @@ def _beta_cdf(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             h = h * change
         if np.all(np.abs(change - 1) < 1e-14):
             break
+    else:
+        raise ArithmeticError("the incomplete beta function did not converge")
     out = np.where(x <= 0, 0.0, front * h)
     return np.where(flip, 1 - out, out)
 
@@ -49,9 +51,10 @@ def beta_quantile(p: float, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     small = ~big
     if small.any():
         l, h, sa, sb = lo[small], hi[small], a[small], b[small]
+        log_scale = _lgamma(sa + sb) - _lgamma(sa) - _lgamma(sb)
         for _ in range(60):
             mid = (l + h) / 2
-            below = _beta_cdf(mid, sa, sb) < p
+            below = _beta_cdf(mid, sa, sb, log_scale) < p
             l, h = np.where(below, mid, l), np.where(below, h, mid)
         lo[small] = (l + h) / 2
     if big.any():
