@@ -333,8 +333,9 @@ add("poisson_draws", "enc", poisson_draws(20))
 
 # Selection
 add("fs_variance", "line_long", f"""
-    SELECT feature, {r('var_samp(value)', 'variance', 2)} FROM line_long GROUP BY feature
-    UNION ALL SELECT 'constant', 0::DOUBLE""")
+    SELECT feature, {r('var_samp(value)', 'variance', 2)}, {r('ln(var_samp(value))', 'log_variance', 8)}
+    FROM line_long GROUP BY feature
+    UNION ALL SELECT 'constant', 0::DOUBLE, NULL::DOUBLE""")
 NAMES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
 add("corr_pairs", "", " UNION ALL ".join(
     f"SELECT '{a}' AS f1, '{b}' AS f2, {r(f'corr({a}, {b})', 'corr')} FROM lineitem"

@@ -257,7 +257,10 @@ def _lines(spark, sf) -> DataFrame:
 @query
 def fs_variance(spark, sf):
     lines = _lines(spark, sf).withColumn("constant", F.lit(1.0))
-    return rounded(selection.variances(lines, [*LINE_NUMERICS, "constant"]), 2)
+    found = selection.variances(lines, [*LINE_NUMERICS, "constant"])
+    # Eight digits of small and large variances alike; ln of 0 is NULL.
+    return found.select("feature", (F.round("variance", 2) + F.lit(0.0)).alias("variance"),
+                        (F.round(F.ln("variance"), 8) + F.lit(0.0)).alias("log_variance"))
 
 
 @query
