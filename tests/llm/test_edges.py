@@ -331,7 +331,7 @@ def test_sentencepiece_draws_follow_the_lattice():
     n = 4000
     first, pair, weights = Counter(), Counter(), Counter()
     chance = {}
-    for own in pieces.sample_block(v, ["hello"] * n, np.arange(n), 3, 9):
+    for own in pieces.sample_block(pieces.Lattice(v), ["hello"] * n, np.arange(n), 3, 9):
         names = [tuple(s[0].tolist()) for s in own]
         chance.update({name: np.exp(s[1]) for name, s in zip(names, own)})
         first[names[0]] += 1
