@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from hindcast.llm import byte_cnn, exact_dedup, fingerprints, jaccard_join, language_model, mixing, pieces, substring_dedup, url_filter, warc
+from pyspark.sql import functions as F
+
+from hindcast.llm import (byte_cnn, exact_dedup, fingerprints, jaccard_join, language_model, mixing, periodic_runs, pieces,
+                          substring_dedup, url_filter, warc)
 from hindcast.llm.common import table
 from hindcast.session import shared_dir
 
@@ -115,10 +118,50 @@ def op10_sentencepiece(spark, sf):
     return pieces.encode_documents(table(spark, sf, "documents"))
 
 
+def op13_periodic_runs(spark, sf):
+    runs = periodic_runs.find_runs(periodic_runs.with_planted_period(table(spark, sf, "documents")))
+    best = runs.withColumn("best", F.expr("array_max(transform(runs, r -> struct(r.length, -r.start AS s, -r.period AS p)))"))
+    return best.selectExpr(
+        "doc_id", "CAST(size(runs) AS BIGINT) AS n_runs", "-best.s AS start", "best.length AS length", "-best.p AS period",
+        "CAST(floor(1000 * best.length / -best.p) AS BIGINT) AS exponent_milli",
+        r"sha2(array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), ''), 256) AS runs_sha256",
+        "sha2(collapsed, 256) AS collapsed_sha256")
+
+
+# Runs of six words that occur twice in a document, q words apart, stand side by side along a run with that period.
+OP13_SQL = f"""
+WITH c AS (SELECT list(list_reduce(list_prepend(n, range(8)), lambda c, i:
+                  CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS t FROM range(256) r(n)),
+k AS (SELECT doc_id, coalesce(regexp_extract_all(text, '{WORD_SQL}'), []) AS w,
+             xor(list_reduce(list_prepend(4294967295, [ascii(x)::BIGINT FOR x IN string_split(doc_id::VARCHAR, '')]),
+                 lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM documents, c),
+g AS (SELECT *, len(w) AS n, h // 10 AS g, (h // 10) % len(w) AS a FROM k),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM g),
+d AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0
+             THEN [w[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1] FOR i IN range(n)] ELSE w END AS w FROM p),
+s AS (SELECT doc_id, w, unnest(range(n - 5)) AS i FROM d WHERE n >= 12),
+x AS (SELECT doc_id, i, array_to_string(w[i + 1:i + 6], ' ') AS six FROM s),
+m AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM x JOIN x AS y ON x.doc_id = y.doc_id AND x.six = y.six AND x.i < y.i),
+e AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS stretch FROM m),
+f AS (SELECT doc_id, min(i) AS start, count(*) + 5 + q AS length, q FROM e GROUP BY doc_id, q, stretch
+      HAVING count(*) + 5 >= q AND count(*) + 5 + q >= 12),
+r AS (SELECT doc_id, start, length, min(q) AS period FROM f GROUP BY ALL),
+o AS (SELECT doc_id, count(*) AS n_runs, string_agg(concat(start, ',', length, ',', period, chr(10)), ''
+             ORDER BY start, period) AS said, first(start ORDER BY length DESC, start, period) AS start,
+             max(length) AS length, first(period ORDER BY length DESC, start, period) AS period FROM r GROUP BY doc_id),
+y AS (SELECT doc_id, list(DISTINCT pos) AS gone FROM (SELECT doc_id, unnest(range(start + period, start + length)) AS pos
+                                                     FROM r) GROUP BY doc_id),
+z AS (SELECT d.doc_id, CASE WHEN gone IS NULL THEN w ELSE [w[i + 1] FOR i IN range(n) IF NOT list_contains(gone, i)] END
+             AS kept FROM d LEFT JOIN y ON d.doc_id = y.doc_id)
+SELECT z.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
+       sha256(coalesce(said, '')) AS runs_sha256, sha256(coalesce(array_to_string(kept, ' '), '')) AS collapsed_sha256
+FROM z LEFT JOIN o ON z.doc_id = o.doc_id"""
+
+
 QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_url_filter": op2_url_filter, "op3_language_model": op3_language_model,
            "op4_fingerprints": op4_fingerprints,
            "op5_jaccard_join": op5_jaccard_join, "op6_warc": op6_warc, "op7_source_mixing": op7_source_mixing, "op8_substring_dedup": op8_substring_dedup,
            "op9_quality": op9_quality,
-           "op10_sentencepiece": op10_sentencepiece}
+           "op10_sentencepiece": op10_sentencepiece, "op13_periodic_runs": op13_periodic_runs}
 ORACLES = {"op1_exact_dedup": OP1_SQL, "op2_url_filter": OP2_SQL, "op6_warc": OP6_SQL,
-           "op8_substring_dedup": OP8_SQL}
+           "op8_substring_dedup": OP8_SQL, "op13_periodic_runs": OP13_SQL}
