@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hindcast.llm import (byte_cnn, exact_dedup, fingerprints, jaccard_join, language_model, mixing, periodic_runs, pieces,
-                          substring_dedup, url_filter, warc)
+                          substring_dedup, url_filter, vector_codes, warc)
 from hindcast.llm.common import table
 from hindcast.session import shared_dir
 
@@ -118,6 +118,44 @@ def op10_sentencepiece(spark, sf):
     return pieces.encode_documents(table(spark, sf, "documents"))
 
 
+def op12_vector_codes(spark, sf):
+    coded, books = vector_codes.compress(table(spark, sf, "embeddings"))
+    sha = F.lit(books.sha256() if books else None).cast("string")
+    return vector_codes.with_label_errors(coded).select(
+        F.col("id").alias("vec_id"), "code", "error", "label_error", sha.alias("codebooks_sha256"))
+
+
+def _op12_sql(parts: int = 16, rounds: int = 2) -> str:
+    """Each round: the nearest entry of every part, then the floor of the mean of what each entry got."""
+    assigned = """
+a{0} AS (SELECT vec_id, label, part, v, min(struct_pack(d := d, entry := entry)) AS best
+         FROM (SELECT p.*, entry, list_sum(list_transform(list_zip(p.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT
+               AS d FROM p JOIN b{0} AS b USING (part)) GROUP BY ALL)"""
+    refined = """
+m{0} AS (SELECT part, best.entry AS entry, pos, sum(v[pos])::BIGINT AS s, count(*) AS n
+         FROM a{0}, (SELECT unnest(range(1, dim // 16 + 1)) AS pos FROM w) GROUP BY ALL),
+b{1} AS (SELECT part, entry, coalesce(list((CASE WHEN s < 0 THEN -((n - 1 - s) // n) ELSE s // n END) ORDER BY pos)
+                                      FILTER (s IS NOT NULL), any_value(v)) AS v
+         FROM b{0} LEFT JOIN m{0} USING (part, entry) GROUP BY part, entry)"""
+    steps = [assigned.format(t) + "," + refined.format(t, t + 1) for t in range(rounds)] + [assigned.format(rounds)]
+    return f"""
+WITH k AS (SELECT vec_id, label, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS x FROM embeddings
+           WHERE embedding IS NOT NULL AND len(embedding) > 0
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+w AS (SELECT len(x) AS dim FROM k ORDER BY vec_id LIMIT 1),
+p AS (SELECT vec_id, label, part, x[part * dim // {parts} + 1:(part + 1) * dim // {parts}] AS v
+      FROM k, w, (SELECT unnest(range({parts})) AS part)),
+f AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM k QUALIFY entry < 64),
+b0 AS (SELECT part, entry, v FROM p JOIN f USING (vec_id)),{",".join(steps)},
+r AS (SELECT vec_id, label, string_agg(lower(lpad(to_hex(best.entry), 2, '0')), '' ORDER BY part) AS code,
+             sum(best.d)::BIGINT AS error FROM a{rounds} GROUP BY vec_id, label),
+c AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM r, c"""
+
+
+OP12_SQL = _op12_sql()
+
+
 def op13_periodic_runs(spark, sf):
     runs = periodic_runs.find_runs(periodic_runs.with_planted_period(table(spark, sf, "documents")))
     best = runs.withColumn("best", F.expr("array_max(transform(runs, r -> struct(r.length, -r.start AS s, -r.period AS p)))"))
@@ -162,6 +200,8 @@ QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_url_filter": op2_url_filter,
            "op4_fingerprints": op4_fingerprints,
            "op5_jaccard_join": op5_jaccard_join, "op6_warc": op6_warc, "op7_source_mixing": op7_source_mixing, "op8_substring_dedup": op8_substring_dedup,
            "op9_quality": op9_quality,
-           "op10_sentencepiece": op10_sentencepiece, "op13_periodic_runs": op13_periodic_runs}
+           "op10_sentencepiece": op10_sentencepiece, "op12_vector_codes": op12_vector_codes,
+           "op13_periodic_runs": op13_periodic_runs}
 ORACLES = {"op1_exact_dedup": OP1_SQL, "op2_url_filter": OP2_SQL, "op6_warc": OP6_SQL,
-           "op8_substring_dedup": OP8_SQL, "op13_periodic_runs": OP13_SQL}
+           "op8_substring_dedup": OP8_SQL, "op12_vector_codes": OP12_SQL,
+           "op13_periodic_runs": OP13_SQL}
