@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hindcast.llm import (byte_cnn, exact_dedup, fingerprints, jaccard_join, language_model, mixing, periodic_runs, pieces,
-                          substring_dedup, url_filter, vector_codes, warc)
+                          substring_dedup, suffix_dedup, url_filter, vector_codes, warc)
 from hindcast.llm.common import table
 from hindcast.session import shared_dir
 
@@ -118,6 +118,30 @@ def op10_sentencepiece(spark, sf):
     return pieces.encode_documents(table(spark, sf, "documents"))
 
 
+def op11_suffix_dedup(spark, sf):
+    return suffix_dedup.remove_repeated_bytes(table(spark, sf, "documents"))
+
+
+# Texts as hexadecimal digits, two for each byte, cut in pieces first: a substring is found by counting from the front.
+OP11_SQL = """
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+c AS (SELECT doc_id, x, n, unnest(range(0, n - 99, 200)) AS a FROM t WHERE n >= 100),
+p AS (SELECT doc_id, substr(x, 2 * a + 1, 598) AS y, a, least(200, n - 99 - a) AS m FROM c),
+s AS (SELECT doc_id, y, a, unnest(range(m)) AS i FROM p),
+h AS (SELECT doc_id, a + i AS start, row_number() OVER (PARTITION BY substr(y, 2 * i + 1, 200) ORDER BY doc_id, a + i) AS nth
+      FROM s),
+r AS (SELECT doc_id, start, start - coalesce(lag(start) OVER w, -1000) > 100 AS fresh FROM h WHERE nth > 1
+      WINDOW w AS (PARTITION BY doc_id ORDER BY start)),
+i AS (SELECT doc_id, start, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY start) AS span FROM r),
+g AS (SELECT doc_id, span, min(start) AS a, max(start) + 100 AS b FROM i GROUP BY doc_id, span),
+l AS (SELECT doc_id, list(a ORDER BY a) AS starts, list(b ORDER BY a) AS ends, sum(b - a)::BIGINT AS n_removed FROM g GROUP BY doc_id)
+SELECT t.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(len(starts), 0) AS n_spans,
+       sha256(unhex(CASE WHEN starts IS NULL THEN x ELSE array_to_string(
+           [substr(x, 2 * z[1] + 1, 2 * (z[2] - z[1])) FOR z IN list_zip(list_prepend(0, ends), list_append(starts, n))], '')
+           END)) AS kept_sha256
+FROM t LEFT JOIN l ON t.doc_id = l.doc_id"""
+
+
 def op12_vector_codes(spark, sf):
     coded, books = vector_codes.compress(table(spark, sf, "embeddings"))
     sha = F.lit(books.sha256() if books else None).cast("string")
@@ -200,8 +224,9 @@ QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_url_filter": op2_url_filter,
            "op4_fingerprints": op4_fingerprints,
            "op5_jaccard_join": op5_jaccard_join, "op6_warc": op6_warc, "op7_source_mixing": op7_source_mixing, "op8_substring_dedup": op8_substring_dedup,
            "op9_quality": op9_quality,
-           "op10_sentencepiece": op10_sentencepiece, "op12_vector_codes": op12_vector_codes,
+           "op10_sentencepiece": op10_sentencepiece, "op11_suffix_dedup": op11_suffix_dedup,
+           "op12_vector_codes": op12_vector_codes,
            "op13_periodic_runs": op13_periodic_runs}
 ORACLES = {"op1_exact_dedup": OP1_SQL, "op2_url_filter": OP2_SQL, "op6_warc": OP6_SQL,
-           "op8_substring_dedup": OP8_SQL, "op12_vector_codes": OP12_SQL,
+           "op8_substring_dedup": OP8_SQL, "op11_suffix_dedup": OP11_SQL, "op12_vector_codes": OP12_SQL,
            "op13_periodic_runs": OP13_SQL}
