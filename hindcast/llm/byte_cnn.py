@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hindcast.functions.scalars import quoted
-from hindcast.llm.common import free_name, in_fold, text_of
+from hindcast.llm.common import byte_slices, free_name, in_fold, text_of
 
 HALF, STEP, EMBED, FILTERS, HIDDEN = 128, 4, 4, 24, 12
 CHUNK = 2 * HALF
@@ -211,17 +211,18 @@ def score_texts(docs: DataFrame, model: dict[str, np.ndarray], out: str = "score
     empty text is one chunk of zeros. ``out`` must not be a column of ``docs``."""
     if free_name(out, docs.columns) != out:
         raise ValueError(f"column {out} is there already")
-    blob = free_name("_bytes", docs.columns)
-    wide = docs.withColumn(blob, text_of().cast("binary"))
+    at = [c.lower() for c in docs.columns].index("text")
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [v.as_py() for v in batch.column(batch.num_columns - 1)]
-            columns = [*batch.columns[:-1], pa.array(probabilities(model, texts), pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], out])
+            for lo, hi in byte_slices(batch.column(at)):
+                part = batch.slice(lo, hi - lo)
+                texts = [t or b"" for t in part.column(at).cast(pa.large_binary()).to_pylist()]
+                columns = [*part.columns, pa.array(probabilities(model, texts), pa.float64())]
+                yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, out])
 
-    return wide.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, folds: int = 4, held_out: int = 2) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hindcast.functions.scalars import quoted
+from hindcast.session import materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACES = r"[\x20\x09-\x0D]+"
@@ -50,6 +54,28 @@ def in_fold(column: str, folds: int, fold: int) -> Column:
     return F.crc32(id_text(column).cast("binary")) % folds == fold
 
 
+def numbered(docs: DataFrame, row: str = "row") -> DataFrame:
+    """``docs`` with a number of its own for each row, written once.
+
+    A number made on the fly depends on how a scan is cut into tasks, and so on the executors there are; two reads of one
+    table may number it differently. The written number is data.
+    """
+    return materialize(docs.withColumn(row, F.monotonically_increasing_id()))
+
+
+def byte_slices(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """[lo, hi) of rows side by side with texts of ``limit`` bytes together; a longer text is a slice of its own."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    lo, total = 0, 0
+    for i, size in enumerate(sizes.tolist()):
+        if i > lo and total + size > limit:
+            yield lo, i
+            lo, total = i, 0
+        total += size
+    if lo < len(column):
+        yield lo, len(column)
+
+
 def total_of(df: DataFrame, value: Column) -> int:
     """One number on the driver: the sum of ``value``, 0 for no rows."""
     return int(df.agg(F.coalesce(F.sum(value), F.lit(0))).first()[0])

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hindcast.functions.scalars import quoted
-from hindcast.llm.common import free_name, lower_ascii, text_of
+from hindcast.llm.common import free_name, lower_ascii, numbered, text_of
 from hindcast.session import materialize
 
 BLOCK_BYTES = 4096
@@ -35,23 +35,24 @@ def _named(keys: DataFrame) -> DataFrame:
 def name_texts(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(row, doc_id, text_sha256, level, name), a row per document: equal texts have equal (level, name).
 
-    ``row`` numbers the input's rows. The input is read twice and must give the same rows in the same order of
-    partitions, as a stored table does.
+    ``docs`` holds ``row``, a written number of each row's own.
     """
     data = lower_ascii(text_of()).cast("binary")
-    parts = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id"), data.alias("data")) \
+    parts = docs.select("row", "doc_id", data.alias("data")) \
         .select("row", "doc_id", F.sha2("data", 256).alias("text_sha256"),
                 F.posexplode(_blocks(F.col("data"), block_bytes)).alias("pos", "block"))
-    # Where a row's blocks stand: small, and written because its row numbers must not change any more.
+    # Where a row's blocks stand: small.
     at = materialize(parts.select("row", "doc_id", F.when(F.col("pos") == 0, F.col("text_sha256")).alias("text_sha256"),
                                   "pos", F.xxhash64("block").alias("hash")))
     blocks = docs.select(F.explode(_blocks(data, block_bytes)).alias("block"))
     names = materialize(_named(blocks).select(F.xxhash64("block").alias("hash"), "name"))
-    by_hash = names.groupBy("hash").agg(F.min("name").alias("name"), F.count(F.lit(1)).alias("n"))
-    placed = at.join(by_hash, "hash", "left")
     shared = names.groupBy("hash").count().where("count > 1").select("hash")
     if shared.limit(1).count():
-        placed = _settle(docs, data, block_bytes, placed, shared)
+        by_hash = materialize(names.groupBy("hash").agg(F.min("name").alias("name")))
+        placed = _settle(docs, data, block_bytes, at.join(by_hash, "hash", "left"), shared)
+    else:
+        # Two written tables: where many rows share a block, Spark splits that part of the join.
+        placed = at.join(names, "hash", "left")
     level = materialize(placed.select("row", "doc_id", "text_sha256", "pos", "name"))
     done, depth = [], 0
     lengths = level.groupBy("row").agg(F.max("pos").alias("last"))
@@ -80,8 +81,7 @@ def name_texts(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
 def _settle(docs: DataFrame, data: Column, size: int, placed: DataFrame, shared: DataFrame) -> DataFrame:
     """Names of their own, below -1, for blocks whose hash other blocks share too, met by the blocks themselves."""
-    # Numbered before the blocks are unfolded: in one step the blocks would be numbered.
-    own = docs.select(F.monotonically_increasing_id().alias("row"), data.alias("data")) \
+    own = docs.select("row", data.alias("data")) \
         .select("row", F.posexplode(_blocks(F.col("data"), size)).alias("pos", "block")) \
         .join(shared, F.xxhash64("block") == F.col("hash"), "left_semi")
     names = materialize(_named(own.select("block")))
@@ -95,19 +95,29 @@ def find_duplicates(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFram
     Texts are equal when identical after lower-casing A-Z; a null text is an empty one, and empty texts are equal. Of
     equal texts the row with the largest doc_id stays; a null id is smaller than any other, and of rows with one id the
     last in the table stays. ``keep_id`` is null where only rows without id share the text. Other columns are not looked
-    at. An empty table gives no rows.
+    at. A text of any length is blocks, of which a row holds one at a time. An empty table gives no rows. ``row`` is the
+    row's number in the copy of the table that the work reads.
     """
+    return _duplicates(numbered(docs.select("doc_id", "text")), block_bytes)
+
+
+def _duplicates(docs: DataFrame, block_bytes: int) -> DataFrame:
     named = materialize(name_texts(docs, block_bytes))
-    best = named.groupBy("level", "name").agg(F.max(F.struct("doc_id", "row")).alias("best"),
-                                              F.count(F.lit(1)).alias("group_size"))
-    return named.join(best, ["level", "name"]).select(
-        "row", "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size",
-        (F.col("row") == F.col("best.row")).alias("kept"), "text_sha256")
+    # Only texts that occur twice or more are met with their rows, and as a written table, so that Spark can split the join.
+    best = materialize(named.groupBy("level", "name").agg(
+        F.max(F.struct("doc_id", "row")).alias("best"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1"))
+    alone = F.col("best").isNull()
+    return named.join(best, ["level", "name"], "left").select(
+        "row", "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
+        (alone | (F.col("row") == F.col("best.row"))).alias("kept"), "text_sha256")
 
 
 def drop_duplicates(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows that ``find_duplicates`` keeps, with all their columns."""
     row = free_name("row", docs.columns)
-    dropped = find_duplicates(docs, block_bytes).where("NOT kept").select(F.col("row").alias(row))
-    return docs.withColumn(row, F.monotonically_increasing_id()).join(dropped, row, "left_anti") \
+    rows = numbered(docs, row)
+    dropped = _duplicates(rows.select(F.col(row).alias("row"), "doc_id", "text"), block_bytes).where("NOT kept") \
+        .select(F.col("row").alias(row))
+    return rows.join(dropped, row, "left_anti") \
         .select(*[F.col(quoted(c)) for c in docs.columns])

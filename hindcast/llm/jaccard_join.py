@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hindcast.functions.scalars import quoted
-from hindcast.llm.common import free_name, text_of
+from hindcast.llm.common import byte_slices, free_name, numbered, text_of
 from hindcast.llm.wordhash import Words, mix
 from hindcast.session import materialize
 
@@ -97,11 +97,11 @@ def _set_key(s: np.ndarray) -> bytes:
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, set_key, n, sig): a row per document, without its text."""
+    """(row, doc_id, set_key, n, sig): a row per document, which holds ``row``, without its text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
+            for lo, hi in byte_slices(batch.column(2)):
+                part = batch.slice(lo, hi - lo)
                 sets = shingle_sets(part.column(2).to_pylist())
                 sig = signatures(sets)
                 yield pa.RecordBatch.from_arrays([
@@ -109,7 +109,7 @@ def describe(docs: DataFrame) -> DataFrame:
                     pa.array([len(s) for s in sets], pa.int32()), pa.array([r.tobytes() for r in sig], pa.binary())],
                     names=["row", "doc_id", "set_key", "n", "sig"])
 
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
+    return docs.select("row", F.col("doc_id").cast("long").alias("doc_id"),
                        text_of().alias("text")).mapInArrow(run, "row long, doc_id long, set_key binary, n int, sig binary")
 
 
@@ -325,9 +325,13 @@ def link_documents(docs: DataFrame) -> DataFrame:
     ``set_id`` is the least id of the documents with the same set, ``copies`` their number, ``n_links`` the number of other
     sets at THRESHOLD or more, ``class_id`` the least id of all documents that hang together by links and copies. A null
     text is empty; empty texts are copies of each other and have no links. A null id is passed over by "least" and stays null
-    where there is no other. ``row`` numbers the input's rows, which are read twice and must come in the same order, as
-    those of a stored table do. Other columns are not looked at; an empty table gives no rows.
+    where there is no other. ``row`` is the row's number in the copy of the table that the work reads. Other columns are
+    not looked at; an empty table gives no rows.
     """
+    return _linked(numbered(docs.select("doc_id", "text")))
+
+
+def _linked(docs: DataFrame) -> DataFrame:
     base = materialize(describe(docs))
     sets = materialize(base.groupBy("set_key").agg(F.min("row").alias("row"), F.first("n").alias("n"),
                                                    F.first("sig").alias("sig"), F.min("doc_id").alias("set_id"),
@@ -337,12 +341,12 @@ def link_documents(docs: DataFrame) -> DataFrame:
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
+            for lo, hi in byte_slices(batch.column(1)):
+                part = batch.slice(lo, hi - lo)
                 found = [s.astype("<u8").tobytes() for s in shingle_sets(part.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], names=["row", "set"])
 
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), text_of().alias("text")) \
+    texts = docs.select("row", text_of().alias("text")) \
         .join(survivors.select("row").distinct(), "row", "left_semi").mapInArrow(hashes, "row long, set binary")
     verified = materialize(_by_tile(survivors.join(texts, "row"), _verify, "row long, links long, head long", 512))
     labels = materialize(components(verified))
@@ -359,8 +363,10 @@ def link_documents(docs: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One row of each class, that with the largest id (the last of these in the table), with all columns."""
     row = free_name("row", docs.columns)
-    linked = materialize(link_documents(docs).where("class_size > 1").select("row", "doc_id", "label"))
+    rows = numbered(docs, row)
+    linked = materialize(_linked(rows.select(F.col(row).alias("row"), "doc_id", "text"))
+                         .where("class_size > 1").select("row", "doc_id", "label"))
     best = linked.groupBy("label").agg(F.max(F.struct("doc_id", "row")).alias("best"))
     dropped = linked.join(best, "label").where("row <> best.row").select(F.col("row").alias(row))
-    return docs.withColumn(row, F.monotonically_increasing_id()).join(dropped, row, "left_anti") \
+    return rows.join(dropped, row, "left_anti") \
         .select(*[F.col(quoted(c)) for c in docs.columns])

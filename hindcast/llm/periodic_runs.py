@@ -15,10 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hindcast.llm.common import text_of
+from hindcast.llm.common import byte_slices, text_of
 from hindcast.llm.squares import LEAST, Squares
 
-GROUP_BYTES = 1 << 20  # text worked on at a time; a longer document is a group of its own
 SLICE = 1 << 18  # words appended at a time
 
 
@@ -57,19 +56,6 @@ def _collapsed(words: list[bytes], runs: np.ndarray) -> bytes:
     return b" ".join(compress(words, np.cumsum(change)[:-1] == 0))
 
 
-def _groups(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    sizes = np.diff(np.frombuffer(texts.buffers()[1], np.int32 if pa.types.is_binary(texts.type) else np.int64,
-                                  len(texts) + 1 + texts.offset)[texts.offset:])
-    lo, total = 0, 0
-    for i, size in enumerate(sizes.tolist()):
-        if total and total + size > GROUP_BYTES:
-            yield lo, i
-            lo, total = i, 0
-        total += size
-    if lo < len(texts):
-        yield lo, len(texts)
-
-
 def find_runs(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(doc_id, n_words, runs, collapsed), a row per document; ``runs`` by start, then period, each (start, length, period).
 
@@ -83,7 +69,7 @@ def find_runs(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi in _groups(batch.column(1)):
+            for lo, hi in byte_slices(batch.column(1)):
                 part = batch.slice(lo, hi - lo)
                 documents = [text.split() for text in part.column(1).to_pylist()]
                 runs = document_runs(documents, least)
