@@ -285,9 +285,11 @@ def remove_repeated_bytes(docs: DataFrame, with_spans: bool = False) -> DataFram
     position = f"{ORDER[0]} long, {ORDER[1]} long, start long"
     pieces = dealt.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(
         cut, f"key long, piece binary, {position}")
-    distinct = pieces.groupBy("key", "piece").agg(F.min(F.struct(*ORDER, "start")).alias("at"))
-    firsts = distinct.select(F.pmod(F.coalesce("key", F.xxhash64("piece")), F.lit(shares)).alias("share"), "piece", "at.*") \
-        .groupBy("share").applyInArrow(_share, f"{position}, firsts binary").withColumn("batch", of_order)
+    share = F.pmod(F.coalesce("key", F.xxhash64("piece")), F.lit(shares)).alias("share")
+    # Dealt by share once: equal pieces become one, in a sort that can spill, and the shares are formed where they lie.
+    distinct = pieces.select(share, "*").repartition("share").groupBy("share", "key", "piece") \
+        .agg(F.min(F.struct(*ORDER, "start")).alias("at")).select("share", "piece", "at.*")
+    firsts = distinct.groupBy("share").applyInArrow(_share, f"{position}, firsts binary").withColumn("batch", of_order)
     replies = told.unionByName(firsts, allowMissingColumns=True)
 
     def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
