@@ -7,6 +7,7 @@ uses ``rand()``: every draw is a hash of (seed, key).
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -48,36 +49,38 @@ def key_hash(df: DataFrame, seed: int, key: str, out: str) -> DataFrame:
 
 
 def mix32_array(x: np.ndarray) -> np.ndarray:
-    """``mix32`` for NumPy arrays inside tasks."""
-    x = x.astype(np.uint64) & np.uint64(MASK32)
+    """``mix32`` for NumPy arrays inside tasks, as 32-bit integers."""
+    x = x.astype(np.uint32)
     for shift, factor in MIX_STEPS:
-        x ^= x >> np.uint64(shift)
-        x *= np.uint64(factor)
-        x &= np.uint64(MASK32)
-    x ^= x >> np.uint64(MIX_LAST_SHIFT)
+        x ^= x >> np.uint32(shift)
+        x *= np.uint32(factor)
+    x ^= x >> np.uint32(MIX_LAST_SHIFT)
     return x
 
 
-def _poisson_cuts() -> list[int]:
+def poisson_cuts(rate: float = 1.0) -> list[int]:
+    """Cumulative Poisson probabilities as 32-bit integers: a draw is the number of cuts that the hash reaches."""
     cuts, total = [], 0.0
     for k in range(13):
-        total += math.exp(-1.0) / math.factorial(k)
-        cuts.append(math.floor(total * 2**32))
+        total += math.exp(-rate) * rate**k / math.factorial(k)
+        cuts.append(min(math.floor(total * 2**32), MASK32))
     return cuts
 
 
-# Cumulative Poisson(1) probabilities as 32-bit integers: a draw is the number of cuts that the hash reaches.
-POISSON_CUTS = _poisson_cuts()
+POISSON_CUTS = poisson_cuts()
 
 
-def poisson1(h: Column) -> Column:
-    """A Poisson(1) count from a 32-bit hash."""
-    weight = F.lit(len(POISSON_CUTS))
-    for k in reversed(range(len(POISSON_CUTS))):
-        weight = F.when(h < F.lit(POISSON_CUTS[k]), F.lit(k)).otherwise(weight)
-    return weight
+def poisson(h: Column, cuts: Sequence[int] = POISSON_CUTS) -> Column:
+    """A Poisson count from a 32-bit hash."""
+    count = F.lit(len(cuts))
+    for k in reversed(range(len(cuts))):
+        count = F.when(h < F.lit(cuts[k]), F.lit(k)).otherwise(count)
+    return count
 
 
-def poisson1_array(h: np.ndarray) -> np.ndarray:
-    """``poisson1`` for NumPy arrays inside tasks."""
-    return np.searchsorted(np.array(POISSON_CUTS, dtype=np.uint64), h, side="right")
+def poisson_array(h: np.ndarray, cuts: Sequence[int] = POISSON_CUTS) -> np.ndarray:
+    """``poisson`` for NumPy arrays of 32-bit hashes inside tasks."""
+    count = np.zeros(h.shape, np.uint8)
+    for cut in cuts:
+        count += h >= np.uint32(cut)
+    return count

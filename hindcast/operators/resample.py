@@ -10,36 +10,32 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hindcast.functions.draws import REPLICATE_STEP, key_hash, mix32_array, poisson1_array
+from hindcast.functions.draws import POISSON_CUTS, key_hash
 from hindcast.operators.prefix import cut_points, with_range
-from hindcast.operators.sampling import drawn_rows, row_ordinals
+from hindcast.operators.sampling import CELLS, plan_resample, row_counts, with_added
 from hindcast.session import shuffle_width
 
-BLOCK_CELLS = 4_000_000
+def _weights(streams: np.ndarray, cuts: Sequence[int]) -> Callable:
+    """Per group of rows a function of replicates ``first`` to ``last``: what each row drew, rows by replicates."""
 
+    def of(pdf: pd.DataFrame) -> Callable[[int, int], np.ndarray]:
+        slots = pdf["_slot"].to_numpy()
+        lists = [x if x is not None else () for x in pdf["_extra"]] if "_extra" in pdf else []
+        b = np.concatenate([*map(np.asarray, lists), []]).astype(np.int64)
+        row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+        order = np.argsort(b, kind="stable")
+        b, row = b[order], row[order]
 
-def _hashed_weights(pdf: pd.DataFrame, replicates: int) -> Callable[[int, int], np.ndarray]:
-    """Poisson(1) weights from each row's hash: rows by replicates ``first`` to ``last``."""
-    slot = pdf["_slot"].to_numpy(np.uint64)[:, None]
-    return lambda first, last: poisson1_array(
-        mix32_array(slot + np.arange(first, last, dtype=np.uint64)[None, :] * np.uint64(REPLICATE_STEP))).astype(np.float64)
+        def block(first: int, last: int) -> np.ndarray:
+            counts = row_counts(slots, streams[first:last], cuts).astype(np.float64)
+            lo, hi = np.searchsorted(b, [first, last])
+            if hi > lo:
+                np.add.at(counts, (row[lo:hi], b[lo:hi] - first), 1.0)
+            return counts
 
+        return block
 
-def _listed_weights(pdf: pd.DataFrame, replicates: int) -> Callable[[int, int], np.ndarray]:
-    """Weights from each row's list of the replicates that drew it."""
-    lists = pdf["_draws"]
-    b = np.concatenate(lists.to_list()).astype(np.int64)
-    row = np.repeat(np.arange(len(pdf)), lists.map(len).to_numpy())
-    order = np.argsort(b, kind="stable")
-    b, row = b[order], row[order]
-
-    def block(first: int, last: int) -> np.ndarray:
-        lo, hi = np.searchsorted(b, [first, last])
-        width = last - first
-        flat = np.bincount(row[lo:hi] * width + (b[lo:hi] - first), minlength=len(pdf) * width)
-        return flat.reshape(len(pdf), width).astype(np.float64)
-
-    return block
+    return of
 
 
 def _range_wins(replicates: int, weights: Callable) -> Callable[[pd.DataFrame], pd.DataFrame]:
@@ -47,19 +43,24 @@ def _range_wins(replicates: int, weights: Callable) -> Callable[[pd.DataFrame],
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pred", ascending=False, kind="stable")
-        pred, positive = pdf["pred"].to_numpy(), pdf["label"].to_numpy() == 1
+        pred, positive = pdf["pred"].to_numpy(), (pdf["label"].to_numpy() == 1).astype(np.float64)[:, None]
         starts = np.flatnonzero(np.r_[True, pred[1:] != pred[:-1]])
-        draw, width = weights(pdf, replicates), max(1, BLOCK_CELLS // len(pdf))
+        ties = len(starts) < len(pred)
+        draw, width = weights(pdf), max(1, CELLS // len(pdf))
         parts = []
         for first in range(0, replicates, width):
             last = min(first + width, replicates)
             w = draw(first, last)
-            pos = np.add.reduceat(w * positive[:, None], starts, axis=0)
-            neg = np.add.reduceat(w * ~positive[:, None], starts, axis=0)
-            wins = (neg * (np.cumsum(pos, axis=0) - pos / 2)).sum(axis=0)
-            parts.append(pd.DataFrame({"b": np.arange(first, last, dtype=np.int32), "pos": pos.sum(axis=0),
-                                       "neg": neg.sum(axis=0), "wins": wins}))
-        out = pd.concat(parts)
+            pos = w * positive
+            neg = w - pos
+            if ties:
+                pos, neg = np.add.reduceat(pos, starts, axis=0), np.add.reduceat(neg, starts, axis=0)
+            above = np.cumsum(pos, axis=0)
+            total = above[-1].copy()
+            above -= pos / 2
+            parts.append((total, neg.sum(axis=0), np.einsum("ij,ij->j", neg, above)))
+        out = pd.DataFrame({"b": np.arange(replicates, dtype=np.int32)}
+                           | {c: np.concatenate([p[i] for p in parts]) for i, c in enumerate(("pos", "neg", "wins"))})
         out["model"], out["_range"] = pdf["model"].iloc[0], pdf["_range"].iloc[0]
         return out[["model", "_range", "b", "pos", "neg", "wins"]]
 
@@ -97,15 +98,15 @@ def bootstrap_aucs(scores: DataFrame, replicates: int, seed: int = 12345, key: s
                    ranges: int | None = None) -> DataFrame:
     """AUC per (replicate, model) from n-of-n draws; all models see the same draws. One-class draws give NULL.
 
-    ``scores`` has one row per model and key. Replicates times rows draws are shuffled once, as lists of replicates per
-    row; for large tables use ``poisson_aucs``.
+    ``scores`` has one row per model and key. A row draws most of its weights where it lands, from its key, and brings the
+    few draws that were added (see ``Resample``), so shuffles and memory do not grow with rows times replicates.
     """
     ranges = ranges or shuffle_width(scores.sparkSession)
     keys = scores.select(key).distinct()
-    rows = scores.select("model", key, "label", F.col("pred").cast("double")) \
-        .join(row_ordinals(keys, seed, key), key).join(drawn_rows(keys, replicates, seed, key), "ordinal") \
-        .select("model", "label", "pred", F.col("ordinal").alias("_slot"), F.col("draws").alias("_draws"))
-    return _aucs(rows, scores, replicates, _listed_weights, ranges)
+    plan = plan_resample(keys, replicates, seed, key)
+    rows = key_hash(scores.select("model", key, "label", F.col("pred").cast("double")), seed, key, "_slot")
+    rows = with_added(rows, keys, plan, seed, key).select("model", "label", "pred", "_slot", "_extra")
+    return _aucs(rows, scores, replicates, _weights(plan.streams, plan.cuts), ranges)
 
 
 def poisson_aucs(scores: DataFrame, replicates: int, seed: int = 12345, key: str = "csn",
@@ -118,7 +119,7 @@ def poisson_aucs(scores: DataFrame, replicates: int, seed: int = 12345, key: str
     ranges = ranges or shuffle_width(scores.sparkSession)
     rows = key_hash(scores.select("model", key, "label", F.col("pred").cast("double")), seed, key, "_slot") \
         .select("model", "label", "pred", "_slot")
-    return _aucs(rows, scores, replicates, _hashed_weights, ranges)
+    return _aucs(rows, scores, replicates, _weights(np.arange(replicates), POISSON_CUTS), ranges)
 
 
 def auc_interval(aucs: DataFrame, ci: float = 95) -> DataFrame:

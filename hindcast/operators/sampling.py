@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hindcast.functions.draws import REPLICATE_STEP, key_hash, mix32, mix32_array, poisson1, uniform
+from hindcast.functions.draws import (REPLICATE_STEP, key_hash, mix32, mix32_array, poisson, poisson_array, poisson_cuts,
+                                      uniform)
 from hindcast.functions.scalars import quoted
 from hindcast.operators.prefix import random_rank
-from hindcast.session import spread
-
-DRAWS_AT_A_TIME = 4_000_000
+from hindcast.session import shuffle_width, spread
 
 
 def sample_one(df: DataFrame, seed: int, patient: str = "empi", key: str = "csn") -> DataFrame:
@@ -84,51 +85,75 @@ def _spread_keys(df: DataFrame, seed: int, key: str) -> DataFrame:
     return key_hash(spread(df.select(key), key), seed, key, "_slot")
 
 
-def _draw_lists(replicates: int, seed: int) -> Callable:
-    """From (_slot, _n) batches: the rows drawn, and for each the replicates whose draw it was."""
+@dataclass(frozen=True)
+class Resample:
+    """n-of-n draws of many replicates: a count that each row draws by itself, and a few draws that are dealt out.
+
+    Independent Poisson counts, given their sum t, are t draws of n rows with replacement. So each row draws a Poisson count
+    from its own key, at a rate a little below 1; what a replicate then lacks to n, about ``SHORT`` * sqrt(n) draws, is
+    drawn row by row and added. Together they are n draws of n rows, and only the added ones travel. A replicate whose counts
+    already exceed n, which happens about once in a billion, takes the next stream of counts.
+    """
+
+    n: int
+    cuts: tuple[int, ...]
+    streams: np.ndarray  # per replicate, the number that its rows' hashes are moved by
+    missing: np.ndarray  # per replicate, the draws to add
+
+
+SHORT = 6
+CELLS = 1 << 17  # rows times replicates drawn at a time, so that they stay in the processor's cache
+
+
+def row_counts(slots: np.ndarray, streams: np.ndarray, cuts: Sequence[int]) -> np.ndarray:
+    """(rows, streams): each row's own count in each stream."""
+    moved = (streams.astype(np.uint64) * np.uint64(REPLICATE_STEP)).astype(np.uint32)
+    return poisson_array(mix32_array(slots.astype(np.uint32)[:, None] + moved[None, :]), cuts)
+
 
-    def lists(slot: np.ndarray, n: int) -> pa.RecordBatch:
-        b = np.arange(replicates, dtype=np.uint64)
-        h1 = mix32_array((slot[:, None] + b[None, :] * np.uint64(REPLICATE_STEP)).ravel())
-        h2 = mix32_array(h1 + np.uint64(seed))
-        unit = ((h1 << np.uint64(21)) + (h2 >> np.uint64(11))).astype(np.float64) / 2.0**53
-        ordinal = np.floor(unit * float(n)).astype(np.int64)
-        order = np.argsort(ordinal, kind="stable")
-        ordinal = ordinal[order]
-        starts = np.flatnonzero(np.r_[True, ordinal[1:] != ordinal[:-1]])
-        values = pa.array((order % replicates).astype(np.int32))
-        ends = pa.array(np.r_[starts, len(order)].astype(np.int32))
-        return pa.RecordBatch.from_arrays([pa.array(ordinal[starts]), pa.ListArray.from_arrays(ends, values)],
-                                          names=["ordinal", "draws"])
+def _totals(streams: np.ndarray, cuts: Sequence[int]) -> Callable:
+    """From batches of _slot: one row per task, the counts of its rows added up per stream."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width, waiting, n = max(1, DRAWS_AT_A_TIME // replicates), [], 0
+        total = np.zeros(len(streams), np.int64)
+        width = 256
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            n = batch.column("_n")[0].as_py()
-            waiting.append(batch.column("_slot").to_numpy().astype(np.uint64))
-            while sum(map(len, waiting)) >= width:
-                slots = np.concatenate(waiting)
-                yield lists(slots[:width], n)
-                waiting = [slots[width:]]
-        rest = np.concatenate(waiting) if waiting else np.array([])
-        if len(rest):
-            yield lists(rest, n)
+            slots = batch.column("_slot").to_numpy().astype(np.uint32)
+            for first in range(0, len(streams), width):
+                for at in range(0, len(slots), CELLS // width):
+                    total[first:first + width] += row_counts(slots[at:at + CELLS // width], streams[first:first + width],
+                                                             cuts).sum(axis=0, dtype=np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([total])], names=["totals"])
 
     return run
 
 
-def drawn_rows(df: DataFrame, replicates: int, seed: int = 12345, key: str = "csn") -> DataFrame:
-    """(ordinal, draws): for each drawn row number of 0 to n-1, the replicates that drew it, with repeats.
-
-    n-of-n resampling: every row makes one draw per replicate, a hash of (seed, its key, replicate) that names the row
-    drawn. Draws are made in arrays and leave a task as lists per row drawn.
-    """
-    n = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    slots = _spread_keys(df, seed, key).select("_slot", n.alias("_n"))
-    parts = slots.mapInArrow(_draw_lists(replicates, seed), "ordinal long, draws array<int>")
-    return parts.groupBy("ordinal").agg(F.flatten(F.collect_list("draws")).alias("draws"))
+def plan_resample(df: DataFrame, replicates: int, seed: int = 12345, key: str = "csn") -> Resample:
+    """How to draw as many rows as ``df`` has, ``replicates`` times. The driver holds two numbers per replicate."""
+    slots = _spread_keys(df, seed, key).select("_slot")
+    n = df.count()
+    cuts = tuple(poisson_cuts(max(0.0, 1 - SHORT / math.sqrt(n)) if n else 0.0))
+    streams, missing = np.arange(replicates, dtype=np.int64), np.zeros(replicates, np.int64)
+    todo = np.arange(replicates)
+    while len(todo):
+        sums = slots.mapInArrow(_totals(streams[todo], cuts), "totals array<bigint>") \
+            .select(F.posexplode("totals").alias("i", "total")).groupBy("i").agg(F.sum("total").alias("total")).collect()
+        total = np.zeros(len(todo), np.int64)
+        for r in sums:
+            total[r.i] = r.total
+        missing[todo] = n - total
+        todo = todo[total > n]
+        streams[todo] += replicates
+    return Resample(n, cuts, streams, missing)
+
+
+def added_draws(spark: SparkSession, plan: Resample, seed: int) -> DataFrame:
+    """(ordinal, extra): for the rows drawn in addition, by number, the replicates that drew them, with repeats."""
+    wanted = spark.createDataFrame(list(zip(range(len(plan.missing)), plan.missing.tolist())), "b int, missing bigint")
+    picks = wanted.repartition(shuffle_width(spark), "b").where("missing > 0") \
+        .select("b", F.explode(F.sequence(F.lit(1).cast("bigint"), "missing")).alias("pick"))
+    ordinal = F.floor(uniform(seed, "b", "pick") * plan.n).alias("ordinal")
+    return picks.select(ordinal, "b").groupBy("ordinal").agg(F.collect_list("b").alias("extra"))
 
 
 def row_ordinals(df: DataFrame, seed: int = 12345, key: str = "csn") -> DataFrame:
@@ -136,25 +161,36 @@ def row_ordinals(df: DataFrame, seed: int = 12345, key: str = "csn") -> DataFram
     return random_rank(df.select(key), seed, key, "ordinal").withColumn("ordinal", F.col("ordinal") - 1)
 
 
-def bootstrap_draws(df: DataFrame, replicates: int, seed: int = 12345, key: str = "csn") -> DataFrame:
-    """n-of-n resampling with replacement: (b, key, weight), weight being how often replicate b drew the row.
+def with_added(rows: DataFrame, keys: DataFrame, plan: Resample, seed: int, key: str) -> DataFrame:
+    """``rows`` with ``_extra``, the replicates that drew the row's key in addition."""
+    extra = row_ordinals(keys, seed, key).join(added_draws(rows.sparkSession, plan, seed), "ordinal") \
+        .select(key, F.col("extra").alias("_extra"))
+    return rows.join(extra, key, "left")
 
-    Replicates times rows draws are shuffled, once; ``poisson_draws`` needs no shuffle of them.
-    """
-    picks = drawn_rows(df, replicates, seed, key).select("ordinal", F.explode("draws").alias("b")) \
-        .groupBy("b", "ordinal").agg(F.count(F.lit(1)).alias("weight"))
-    return picks.join(row_ordinals(df, seed, key), "ordinal").select("b", key, "weight")
 
+def bootstrap_draws(df: DataFrame, replicates: int, seed: int = 12345, key: str = "csn") -> DataFrame:
+    """n-of-n resampling with replacement: (b, key, weight), weight being how often replicate b drew the row. Rows that a
+    replicate did not draw are left out. What is shuffled are the rows and about SHORT * sqrt(n) draws per replicate."""
+    plan = plan_resample(df, replicates, seed, key)
+    stream = F.col("b").cast("bigint")
+    for b in np.flatnonzero(plan.streams != np.arange(replicates)).tolist():
+        stream = F.when(F.col("b") == b, F.lit(int(plan.streams[b]))).otherwise(stream)
+    rows = with_added(_spread_keys(df, seed, key), df.select(key), plan, seed, key) \
+        .withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    rows = mix32(rows, F.col("_slot") + stream * F.lit(REPLICATE_STEP), "_h1")
+    b = F.col("b")
+    extra = F.when(F.col("_extra").isNull(), F.lit(0)).otherwise(F.size(F.filter("_extra", lambda x: x == b)))
+    return rows.select("b", key, (poisson(F.col("_h1"), plan.cuts) + extra).cast("bigint").alias("weight")).where("weight > 0")
 
-def poisson_draws(df: DataFrame, replicates: int, seed: int = 12345, key: str = "csn") -> DataFrame:
-    """The large-n form: each row gets a Poisson(1) weight per replicate, from its own key; zero weights are left out.
 
-    Sizes vary around n instead of being n, by a share of about 1/sqrt(n).
+def poisson_draws(df: DataFrame, replicates: int, seed: int = 12345, key: str = "csn") -> DataFrame:
+    """The form without any shuffle: each row gets a Poisson(1) weight per replicate, from its own key; zero weights are
+    left out. Sizes vary around n instead of being n, by a share of about 1/sqrt(n).
     """
     rows = _spread_keys(df, seed, key) \
         .withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     rows = mix32(rows, F.col("_slot") + F.col("b") * F.lit(REPLICATE_STEP), "_h1")
-    return rows.select("b", key, poisson1(F.col("_h1")).cast("bigint").alias("weight")).where("weight > 0")
+    return rows.select("b", key, poisson(F.col("_h1")).cast("bigint").alias("weight")).where("weight > 0")
 
 
 def background_sample(df: DataFrame, draws: DataFrame, seed: int, key: str, draw: str = "draw") -> DataFrame:

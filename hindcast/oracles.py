@@ -3,9 +3,14 @@ no shared logic with the Spark side."""
 
 from __future__ import annotations
 
-from hindcast.functions.draws import MASK32, MIX_LAST_SHIFT, MIX_STEPS, POISSON_CUTS, REPLICATE_STEP
+import math
+
 from hindcast.sources.clinical import DRIVER_TESTS, SITES, STAGE_GROUPS
 
+# The 32-bit hash by two shift-multiply steps and a shift, and its step from replicate to replicate.
+MASK32, MIX_STEPS, MIX_LAST_SHIFT, REPLICATE_STEP = 2**32 - 1, ((16, 0x7FEB352D), (15, 0x31848BAB)), 14, 2654435
+PICK = "b, '|', pick"
+
 ORACLES: dict[str, str] = {}
 TESTS_SQL = ", ".join(f"'{t}'" for t in DRIVER_TESTS)
 METRIC_COUNTS = """
@@ -58,7 +63,7 @@ VIEWS = {
         FROM pat_list""",
     "scores": f"""
         SELECT csn, empi, pat_id, model, label,
-            round(w * label + (1 - w) * {u('model', 'csn')}, 3) AS pred, specialty, pat_age, sex_c, surv
+            w * label + (1 - w) * {u('model', 'csn')} AS pred, specialty, pat_age, sex_c, surv
         FROM enc, (VALUES ('rf', 0.5::DOUBLE), ('gb', 0.45::DOUBLE), ('lr', 0.4::DOUBLE)) m(model, w)""",
     "cohort": f"""
         SELECT *, CASE WHEN {u(123456, 'empi')} < 0.7 THEN 'train' ELSE 'test' END AS "group" FROM (
@@ -307,25 +312,34 @@ def keyed(source: str, key: str, keep: str, seed: int = 12345) -> str:
     return mixed(low, f"xor(_slot, {key}::BIGINT >> 32)", "_slot", keep)
 
 
-def exact_draws(replicates: int, seed: int = 12345) -> str:
+def exact_draws(replicates: int, seed: int = 12345, first: int = 0) -> str:
+    """Poisson counts at a rate a little below 1 from each row's hash, and what a replicate lacks to n drawn one by one."""
     ordinals = f"SELECT csn, row_number() OVER (ORDER BY {u(seed, 'csn')}, csn) - 1 AS ordinal FROM enc"
-    rows = f"SELECT _slot, b::BIGINT AS b FROM ({keyed('SELECT csn FROM enc', 'csn', 'csn')}), range({replicates}) t(b)"
-    h1 = mixed(rows, f"_slot + b * {REPLICATE_STEP}", "_h1", "b")
-    h2 = mixed(h1, f"_h1 + {seed}", "_h2", "b, _h1")
+    rows = f"SELECT csn, _slot, b::BIGINT AS b FROM ({keyed('SELECT csn FROM enc', 'csn', 'csn')}), " \
+           f"range({first}, {replicates}) t(b)"
     return f"""
-        SELECT CAST(b AS INT) AS b, csn, count(*) AS weight FROM (
-            SELECT b, CAST(floor(((_h1 << 21) + (_h2 >> 11)) / power(2::DOUBLE, 53) * (SELECT count(*) FROM enc)) AS BIGINT)
-                AS ordinal FROM ({h2}))
-        JOIN ({ordinals}) USING (ordinal) GROUP BY b, csn"""
+        SELECT CAST(b AS INT) AS b, csn, CAST(sum(weight) AS BIGINT) AS weight FROM (
+            WITH size AS (SELECT count(*) AS n, greatest(0, 1 - 6 / sqrt(count(*))) AS rate FROM enc),
+            cuts AS (SELECT list(least(floor(below * power(2::DOUBLE, 32)), {2**32 - 1})::BIGINT ORDER BY k) AS c FROM (
+                SELECT k, sum(exp(-rate) * power(rate, k) / factorial(k::INT)::DOUBLE) OVER (ORDER BY k) AS below
+                FROM size, range(13) t(k))),
+            own AS (SELECT b, csn, {' + '.join(f'CAST(_h1 >= c[{k}] AS INT)' for k in range(1, 14))} AS weight
+                    FROM ({mixed(rows, f'_slot + b * {REPLICATE_STEP}', '_h1', 'csn, b')}), cuts),
+            lacks AS (SELECT b, any_value(n) - sum(weight) AS missing FROM own, size GROUP BY b),
+            picks AS (SELECT b, unnest(range(1, missing::BIGINT + 1)) AS pick FROM lacks),
+            added AS (SELECT b, CAST(floor({u(seed, PICK)} * n) AS BIGINT) AS ordinal FROM picks, size)
+            SELECT b, csn, weight FROM own WHERE weight > 0
+            UNION ALL SELECT b, csn, 1 FROM added JOIN ({ordinals}) USING (ordinal)) GROUP BY b, csn"""
 
 
 def poisson_draws(replicates: int) -> str:
     rows = f"SELECT csn, _slot, b::BIGINT AS b FROM ({keyed('SELECT csn FROM enc', 'csn', 'csn')}), " \
            f"range({replicates}) t(b)"
-    weight = " + ".join(f"CAST(_h1 >= {c} AS INT)" for c in POISSON_CUTS)
+    cuts = [math.floor(2**32 * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(13)]
+    weight = " + ".join(f"CAST(_h1 >= {min(c, 2**32 - 1)} AS INT)" for c in cuts)
     return f"""
         SELECT CAST(b AS INT) AS b, csn, CAST({weight} AS BIGINT) AS weight
-        FROM ({mixed(rows, f'_slot + b * {REPLICATE_STEP}', '_h1', 'csn, b')}) WHERE _h1 >= {POISSON_CUTS[0]}"""
+        FROM ({mixed(rows, f'_slot + b * {REPLICATE_STEP}', '_h1', 'csn, b')}) WHERE _h1 >= {cuts[0]}"""
 
 
 add("bootstrap_draws", "enc", exact_draws(20))
@@ -542,6 +556,9 @@ COMPARE = f"""
         {r('0.05::DOUBLE / 3', 'alpha_each')}
     FROM aucs a JOIN aucs c USING (b)
     WHERE (a.model, c.model) IN (('rf', 'gb'), ('rf', 'lr'), ('gb', 'lr')) GROUP BY a.model, c.model"""
-for suffix, draws in (("", exact_draws(200)), ("_poisson", poisson_draws(200))):
-    add(f"auc_ci{suffix}", "scores", CI, {"aucs": replicate_aucs(draws)})
-    add(f"bootstrap_compare{suffix}", "scores", COMPARE, {"aucs": replicate_aucs(draws)})
+# A thousand replicates at a time.
+ALL_AUCS = " UNION ALL ".join(f"({replicate_aucs(exact_draws(b + 1000, first=b))})" for b in range(0, 10_000, 1000))
+add("auc_ci", "scores", CI, {"aucs": replicate_aucs(exact_draws(1000))})
+add("bootstrap_compare", "scores", COMPARE, {"aucs": ALL_AUCS})
+add("auc_ci_poisson", "scores", CI, {"aucs": replicate_aucs(poisson_draws(1000))})
+add("bootstrap_compare_poisson", "scores", COMPARE, {"aucs": replicate_aucs(poisson_draws(1000))})

@@ -23,7 +23,7 @@ QUERIES: dict[str, Query] = {}
 MODELS = ("rf", "gb", "lr")
 CATEGORIES = {"body_site_name": clinical.SITES, "stage_group": clinical.STAGE_GROUPS}
 LINE_NUMERICS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
-REPLICATES = 200
+CI_REPLICATES, COMPARE_REPLICATES = 1000, 10_000
 SURVIVAL_CUT = 0.272073
 
 
@@ -505,22 +505,22 @@ def survival_multi_cut(spark, sf):
 
 @query
 def auc_ci(spark, sf):
-    return rounded(resample.auc_ci(_scores(spark, sf), REPLICATES))
+    return rounded(resample.auc_ci(_scores(spark, sf), CI_REPLICATES))
 
 
 @query
 def auc_ci_poisson(spark, sf):
-    return rounded(resample.auc_ci(_scores(spark, sf), REPLICATES, method="poisson"))
+    return rounded(resample.auc_ci(_scores(spark, sf), CI_REPLICATES, method="poisson"))
 
 
 @query
 def bootstrap_compare(spark, sf):
-    return rounded(resample.bootstrap_compare(_scores(spark, sf), MODELS, REPLICATES))
+    return rounded(resample.bootstrap_compare(_scores(spark, sf), MODELS, COMPARE_REPLICATES))
 
 
 @query
 def bootstrap_compare_poisson(spark, sf):
-    return rounded(resample.bootstrap_compare(_scores(spark, sf), MODELS, REPLICATES, method="poisson"))
+    return rounded(resample.bootstrap_compare(_scores(spark, sf), MODELS, CI_REPLICATES, method="poisson"))
 
 
 # Models

@@ -97,8 +97,8 @@ def scores(spark: SparkSession, sf: str) -> DataFrame:
     """Three models' scores, long: one row per encounter and model."""
     models = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.lit(w).alias("w"))
                                  for m, w in MODEL_WEIGHTS.items()]))
-    pred = F.round(F.col("m.w") * F.col("label")
-                   + (F.lit(1.0) - F.col("m.w")) * uniform_text(F.col("m.model"), F.col("csn")), 3)
+    pred = F.col("m.w") * F.col("label") \
+        + (F.lit(1.0) - F.col("m.w")) * uniform_text(F.col("m.model"), F.col("csn"))
     return (
         enc(spark, sf).withColumn("m", models)
         .select("csn", "empi", "pat_id", F.col("m.model").alias("model"), "label", pred.alias("pred"),

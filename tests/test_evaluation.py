@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hindcast.functions.beta import beta_quantile
-from hindcast.functions.draws import POISSON_CUTS, key_hash, mix32_array, poisson1, poisson1_array
+from hindcast.functions.draws import POISSON_CUTS, key_hash, mix32_array, poisson, poisson_array
 from hindcast.functions.scalars import grid_rank
 from hindcast.operators import metrics, resample, sampling, survival
 from hindcast.operators.prefix import exact_quantiles, random_rank, running_sums
@@ -136,11 +136,11 @@ def test_only_top_rows_are_shuffled_for_top_errors(spark):
 # Draws
 
 def test_draw_functions_agree_between_spark_and_numpy(spark):
-    df = key_hash(spark.range(1000), 7, "id", "h").withColumn("w", poisson1(F.col("h")))
+    df = key_hash(spark.range(1000), 7, "id", "h").withColumn("w", poisson(F.col("h")))
     got = df.orderBy("id").toPandas()
     low = mix32_array(np.arange(1000, dtype=np.uint64) ^ np.uint64(7))
     assert (got.h.to_numpy(np.uint64) == mix32_array(low)).all()
-    assert (got.w.to_numpy() == poisson1_array(got.h.to_numpy(np.uint64))).all()
+    assert (got.w.to_numpy() == poisson_array(got.h.to_numpy(np.uint32))).all()
     assert POISSON_CUTS[0] == math.floor(math.exp(-1) * 2**32)
 
 
