@@ -510,13 +510,14 @@ add("model_report", "scores", f"""
                       count(*) FILTER (WHERE label = 0) AS neg FROM grouped GROUP BY ALL))
         GROUP BY model, grp) USING (model, grp)""", {"grouped": REPORT_SOURCE})
 POINT = "CASE WHEN {i} = 10 THEN hi ELSE lo + {i} * ((hi - lo) / 10::DOUBLE) END"
-add("calibration", "scores", f"""
+CALIBRATION = f"""
     SELECT model, CAST(i AS INT) AS bin, {r('lo + i * ((hi - lo) / 10::DOUBLE) + (hi - lo) / 10::DOUBLE / 2', 'center')},
         coalesce(CAST(sum(label) AS BIGINT), 0) AS positives, count(label) AS n,
         {r(div('sum(label)', 'count(label)'), 'fraction')}
     FROM (SELECT model, min(pred) AS lo, max(pred) AS hi FROM scores GROUP BY model) CROSS JOIN range(10) t(i)
     LEFT JOIN scores s USING (model)
-    WHERE pred >= {POINT.format(i='i')} AND pred < {POINT.format(i='(i + 1)')} GROUP BY model, i, lo, hi""")
+    WHERE pred >= {POINT.format(i='i')} AND pred < {POINT.format(i='(i + 1)')} GROUP BY model, i, lo, hi"""
+add("calibration", "scores", CALIBRATION)
 
 
 def survival(cuts: list[float], days: int) -> str:
@@ -535,6 +536,28 @@ add("survival_curve", "scores", survival([0.272073], 501))
 add("survival_multi_cut", "scores", survival([0.1, 0.2, 0.3, 0.4, 0.5, 0.6], 181))
 
 
+def with_beta_interval(counts: str, num: str, denom: str) -> str:
+    """Bounds of Beta(num + 1, denom - num + 1): the density of the log odds, added up on a grid of a hundredth of its width
+    (trapezoids with their end correction), and the place in the cell where the wanted share is reached."""
+    bound = """
+        SELECT id, round(odds / (1 + odds), 6) + 0.0::DOUBLE AS {name} FROM (SELECT id, a / b * exp(
+                u + (3 * t * t - 2 * t * t * t) * h + (t - 2 * t * t + t * t * t) * (f1 - f0) / d0 + (t * t * t - t * t) * (f1 - f0) / d1)
+                AS odds FROM (SELECT *, ({p} * total - f0) / (f1 - f0) AS t FROM cells
+                              WHERE f0 <= {p} * total AND f1 > {p} * total))"""
+    return f"""
+        SELECT * FROM (WITH counts AS MATERIALIZED (SELECT *, row_number() OVER () AS id FROM ({counts})),
+        grid AS (SELECT id, {num} + 1.0::DOUBLE AS a, {denom} - {num} + 1.0::DOUBLE AS b,
+                        sqrt(1 / a + 1 / b) / 100 AS h, i * h AS u FROM counts, range(-4500, 4501) t(i)),
+        dens AS (SELECT *, exp(-a * ln(1 + b / (a + b) * (exp(-u) - 1)) - b * ln(1 + a / (a + b) * (exp(u) - 1))) AS d0 FROM grid),
+        sums AS (SELECT *, h * (sum(d0) OVER w - d0 / 2) - h * h / 12 * d0 * (a - a * exp(u)) / (1 + a / b * exp(u)) AS f0,
+                        h * sum(d0) OVER (PARTITION BY id) AS total FROM dens WINDOW w AS (PARTITION BY id ORDER BY u)),
+        cells AS (SELECT *, lead(f0) OVER w AS f1, lead(d0) OVER w AS d1 FROM sums
+                  WHERE f0 BETWEEN 0.02 * total AND 0.03 * total OR f0 BETWEEN 0.97 * total AND 0.98 * total
+                  WINDOW w AS (PARTITION BY id ORDER BY u)),
+        lows AS ({bound.format(p=0.025, name='lower')}), highs AS ({bound.format(p=0.975, name='upper')})
+        SELECT counts.* EXCLUDE (id), lower, upper FROM counts JOIN lows USING (id) JOIN highs USING (id))"""
+
+
 def replicate_aucs(draws: str) -> str:
     return f"""
         SELECT b, model, sum(neg * (cum - pos / 2)) / nullif(sum(pos) * sum(neg), 0) AS auc FROM (
@@ -556,6 +579,8 @@ COMPARE = f"""
         {r('0.05::DOUBLE / 3', 'alpha_each')}
     FROM aucs a JOIN aucs c USING (b)
     WHERE (a.model, c.model) IN (('rf', 'gb'), ('rf', 'lr'), ('gb', 'lr')) GROUP BY a.model, c.model"""
+add("calibration_interval", "scores", with_beta_interval(CALIBRATION, "positives", "n"))
+add("survival_interval", "scores", with_beta_interval(survival([0.272073], 181), "n_survived", "n_group"))
 # A thousand replicates at a time.
 ALL_AUCS = " UNION ALL ".join(f"({replicate_aucs(exact_draws(b + 1000, first=b))})" for b in range(0, 10_000, 1000))
 add("auc_ci", "scores", CI, {"aucs": replicate_aucs(exact_draws(1000))})

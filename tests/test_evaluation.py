@@ -209,9 +209,29 @@ def test_beta_quantiles():
     assert beta_quantile(.025, [1.0], [11.0])[0] == pytest.approx(1 - .975 ** (1 / 11), abs=1e-10)
     assert beta_quantile(.975, [8.0], [1.0])[0] == pytest.approx(.975 ** (1 / 8), abs=1e-10)
     assert beta_quantile(.5, [40.0], [40.0])[0] == pytest.approx(.5, abs=1e-10)
-    near, far = beta_quantile(.975, [99_000.0], [300_000.0])[0], beta_quantile(.975, [101_000.0], [300_000.0])[0]
-    exact = lambda a, b: a / (a + b) + 1.959964 * math.sqrt(a * b / (a + b) ** 2 / (a + b + 1))
-    assert near == pytest.approx(exact(99e3, 3e5), abs=1e-5) and far == pytest.approx(exact(101e3, 3e5), abs=1e-5)
+    # Beta(k, n) counts the k least of n + k - 1 draws: a binomial tail, added up.
+    for k, n, p in ((3, 9, .025), (40, 7, .975), (12, 300, .5)):
+        x, m = beta_quantile(p, [k], [n])[0], n + k - 1
+        assert sum(math.comb(m, i) * x**i * (1 - x) ** (m - i) for i in range(k, m + 1)) == pytest.approx(p, abs=1e-10)
+
+
+@pytest.mark.parametrize("count", [1.0, 10.0, 1e3, 99_000.0, 101_000.0, 1e7, 1e10])
+def test_beta_quantiles_of_large_counts(count):
+    """One method for all counts: closed forms beside a count of one, mirrored shares, the normal limit."""
+    for p in (1e-6, .025, .5, .975):
+        low, high = beta_quantile(p, [1.0], [count])[0], beta_quantile(1 - p, [count], [1.0])[0]
+        assert low == pytest.approx(-math.expm1(math.log1p(-p) / count), rel=1e-8)
+        assert 1 - high == pytest.approx(low, rel=1e-8, abs=1e-15)
+        both = beta_quantile(p, [count, 3 * count], [3 * count, count])
+        if p == .025:
+            assert both[0] == pytest.approx(1 - beta_quantile(.975, [3 * count], [count])[0], rel=1e-9)
+        if count >= 1e7:
+            z = {1e-6: -4.753424308822899, .025: -1.959963984540054, .5: 0, .975: 1.959963984540054}[p]
+            sd = math.sqrt(.25 * .75 / (4 * count + 1))
+            assert both[0] == pytest.approx(.25 + sd * (z + (z * z - 1) * .5 / (6 * math.sqrt(.25 * .75 * 4 * count)) * 2),
+                                            abs=sd * 1e-3)
+    assert (np.diff([beta_quantile(p, [count], [5.0])[0] for p in (.1, .3, .5, .7, .9)]) > 0).all()
+    assert len(beta_quantile(.5, [], [])) == 0
 
 
 def test_calibration(spark):
