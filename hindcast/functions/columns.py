@@ -35,6 +35,11 @@ def logistic_candidates(columns: Sequence[str]) -> list[str]:
     return list(dict.fromkeys(out + [names[c] for c in ("pat_age", "sex_c") if c in names]))
 
 
+def unscaled_inputs(columns: Sequence[str]) -> list[str]:
+    """Counts, deviations and shares of ordered tests: inputs of a logistic model that are taken as they are."""
+    return cols_like(columns, contains=(": count", ": std", ": prop STAT ordered"))
+
+
 def drop_columns(df: DataFrame, names: Sequence[str] = ("pat_id", "empi", "appt_date")) -> DataFrame:
     """Drop index residue (``Unnamed...``) and the named columns that are there."""
     return df.drop(*[c for c in df.columns if c.startswith("Unnamed") or c in names])

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import json
 import logging
+import math
 import random
 from collections.abc import Mapping, Sequence
+from functools import reduce
 from itertools import product
+from statistics import NormalDist
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, Evaluator, MulticlassClassificationEvaluator
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
@@ -20,7 +23,9 @@ from pyspark.sql import functions as F
 
 from hindcast.functions.draws import uniform
 from hindcast.functions.scalars import quoted
+from hindcast.operators.metrics import model_report
 from hindcast.operators.sampling import stratified_folds
+from hindcast.operators.selection import normalisation_stats
 from hindcast.session import materialize
 
 log = logging.getLogger(__name__)
@@ -41,6 +46,66 @@ GB_GRID = {"stepSize": [0.01, 0.05, 0.1], "maxIter": [100, 200, 300], "subsampli
            "maxDepth": [3, 5, 7], "minInstancesPerNode": [1, 2], "featureSubsetStrategy": ["sqrt", "log2", "all"]}
 
 
+PATIENCE, GAIN, HELD_OUT = 5, 1e-4, 0.1
+
+
+def stop_round(losses: Sequence[float], patience: int = PATIENCE, gain: float = GAIN) -> int | None:
+    """The round (from 1) at which boosting stops: the first whose loss is not ``gain`` below one of the ``patience``
+    losses that count before it. None if there is none. A loss that is takes the place of the oldest."""
+    counted = [math.inf] * patience
+    for i, loss in enumerate(losses):
+        if not any(loss + gain < c for c in counted):
+            return i + 1
+        counted[i % patience] = loss
+    return None
+
+
+class PatientBoosting(GBTClassifier):
+    """Boosting that stops after ``patience`` rounds without gain on the rows whose ``held_out`` is true, which it does not fit.
+
+    The ensemble is fitted to 16 rounds, then 32 and so on up to ``maxIter``, and the held-out loss of every round
+    read from it, until the stop is among them. Rounds do not depend on those that follow, so the fit to just that many rounds is
+    the ensemble cut there. ``last_losses`` keeps the losses of the last fit.
+    """
+
+    held_out = "held_out"
+    patience, gain = PATIENCE, GAIN
+
+    def _fit(self, dataset: DataFrame) -> GBTClassificationModel:
+        fitted_on, judged_on = dataset.where(~F.col(self.held_out)), dataset.where(F.col(self.held_out))
+        most, rounds = self.getMaxIter(), min(16, self.getMaxIter())
+        while True:
+            model = GBTClassifier._fit(self.copy({self.maxIter: rounds}), fitted_on)
+            losses = model.evaluateEachIteration(judged_on)
+            stop = stop_round(losses, self.patience, self.gain)
+            if stop is not None or rounds == most:
+                break
+            rounds = min(2 * rounds, most)
+        self.last_losses = losses
+        if stop is not None and stop < rounds:
+            model = GBTClassifier._fit(self.copy({self.maxIter: stop}), fitted_on)
+        return model
+
+
+def with_held_out(df: DataFrame, key: str = "csn", share: float = HELD_OUT, seed: int = 7) -> DataFrame:
+    """Add ``held_out``: a share of the rows, by a hash of their key."""
+    return df.withColumn("held_out", uniform(seed, key) < share)
+
+
+def patient_boosting(df: DataFrame, features: Sequence[str], estimator: PatientBoosting | None = None, key: str = "csn"
+                     ) -> tuple[PipelineModel, DataFrame]:
+    """A boosted model with early stop, and (round, loss, kept): the held-out loss per round and whether the model has it."""
+    estimator = estimator or PatientBoosting(labelCol="label", featuresCol="features", seed=42, subsamplingRate=0.9,
+                                             maxDepth=3, maxIter=100)
+    rows = with_held_out(df, key).select(F.col(key), "held_out", F.col("label").cast("double").alias("label"),
+                                         *[F.col(quoted(f)).cast("double").alias(f) for f in features])
+    prepared = materialize(assembler(features).transform(rows).select(key, "held_out", "label", "features"), key)
+    model = estimator.fit(prepared)
+    losses = [(i + 1, float(x), i < model.getNumTrees) for i, x in enumerate(estimator.last_losses)]
+    return PipelineModel([assembler(features), model]), \
+        df.sparkSession.createDataFrame(losses, "round int, loss double, kept boolean")
+
+
 def random_forest(**params) -> RandomForestClassifier:
     return RandomForestClassifier(labelCol="label", featuresCol="features", seed=42, **params)
 
@@ -99,11 +164,11 @@ def _search(df: DataFrame, features: Sequence[str], estimator, points: Sequence[
 
     The assembled rows with their folds are written once; all fits read that copy.
     """
-    # A boosting fit may hold rows out to decide when to stop; other estimators do not look at the column.
+    # A boosting fit holds rows out to decide when to stop; other estimators do not look at the column.
     table = df.select(F.col(key), F.col("label").cast("double").alias("label"),
                       *[F.col(quoted(f)).cast("double").alias(f) for f in features])
-    vectors = assembler(features).transform(stratified_folds(table, k_cv, 42, "label", key)).select(
-        key, "label", "features", "fold", (uniform(7, key) < 0.1).alias("held_out"))
+    vectors = assembler(features).transform(with_held_out(stratified_folds(table, k_cv, 42, "label", key), key)).select(
+        key, "label", "features", "fold", "held_out")
     prepared = materialize(vectors, key).drop(key)
     maps = _param_maps(estimator, points)
     cv = CrossValidator(estimator=estimator, estimatorParamMaps=maps, evaluator=evaluator, numFolds=k_cv,
@@ -118,11 +183,11 @@ def _search(df: DataFrame, features: Sequence[str], estimator, points: Sequence[
 def random_search(df: DataFrame, features: Sequence[str], kind: str, n_iter: int = 3, k_cv: int = 5,
                   space: Mapping[str, Sequence] | None = None, parallelism: int = 4, key: str = "csn"
                   ) -> tuple[PipelineModel, DataFrame]:
-    """Random search by ROC AUC: kind ``rf`` or ``gb``. Boosting stops early on held-out rows."""
+    """Random search by ROC AUC: kind ``rf`` or ``gb``. Boosting stops after PATIENCE rounds without gain on held-out rows."""
     if kind == "rf":
         estimator, default = random_forest(), RF_SEARCH
     elif kind == "gb":
-        estimator = gradient_boosting(validationIndicatorCol="held_out", validationTol=0.01)
+        estimator = PatientBoosting(labelCol="label", featuresCol="features", seed=42)
         default = GB_SEARCH
     else:
         raise ValueError(f"unknown model type {kind}")
@@ -146,11 +211,14 @@ def fit(df: DataFrame, features: Sequence[str], estimator) -> PipelineModel:
 
 
 def score(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """Add ``pred``, the probability of class 1, and ``predicted``, the hard class."""
-    internal = ("features", "rawPrediction", "probability", "prediction")
+    """Add ``pred``, the probability of class 1, and ``predicted``, the hard class; for trees and logistic models."""
     out = model.transform(df)
-    return out.withColumns({"pred": vector_to_array("probability")[1], "predicted": F.col("prediction").cast("int")}) \
-        .drop(*internal)
+    internal = ["features", "rawPrediction", "probability", "prediction", "_pred", *[c for c in out.columns if c.startswith("_z")]]
+    if "_pred" in out.columns:
+        added = {"pred": F.col("_pred"), "predicted": (F.col("_pred") >= 0.5).cast("int")}
+    else:
+        added = {"pred": vector_to_array("probability")[1], "predicted": F.col("prediction").cast("int")}
+    return out.withColumns(added).drop(*internal)
 
 
 def importances(model: PipelineModel, features: Sequence[str], spark) -> DataFrame:
@@ -160,53 +228,115 @@ def importances(model: PipelineModel, features: Sequence[str], spark) -> DataFra
                                  "feature string, importance double")
 
 
-def recursive_elimination(df: DataFrame, features: Sequence[str], estimator=None,
+def recursive_elimination(df: DataFrame, features: Sequence[str], estimator=None, test: DataFrame | None = None,
                           shares: Sequence[float] = (0.8, 0.6, 0.4, 0.2, 0.0), cap: int = 20) -> DataFrame:
-    """Refit on ever fewer features: (step, n_features, kept, importance) of the features kept after each step.
+    """Refit on ever fewer features: (step, n_features, feature, importance) of the features kept after each step, and with
+    ``test`` rows the AUC, average precision, TPR and specificity of the step's model on all of them.
 
-    A step keeps the best ``int(share * all)`` features, but at most ``cap``; it stops before none are left.
+    A step keeps the best ``int(share * all)`` features, but at most ``cap``; a step that keeps none ends it, with a row of
+    its metrics only. The steps' scores are one long table, judged in one job.
     """
-    spark, kept, rows = df.sparkSession, list(features), []
+    spark, kept, rows, scored = df.sparkSession, list(features), [], []
     data = materialize(df.select("label", *[F.col(quoted(f)) for f in features]))
+    judged = None if test is None else materialize(test.select("label", *[F.col(quoted(f)) for f in features]))
     for step, share in enumerate(shares):
         size = min(int(len(features) * share), cap)
+        if size == 0 and judged is None:
+            break
         model = fit(data, kept, estimator or fixed_gradient_boosting())
+        if judged is not None:
+            scored.append(score(model, judged).select(F.lit(step).alias("step"), "label", "pred"))
         values = model.stages[-1].featureImportances.toArray()
         ranked = sorted(zip(kept, values, strict=True), key=lambda fv: (-fv[1], fv[0]))
-        if size == 0:
-            break
-        rows += [(step, len(kept), f, float(v)) for f, v in ranked[:size]]
+        rows += [(step, len(kept), f, float(v)) for f, v in ranked[:size]] or [(step, len(kept), None, None)]
         kept = [f for f, _ in ranked[:size]]
-    return spark.createDataFrame(rows, "step int, n_features int, feature string, importance double")
+        if not kept:
+            break
+    out = spark.createDataFrame(rows, "step int, n_features int, feature string, importance double")
+    if not scored:
+        return out
+    long = reduce(DataFrame.unionByName, scored)
+    report = model_report(long.select(F.col("step").cast("string").alias("model"), F.lit("test").alias("group"), "label", "pred"))
+    return out.join(report.withColumn("step", F.col("model").cast("int")).drop("model", "group"), "step")
 
 
-def logistic_elimination(df: DataFrame, features: Sequence[str], level: float = 0.1
-                         ) -> tuple[PipelineModel, list[str], DataFrame]:
-    """Logistic regression, dropping all variables with p >= ``level`` at once until their number is stable.
+WALD = "variable string, coefficient double, std_error double, t_value double, p_value double"
+
+
+def _intercept_only(data: DataFrame) -> list[tuple]:
+    """The Wald row of a model without variables: the log odds of the label."""
+    n, positives = data.agg(F.count(F.lit(1)), F.sum("label")).first()
+    rate = positives / n
+    odds, error = math.log(rate / (1 - rate)), 1 / math.sqrt(n * rate * (1 - rate))
+    return [("intercept", odds, error, odds / error, 2 * NormalDist().cdf(-abs(odds / error)))]
+
 
-    The intercept is a variable like the others and can be dropped. Returns the last model, its features and the Wald
-    table (variable, coefficient, std_error, t_value, p_value).
+def _eliminate(data: DataFrame, inputs: Mapping[str, str], level: float):
+    """Fits on ``inputs`` (variable to column), dropping all with p >= ``level`` at once until their number is stable.
+
+    The intercept is a variable like the others. When no variable is left, the model is the intercept alone. Returns the
+    fitted stage (None for the intercept alone), its variables and its Wald rows.
     """
-    kept, intercept, last = list(features), True, -1
-    data = materialize(df.select(F.col("label").cast("double").alias("label"),
-                                 *[F.col(quoted(f)).cast("double").alias(f) for f in features]))
-    model, table = None, []
-    while len(kept) + intercept != last and kept:
-        last = len(kept) + intercept
+    kept, intercept = list(inputs), True
+    while kept:
         glm = GeneralizedLinearRegression(family="binomial", link="logit", labelCol="label", fitIntercept=intercept,
-                                          featuresCol="features", predictionCol="pred")
-        fitted = Pipeline(stages=[assembler(kept), glm]).fit(data)
-        model, used = fitted, list(kept)
-        stats = fitted.stages[-1].summary
+                                          featuresCol="features", predictionCol="_pred", tol=1e-10, maxIter=50)
+        fitted = glm.fit(assembler([inputs[v] for v in kept]).transform(data))
         names = kept + (["intercept"] if intercept else [])
-        coefficients = list(fitted.stages[-1].coefficients) + ([fitted.stages[-1].intercept] if intercept else [])
+        values = list(fitted.coefficients) + ([fitted.intercept] if intercept else [])
+        stats = fitted.summary
         table = [(v, float(c), float(s), float(t), float(p)) for v, c, s, t, p in zip(
-            names, coefficients, stats.coefficientStandardErrors, stats.tValues, stats.pValues, strict=True)]
+            names, values, stats.coefficientStandardErrors, stats.tValues, stats.pValues, strict=True)]
         passed = {r[0] for r in table if r[4] < level}
+        if len(passed) == len(table):
+            return fitted, kept, table
         kept, intercept = [v for v in kept if v in passed], "intercept" in passed
-    wald = df.sparkSession.createDataFrame(
-        table, "variable string, coefficient double, std_error double, t_value double, p_value double")
-    return model, used, wald
+    return None, [], _intercept_only(data)
+
+
+def logistic_elimination(df: DataFrame, features: Sequence[str], level: float = 0.1
+                         ) -> tuple[PipelineModel, list[str], DataFrame]:
+    """Logistic regression with elimination by p-value on variables that are scaled already.
+
+    Returns the last model, its features and its Wald table (variable, coefficient, std_error, t_value, p_value).
+    """
+    data = materialize(df.select(F.col("label").cast("double").alias("label"),
+                                 *[F.col(quoted(f)).cast("double").alias(f) for f in features]))
+    fitted, kept, table = _eliminate(data, {f: f for f in features}, level)
+    wald = df.sparkSession.createDataFrame(table, WALD)
+    stages = [assembler(kept), fitted] if fitted else [_constant(table)]
+    return PipelineModel(stages), kept, wald
+
+
+def _constant(table: list[tuple]) -> SQLTransformer:
+    return SQLTransformer(statement=f"SELECT *, {1 / (1 + math.exp(-table[0][1]))!r}D AS _pred FROM __THIS__")
+
+
+def fit_logistic(train: DataFrame, features: Sequence[str], no_log: Sequence[str] = (), unscaled: Sequence[str] = (),
+                 level: float = 0.1) -> tuple[PipelineModel, DataFrame]:
+    """A logistic model that scores any frame with the raw columns, and its Wald table.
+
+    The saved pipeline holds the train rows' means and deviations (of log(x + 1), for variables outside ``no_log``), the
+    scaled columns and the coefficients. Variables in ``unscaled`` are taken as they are; those without spread on the train
+    rows are left out. A missing value counts as the train mean (0 for ``unscaled`` ones).
+    """
+    scaled = [f for f in features if f not in unscaled]
+    stats = {r.feature: (r["mean"], r["std"]) for r in normalisation_stats(train, scaled, no_log).collect()} if scaled else {}
+    inputs, parts = {}, []
+    for i, f in enumerate(features):
+        value = f"CAST({quoted(f)} AS DOUBLE)"
+        if f not in unscaled:
+            mean, std = stats[f]
+            if not std:
+                continue
+            value = f"(({value if f in no_log else f'log1p({value})'}) - {mean!r}D) / {std!r}D"
+        inputs[f] = f"_z{i}"
+        parts.append(f"coalesce({value}, 0D) AS _z{i}")
+    scale = SQLTransformer(statement=", ".join(["SELECT *", *parts]) + " FROM __THIS__")
+    data = materialize(scale.transform(train).select(F.col("label").cast("double").alias("label"), *inputs.values()))
+    fitted, kept, table = _eliminate(data, inputs, level)
+    stages = [scale, assembler([inputs[v] for v in kept]), fitted] if fitted else [_constant(table)]
+    return PipelineModel(stages), train.sparkSession.createDataFrame(table, WALD)
 
 
 def wald_table(wald: DataFrame) -> DataFrame:

@@ -587,3 +587,17 @@ add("auc_ci", "scores", CI, {"aucs": replicate_aucs(exact_draws(1000))})
 add("bootstrap_compare", "scores", COMPARE, {"aucs": ALL_AUCS})
 add("auc_ci_poisson", "scores", CI, {"aucs": replicate_aucs(poisson_draws(1000))})
 add("bootstrap_compare_poisson", "scores", COMPARE, {"aucs": replicate_aucs(poisson_draws(1000))})
+
+# Checkable facts of fitted models
+TRAINED = f"""SELECT csn, CAST(death_date IS NOT NULL AS INT) AS label,
+    CASE WHEN {u(123456, 'empi')} < 0.7 THEN 'train' ELSE 'test' END AS "group" FROM enc"""
+add("lr_score_equations", "enc", """
+    SELECT count(*) AS n, CAST(sum(label) AS BIGINT) AS positives, 0.0::DOUBLE AS largest FROM trained WHERE "group" = 'train'""",
+    {"trained": TRAINED})
+add("ml_three_models", "enc", """
+    SELECT model, "group", count(*) AS n, CAST(sum(label) AS BIGINT) AS positives, true AS auc_is_theirs,
+        true AS better_than_chance FROM trained, unnest(['rf', 'gb', 'lr']) m(model) GROUP BY model, "group\"""",
+    {"trained": TRAINED})
+add("gb_early_stop_rule", "enc", f"""
+    SELECT count(*) FILTER (WHERE {u(7, 'csn')} >= 0.1) AS n_fitted, count(*) FILTER (WHERE {u(7, 'csn')} < 0.1) AS n_held_out,
+        true AS stops_by_rule, true AS cut_there FROM trained WHERE "group" = 'train'""", {"trained": TRAINED})

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hindcast.functions.columns import candidate_features, cols_like, logistic_candidates, one_hot_strings
+from hindcast.functions.columns import candidate_features, cols_like, logistic_candidates, one_hot_strings, unscaled_inputs
 from hindcast.functions.scalars import compound_growth, label_horizon, lenient_date, quoted, recode_flags
 from hindcast.operators import explain, features, metrics, models, resample, sampling, selection, survival
 from hindcast.operators.prefix import exact_quantiles
@@ -616,25 +618,94 @@ def ml_save_load(spark, sf):
 def _logistic(spark, sf):
     table, names = _training(spark, sf)
     no_log = ["pat_age", "sex_c", *cols_like(names, contains=": ")]
-    used = logistic_candidates(names)
-    normal = selection.normalise(_train_rows(table), [_train_rows(table)], used, no_log)[0]
-    return models.logistic_elimination(normal, used)
+    model, wald = models.fit_logistic(_train_rows(table), logistic_candidates(names), no_log, unscaled_inputs(names))
+    return model, wald, table, names
 
 
 @query
 def lr_pvalue_elimination(spark, sf):
-    return _logistic(spark, sf)[2]
+    return _logistic(spark, sf)[1]
 
 
 @query
 def lr_wald_table(spark, sf):
-    return models.wald_table(_logistic(spark, sf)[2])
+    return models.wald_table(_logistic(spark, sf)[1])
+
+
+@query
+def lr_score(spark, sf):
+    """Scores of the saved and loaded logistic model on all rows, train and test."""
+    model, _, table, _ = _logistic(spark, sf)
+    path = shared_dir(spark)
+    io.save_model(spark, model, path, {"model_type": "lr"})
+    return models.score(io.load_model(spark, path)[0], table).select("csn", "group", "label", "pred", "predicted")
+
+
+@query
+def lr_score_equations(spark, sf):
+    """At the coefficients the residuals are orthogonal to every variable that stayed: the largest sum over train rows."""
+    model, wald, table, names = _logistic(spark, sf)
+    scored = model.transform(_train_rows(table)).withColumn("off", F.col("label") - F.col("_pred"))
+    kept = [r.variable for r in wald.collect()]
+    place = {v: f"_z{i}" for i, v in enumerate(logistic_candidates(names))}
+    sums = [F.abs(F.sum(F.col("off") * (F.lit(1.0) if v == "intercept" else F.col(place[v])))) for v in kept]
+    return scored.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("positives"),
+                      F.round(F.greatest(*sums, F.lit(0.0)), 3).alias("largest"))
+
+
+@query
+def ml_three_models(spark, sf):
+    """Forest, boosting with early stop and logistic model side by side on both groups; and whether the AUC is Spark's own."""
+    lr, _, table, names = _logistic(spark, sf)
+    train = _train_rows(table)
+    forest = models.fit(train, names, models.random_forest(numTrees=50, maxDepth=8))
+    boosted = models.patient_boosting(train, names)[0]
+    scored = [models.score(m, table).select("csn", F.lit(name).alias("model"), "group", "label", "pred")
+              for name, m in (("rf", forest), ("gb", boosted), ("lr", lr))]
+    long = materialize(scored[0].unionByName(scored[1]).unionByName(scored[2]))
+    spark_auc = BinaryClassificationEvaluator(rawPredictionCol="pred", labelCol="label", numBins=0)
+    same = [(m, g, float(spark_auc.evaluate(long.where((F.col("model") == m) & (F.col("group") == g)))))
+            for m in MODELS for g in ("train", "test")]
+    check = spark.createDataFrame(same, "model string, group string, theirs double")
+    sizes = long.groupBy("model", "group").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("positives"))
+    report = metrics.model_report(long)
+    return sizes.join(report.join(check, ["model", "group"]), ["model", "group"]).select(
+        "model", "group", "n", "positives", (F.abs(F.col("auc") - F.col("theirs")) < 1e-9).alias("auc_is_theirs"),
+        F.col("auc").between(0.5, 1.0).alias("better_than_chance"))
+
+
+def _boosted(spark, sf):
+    table, names = _training(spark, sf)
+    train = _train_rows(table)
+    return *models.patient_boosting(train, names), train
+
+
+@query
+def gb_early_stop(spark, sf):
+    """The held-out loss per round, and which rounds the model has."""
+    return _boosted(spark, sf)[1]
+
+
+@query
+def gb_early_stop_rule(spark, sf):
+    """Rows fitted and held out; whether the rounds kept end where the rule says, worked out from the losses in SQL."""
+    model, losses, train = _boosted(spark, sf)
+    rows = models.with_held_out(train).agg(F.count_if(~F.col("held_out")).alias("n_fitted"),
+                                           F.count_if("held_out").alias("n_held_out"))
+    best = F.sort_array(F.collect_list("loss").over(W.orderBy("round").rowsBetween(-models.PATIENCE, -1)), False)[0]
+    gains = losses.withColumn("stops", (F.col("round") > models.PATIENCE) & (F.col("loss") + models.GAIN >= best))
+    stop = gains.agg(F.coalesce(F.min(F.when(F.col("stops"), F.col("round"))), F.max("round")).alias("stop"),
+                     F.count_if("kept").alias("kept"))
+    return rows.crossJoin(stop).select(
+        "n_fitted", "n_held_out", (F.col("stop") == F.col("kept")).alias("stops_by_rule"),
+        (F.col("kept") == model.stages[-1].getNumTrees).alias("cut_there"))
 
 
 @query
 def rfe(spark, sf):
     table, names = _training(spark, sf)
-    return models.recursive_elimination(_train_rows(table), names, models.fixed_gradient_boosting(5))
+    return models.recursive_elimination(_train_rows(table), names, models.fixed_gradient_boosting(20),
+                                        table.where("group = 'test'"))
 
 
 @query

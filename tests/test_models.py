@@ -1,8 +1,11 @@
 """Selection, fitting and the training job on small separable data."""
 
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from hindcast.operators import explain, metrics, models, selection
@@ -115,10 +118,72 @@ def test_logistic_elimination(table):
     assert models.wald_table(wald).first().variable == "A: last"
 
 
+def test_logistic_scorer(spark, table, tmp_path):
+    """Saved and loaded, it scores raw rows; its residuals are orthogonal to what it uses; missing values are the mean."""
+    rows = table.withColumn("flat", F.lit(2.0)).withColumn("raw: count", F.col("n_b") * 1.0)
+    names = [*NAMES, "flat", "raw: count"]
+    model, wald = models.fit_logistic(rows, names, ["A: last"], ["raw: count"])
+    model.write().save(f"{tmp_path}/lr")
+    scored = models.score(PipelineModel.load(f"{tmp_path}/lr"), rows)
+    assert set(scored.columns) == {*rows.columns, "pred", "predicted"}
+    assert all(r.p_value < 0.1 for r in wald.collect())
+    used = {r.variable: r.coefficient for r in wald.collect()}
+    frame = scored.toPandas()
+    value = {f: frame[f].astype(float) if f in ("A: last", "raw: count") else np.log1p(frame[f].astype(float)) for f in names}
+    scaled = {f: v if f == "raw: count" else (v - v.mean()) / v.std() for f, v in value.items() if f != "flat"}
+    linear = sum(c * (scaled[v] if v != "intercept" else 1) for v, c in used.items())
+    assert np.allclose(1 / (1 + np.exp(-linear)), frame.pred)
+    off = frame.label - frame.pred
+    assert all(abs((off * (scaled[v] if v != "intercept" else 1)).sum()) < 1e-4 for v in used)
+    assert ((frame.pred >= .5) == (frame.predicted == 1)).all()
+    gap = models.score(model, rows.limit(1).withColumn("A: last", F.lit(None).cast("double"))).first()
+    assert 0 < gap.pred < 1
+
+
+def test_logistic_without_variables(spark, table):
+    """Noise drops out, and the intercept alone is left: its score is the share of label 1."""
+    noise = table.withColumn("x", F.xxhash64("csn") / 2.0**63).withColumn("label", (F.col("csn") % 4 == 0).cast("int"))
+    rate = noise.agg(F.avg("label")).first()[0]
+    for model, wald in (models.fit_logistic(noise, ["x"], ["x"], level=1e-6), models.logistic_elimination(noise, ["x"], 1e-6)[::2]):
+        row = wald.collect()
+        assert [r.variable for r in row] == ["intercept"]
+        assert row[0].coefficient == pytest.approx(math.log(rate / (1 - rate)))
+        assert models.score(model, noise).agg(F.min("pred"), F.max("pred")).first() == pytest.approx((rate, rate))
+
+
+def test_stop_round():
+    assert models.stop_round([1.0, .9, .8, .7, .6, .5]) is None
+    assert models.stop_round([1.0] * 9) == 6  # five losses count, the sixth is no gain
+    assert models.stop_round([1.0, .5, .6, .6, .6, .6, .6]) == 7  # the first loss counts until the sixth takes its place
+    assert models.stop_round([3.0, 2.0], patience=1, gain=2.0) == 2
+    assert models.stop_round([]) is None
+
+
+def test_boosting_with_patience(spark, table):
+    estimator = models.PatientBoosting(labelCol="label", featuresCol="features", seed=42, maxDepth=4, stepSize=0.5, maxIter=60)
+    model, losses = models.patient_boosting(table, NAMES, estimator)
+    found = losses.orderBy("round").collect()
+    stop = models.stop_round([r.loss for r in found])
+    assert stop and stop < 60 and [r.round for r in found if r.kept] == list(range(1, stop + 1))
+    boosted = model.stages[-1]
+    assert boosted.getNumTrees == stop
+    held = assembler_rows(table).where("held_out")
+    assert boosted.evaluateEachIteration(held)[-1] == pytest.approx(found[stop - 1].loss)
+
+
+def assembler_rows(table):
+    rows = models.with_held_out(table).select("csn", "held_out", F.col("label").cast("double").alias("label"),
+                                              *[F.col(f"`{f}`").cast("double").alias(f) for f in NAMES])
+    return models.assembler(NAMES).transform(rows)
+
+
 def test_recursive_elimination_keeps_fewer_each_step(table):
     steps = models.recursive_elimination(table, NAMES, models.fixed_gradient_boosting(3)).groupBy("step").count() \
         .orderBy("step").toPandas()
     assert list(steps["count"]) == [4, 3, 2, 1]
+    judged = models.recursive_elimination(table, NAMES, models.fixed_gradient_boosting(3), table).orderBy("step").toPandas()
+    assert sorted(set(judged.step)) == [0, 1, 2, 3, 4] and judged.feature.isna().sum() == 1
+    assert judged.auc.between(0.8, 1).all() and judged.groupby("step").auc.nunique().max() == 1
 
 
 def test_partial_dependence(table):
