@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from hindcast.functions.scalars import quoted
 from hindcast.llm.common import byte_slices, free_name, numbered, text_of
-from hindcast.llm.wordhash import Words, mix
+from hindcast.llm.wordhash import Words, digest, mix
 from hindcast.session import materialize
 
 THRESHOLD, SHINGLE = 0.8, 5
@@ -53,14 +53,15 @@ def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     """Each text's sorted distinct hashes of runs of SHINGLE lower-cased words; a shorter text's words are one run, an
     empty text has none."""
     w = Words(texts, lower=True)
-    runs = w.runs(SHINGLE)
+    w.make_sure(np.arange(len(w.hash)))
+    runs = w.runs(SHINGLE, 0)
     out = []
     for a, b in zip(w.first[:-1], w.first[1:]):
         if b - a >= SHINGLE:
             out.append(np.unique(runs[a:b - SHINGLE + 1]))
         elif b > a:
             short = np.zeros(1, np.uint64)
-            for h in w.hash[a:b]:
+            for h in w.sure[0, a:b]:
                 short = mix(short * np.uint64(3) + h)
             out.append(short)
         else:
@@ -92,8 +93,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 def _set_key(s: np.ndarray) -> bytes:
     """128 bits of the set as a whole."""
-    both = [mix(s + np.uint64(c)).sum(dtype=np.uint64) for c in (0x51ED27, 0xA0761D)]
-    return np.array([both[0] + np.uint64(len(s)), both[1]], "<u8").tobytes()
+    return digest(s.tobytes())
 
 
 def describe(docs: DataFrame) -> DataFrame:
