@@ -28,6 +28,11 @@ def top_importance(importances: DataFrame, k: int = 10, name: str = "feature", s
     return importances.orderBy(F.desc(score), name).limit(k)
 
 
+def bottom_importance(importances: DataFrame, k: int = 10, name: str = "feature", score: str = "importance") -> DataFrame:
+    """The ``k`` least important features, the least first."""
+    return importances.orderBy(F.asc(score), name).limit(k)
+
+
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), column)
 

@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hindcast.functions.scalars import age_years, sex_indicator
+from hindcast.functions.scalars import age_years, lenient_date, sex_indicator
 from hindcast.operators.asof import (
     ENCOUNTER_KEY, daily, encounter_days, event_keys, running_features)
+from hindcast.session import materialize
 
 
 def _last_of_day(value: str, order: Sequence[str]) -> Column:
@@ -66,6 +67,29 @@ def stage_features(encounters: DataFrame, stage: DataFrame, categories: dict[str
                             dedupe_encounters=dedupe_encounters)
 
 
+def discover_categories(df: DataFrame, columns: Sequence[str], max_values: int = 1000) -> DataFrame:
+    """(category, value, n): the values that occur in each column, missing ones left out, with their counts.
+
+    A dimension table: it becomes columns, so more than ``max_values`` values of all columns together are an error.
+    """
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("category"), F.col(c).cast("string").alias("value")) for c in columns]))
+    found = df.select(pairs.alias("p")).where("p.value IS NOT NULL").groupBy("p.category", "p.value") \
+        .agg(F.count(F.lit(1)).alias("n"))
+    found = materialize(found)
+    if found.limit(max_values + 1).count() > max_values:
+        raise ValueError(f"more than {max_values} different values in {', '.join(columns)}")
+    return found
+
+
+def stage_features_discovered(encounters: DataFrame, stage: DataFrame, columns: Sequence[str],
+                              prefixes: dict[str, str] | None = None, max_values: int = 1000,
+                              dedupe_encounters: bool = False) -> DataFrame:
+    """``stage_features`` for all values that the table holds."""
+    rows = discover_categories(stage, columns, max_values).orderBy("category", "value").collect()
+    categories = {c: [r.value for r in rows if r.category == c] for c in columns}
+    return stage_features(encounters, stage, categories, prefixes, dedupe_encounters)
+
+
 def dx_code_counts(encounters: DataFrame, dx: DataFrame, dedupe_encounters: bool = False) -> DataFrame:
     """One row per encounter and earlier code, with how often it was seen.
 
@@ -87,15 +111,20 @@ def dx_code_counts(encounters: DataFrame, dx: DataFrame, dedupe_encounters: bool
     )
 
 
-def dx_codes(encounters: DataFrame, dx: DataFrame, dedupe_encounters: bool = False) -> DataFrame:
-    """Per encounter, the list of earlier codes, sorted, with repeats.
+def dx_code_map(encounters: DataFrame, dx: DataFrame, dedupe_encounters: bool = False) -> DataFrame:
+    """Per encounter, the earlier codes with how often each was seen, as a map in the order of the codes.
 
-    What travels is (code, count); the repeats are written out in the row only.
+    An entry per different code: the cell is bounded by the code table, however often a patient's codes repeat.
     """
     counts = dx_code_counts(encounters, dx, dedupe_encounters)
     entries = F.array_sort(F.collect_list(F.struct("code", "n")))
-    return counts.groupBy(*ENCOUNTER_KEY).agg(F.flatten(F.transform(
-        entries, lambda e: F.array_repeat(e["code"], e["n"].cast("int")))).alias("aggregated_codes"))
+    return counts.groupBy(*ENCOUNTER_KEY).agg(F.map_from_entries(entries).alias("codes"))
+
+
+def dx_codes(encounters: DataFrame, dx: DataFrame, dedupe_encounters: bool = False) -> DataFrame:
+    """Per encounter, the list of earlier codes, sorted, with repeats: ``dx_code_map`` written out, for those who ask for it."""
+    return dx_code_map(encounters, dx, dedupe_encounters).select(*ENCOUNTER_KEY, F.flatten(F.transform(
+        F.map_entries("codes"), lambda e: F.array_repeat(e["key"], e["value"].cast("int")))).alias("aggregated_codes"))
 
 
 def comorbidity_features(encounters: DataFrame, dx: DataFrame, code_map: DataFrame,
@@ -130,6 +159,11 @@ def comorbidity_features(encounters: DataFrame, dx: DataFrame, code_map: DataFra
     )
 
 
+def _died() -> Column:
+    """Whether there is a death date; text that is no date is none."""
+    return lenient_date("death_date").isNotNull()
+
+
 def demographics(encounters: DataFrame, order: str = "csn") -> DataFrame:
     """Per patient and date: sex indicator, age, and whether the patient ever died (on any of their rows).
 
@@ -138,7 +172,7 @@ def demographics(encounters: DataFrame, order: str = "csn") -> DataFrame:
     first = lambda c: F.min_by(c, F.when(c.isNotNull(), F.col(order)))
     days = encounter_days(encounters, extra={
         "sex_indicator": first(sex_indicator("sex_c")), "age": first(age_years("birth_date", "appt_time")),
-        "_dead": F.max(F.col("death_date").isNotNull().cast("int"))})
+        "_dead": F.max(_died().cast("int"))})
     patient = Window.partitionBy("pat_id", "empi")
     return days.select(*ENCOUNTER_KEY, "sex_indicator", "age", F.max("_dead").over(patient).alias("dead"))
 
@@ -146,7 +180,7 @@ def demographics(encounters: DataFrame, order: str = "csn") -> DataFrame:
 def mortality_flag(encounters: DataFrame) -> DataFrame:
     """Per patient: 1 when any row has a death date."""
     return encounters.dropna(subset=["pat_id", "empi"]).groupBy("pat_id", "empi") \
-        .agg(F.max(F.col("death_date").isNotNull().cast("int")).alias("dead"))
+        .agg(F.max(_died().cast("int")).alias("dead"))
 
 
 def asof_digest(encounters: DataFrame, events: DataFrame, event_time: str, value: str | None = None,

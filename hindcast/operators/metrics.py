@@ -242,11 +242,13 @@ def subgroup_numeric(scores: DataFrame, column: str, target: float = 0.5, by: Se
     by = list(by)
     probs = [i / (tiles - 1) for i in range(tiles)]
     edges = exact_quantiles(scores.select(*by, F.col(column).cast("double").alias(column)), column, probs, by) \
-        .groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("prob", "quantile"))).alias("e")) \
-        .select(*by, F.col("e.quantile").alias("_edges"))
-    # Groups are few here (models); each has one short array of edges.
+        .groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("prob", "quantile"))).alias("e"))
+    # Groups are few here (models); each has one short array of edges, and all are one map, read as a value: rows stay put.
+    edge_map = edges.agg(F.map_from_entries(F.collect_list(F.struct(
+        F.struct(*by).alias("k"), F.col("e.quantile").alias("v")))).alias("m")).scalar()
+    of_group = F.try_element_at(edge_map, F.struct(*by))
     tile = count_below(F.col("_edges"), tiles, F.col(column))
-    placed = scores.join(edges, by).withColumn("tile", tile).drop("_edges") \
+    placed = scores.withColumn("_edges", of_group).where("_edges IS NOT NULL").withColumn("tile", tile).drop("_edges") \
         .where((F.col("tile") > 0) & (F.col("tile") < tiles))
     cut = nearest_grid_threshold(target)
     groups = [*by, "tile"]
@@ -254,7 +256,7 @@ def subgroup_numeric(scores: DataFrame, column: str, target: float = 0.5, by: Se
     thin = (F.col("n") < min_rows) | (F.col("tp") + F.col("fn") == 0)
     keep = (*groups, "n")
     whole = lambda i: F.bround(F.get("_edges", i), 0).cast("bigint").cast("string")
-    return table.join(edges, by).select(
+    return table.withColumn("_edges", of_group).select(
         *by, "tile", F.concat_ws("-", whole(F.col("tile") - 1), whole(F.col("tile"))).alias("range"), "n",
         *[(F.when(thin, F.lit(0.0)).otherwise(F.col(c)) if c == "base_rate" else F.when(~thin, F.col(c))).alias(c)
           for c in table.columns if c not in keep])

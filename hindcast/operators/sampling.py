@@ -7,15 +7,16 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hindcast.functions.draws import (REPLICATE_STEP, key_hash, mix32, mix32_array, poisson, poisson_array, poisson_cuts,
                                       uniform)
 from hindcast.functions.scalars import quoted
 from hindcast.operators.prefix import random_rank
-from hindcast.session import shuffle_width, spread
+from hindcast.session import materialize, shuffle_width, spread
 
 
 def sample_one(df: DataFrame, seed: int, patient: str = "empi", key: str = "csn") -> DataFrame:
@@ -193,9 +194,62 @@ def poisson_draws(df: DataFrame, replicates: int, seed: int = 12345, key: str =
     return rows.select("b", key, poisson(F.col("_h1")).cast("bigint").alias("weight")).where("weight > 0")
 
 
+RANGES = 4096  # of the draws of all rows; each is cut into as many again
+
+
+def _in_total(counts: np.ndarray) -> Callable:
+    """From batches of (draw, ordinal): the range that holds the ordinal, and its rank there."""
+    upto = np.cumsum(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ordinal = batch.column(1).to_numpy()
+            place = np.searchsorted(upto, ordinal, "right")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(place), pa.array(ordinal - (upto - counts)[place])],
+                                             names=["draw", "range", "rank"])
+
+    return run
+
+
+def _in_range(draws: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
+    """Of a range: the slot that holds each rank, and the row's place in it."""
+    counts = counts.sort_values("slot")
+    upto = np.cumsum(counts["n"].to_numpy())
+    place = np.searchsorted(upto, draws["rank"].to_numpy(), "right")
+    before = (upto - counts["n"].to_numpy())[place] if len(place) else place
+    return pd.DataFrame({"draw": draws["draw"].to_numpy(), "slot": counts["slot"].to_numpy()[place],
+                         "place": draws["rank"].to_numpy() - before + 1})
+
+
+def rows_by_rank(df: DataFrame, ordinals: DataFrame, seed: int, key: str) -> DataFrame:
+    """(draw, and the columns of ``df``): for each (draw, ordinal) the row with that number, from 0, in an order drawn by key.
+
+    Rows are counted per slot of their random number, 2^24 of them; ranges of slots say where a number lies, first the range
+    (RANGES counts, on the driver) and then the slot in it. Only rows in slots that hold a wanted number are numbered, so
+    the table is neither sorted nor shuffled as a whole.
+    """
+    slot = F.least(F.floor(uniform(seed, key) * (RANGES * RANGES)), F.lit(RANGES * RANGES - 1)).cast("bigint")
+    counts = materialize(df.groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+                         .withColumn("range", F.floor(F.col("slot") / RANGES)))
+    total = np.zeros(RANGES, np.int64)
+    for r in counts.groupBy("range").agg(F.sum("n").alias("n")).collect():
+        total[r["range"]] = r.n
+    if not total.sum():
+        return ordinals.select("draw").join(df, F.lit(False), "inner")
+    placed = ordinals.select(F.col("draw").cast("bigint"), F.col("ordinal").cast("bigint")) \
+        .mapInArrow(_in_total(total), "draw bigint, range bigint, rank bigint")
+    wanted = materialize(placed.groupBy("range").cogroup(counts.groupBy("range"))
+                         .applyInPandas(_in_range, "draw bigint, slot bigint, place bigint"))
+    names = [F.col(quoted(c)) for c in df.columns]
+    some = df.withColumn("_slot", slot).join(wanted.select(F.col("slot").alias("_slot")).distinct(), "_slot", "left_semi")
+    numbered = some.withColumn("_place", F.row_number().over(Window.partitionBy("_slot").orderBy(uniform(seed, key), key)))
+    return wanted.join(numbered, (F.col("slot") == F.col("_slot")) & (F.col("place") == F.col("_place"))) \
+        .select("draw", *names)
+
+
 def background_sample(df: DataFrame, draws: DataFrame, seed: int, key: str, draw: str = "draw") -> DataFrame:
     """One uniformly drawn row of ``df`` per row of ``draws``, with replacement."""
-    n = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    ordinal = F.coalesce(F.floor(uniform(seed, draw) * n), F.lit(0).cast("bigint"))
-    picked = draws.withColumn("ordinal", ordinal).join(row_ordinals(df, seed, key), "ordinal")
-    return picked.drop("ordinal").join(df, key)
+    n = df.count()
+    ordinals = draws.select(F.col(draw).alias("draw"), F.floor(uniform(seed, draw) * n).alias("ordinal"))
+    picked = rows_by_rank(df, ordinals, seed, key)
+    return draws.join(picked.withColumnRenamed("draw", draw), draw)

@@ -220,6 +220,14 @@ add("mortality_flag", "pat_list", """
     SELECT csn, pat_id, empi, dead FROM pat_list LEFT JOIN (
         SELECT pat_id, empi, max(CAST(death_date IS NOT NULL AS INT)) AS dead FROM pat_list GROUP BY ALL)
     USING (pat_id, empi)""")
+add("death_flag_lenient", "pat_list", """
+    SELECT csn, pat_id, empi, dead FROM pat_list LEFT JOIN (
+        SELECT pat_id, empi, max(CAST(TRY_CAST(CASE WHEN empi % 3 = 0 THEN 'not a date' WHEN empi % 7 = 0 THEN ''
+                                               ELSE CAST(death_date AS VARCHAR) END AS DATE) IS NOT NULL AS INT)) AS dead
+        FROM pat_list GROUP BY ALL) USING (pat_id, empi)""")
+add("dx_code_map", "dx_pairs", f"""
+    SELECT {KEY}, string_agg(code || ':' || n, ',' ORDER BY code) AS codes
+    FROM (SELECT {KEY}, code, count(*) AS n FROM dx_pairs WHERE code IS NOT NULL GROUP BY {KEY}, code) GROUP BY {KEY}""")
 add("dx_codes", "dx_pairs", f"""
     SELECT {KEY}, string_agg(code, ',' ORDER BY code) AS aggregated_codes FROM dx_pairs GROUP BY {KEY}""")
 STAGE_COLUMNS = [f"count(*) FILTER (WHERE body_site_name = '{s}') AS \"BODY_SITE_NAME_{s}\"" for s in SITES] \
@@ -227,6 +235,7 @@ STAGE_COLUMNS = [f"count(*) FILTER (WHERE body_site_name = '{s}') AS \"BODY_SITE
 VIEWS["stage_wide"] = f"SELECT {KEY}, {', '.join(STAGE_COLUMNS)} FROM stage_pairs GROUP BY {KEY}"
 NEEDS["stage_wide"] = ["stage_pairs"]
 add("stage_features", "stage_wide", "SELECT * FROM stage_wide")
+add("stage_features_discovered", "stage_wide", "SELECT * FROM stage_wide")
 ORDER = "result_time, l_orderkey, l_linenumber, l_partkey"
 VIEWS["last_labs"] = f"""
     SELECT {KEY}, common_name,
@@ -342,6 +351,10 @@ def poisson_draws(replicates: int) -> str:
         FROM ({mixed(rows, f'_slot + b * {REPLICATE_STEP}', '_h1', 'csn, b')}) WHERE _h1 >= {cuts[0]}"""
 
 
+add("background_rows", "enc", f"""
+    SELECT draw, csn, empi, label FROM (
+        SELECT draw, CAST(floor({u(42, 'draw')} * (SELECT count(*) FROM enc)) AS BIGINT) AS ordinal FROM range(2800) t(draw))
+    JOIN (SELECT *, row_number() OVER (ORDER BY {u(42, 'csn')}, csn) - 1 AS ordinal FROM enc) USING (ordinal)""")
 add("bootstrap_draws", "enc", exact_draws(20))
 add("poisson_draws", "enc", poisson_draws(20))
 

@@ -155,6 +155,27 @@ def dx_codes(spark, sf):
     return codes.withColumn("aggregated_codes", F.array_join("aggregated_codes", ","))
 
 
+@query
+def dx_code_map(spark, sf):
+    codes = features.dx_code_map(clinical.pat_list(spark, sf), clinical.dx(spark, sf))
+    said = F.transform(F.map_entries("codes"), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string")))
+    return codes.withColumn("codes", F.array_join(said, ","))
+
+
+@query
+def death_flag_lenient(spark, sf):
+    """Death dates as raw text, some of which is no date."""
+    text = F.when(F.col("empi") % 3 == 0, F.lit("not a date")).when(F.col("empi") % 7 == 0, F.lit("")) \
+        .otherwise(F.col("death_date").cast("string"))
+    pats = clinical.pat_list(spark, sf).withColumn("death_date", text)
+    return pats.select("csn", "pat_id", "empi").join(features.mortality_flag(pats), ["pat_id", "empi"], "left")
+
+
+@query
+def stage_features_discovered(spark, sf):
+    return features.stage_features_discovered(clinical.pat_list(spark, sf), clinical.stage(spark, sf), list(CATEGORIES))
+
+
 @query
 def stage_features(spark, sf):
     return features.stage_features(clinical.pat_list(spark, sf), clinical.stage(spark, sf), CATEGORIES)
@@ -708,8 +729,16 @@ def rfe(spark, sf):
                                         table.where("group = 'test'"))
 
 
+@query
+def background_rows(spark, sf):
+    """As many uniformly drawn encounters, with replacement, as a grid of 28 pairs of features on 100 cells takes."""
+    encs = clinical.enc(spark, sf).select("csn", "empi", "label")
+    return sampling.background_sample(encs, spark.range(2800).withColumnRenamed("id", "draw"), 42, "csn")
+
+
 @query
 def partial_dependence(spark, sf):
+    """The grid of full size: 28 pairs of seven features, the diagonal included, 100 cells, 100 rows each."""
     model, table, names = _small_forest(spark, sf)
-    top = explain.top_importance(models.importances(model, names, spark), 3).collect()
-    return explain.partial_dependence(model, table, names, [r.feature for r in top], 10, 20)
+    top = explain.top_importance(models.importances(model, names, spark), 7).collect()
+    return explain.partial_dependence(model, table, names, [r.feature for r in top], 10, 100)

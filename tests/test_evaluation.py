@@ -265,3 +265,18 @@ def test_histogram(spark, skewed):
         counts, _ = np.histogram(p[y == label], 10)
         mine = got[got.label == label].set_index("bin").n.reindex(range(10)).fillna(0)
         assert list(mine) == list(counts)
+
+
+# Rows by rank
+
+def test_rows_by_rank(spark):
+    """The same rows as by numbering all of them, without a sort or shuffle of the table."""
+    df = spark.range(3000).select((F.col("id") * 7).alias("csn"), (F.col("id") % 5).alias("slot"))
+    draws = spark.range(40).selectExpr("id AS draw", "id * 70 AS ordinal")
+    picked = sampling.rows_by_rank(df, draws, 3, "csn")
+    want = sampling.row_ordinals(df, 3, "csn").where("ordinal % 70 = 0 AND ordinal < 2800").join(df, "csn")
+    assert sorted((r.draw * 70, r.csn, r.slot) for r in picked.collect()) == sorted((r.ordinal, r.csn, r.slot) for r in want.collect())
+    assert sampling.rows_by_rank(df.where("false"), draws, 3, "csn").collect() == []
+    sample = sampling.background_sample(df, spark.range(500).withColumnRenamed("id", "draw"), 1, "csn")
+    assert sample.count() == 500 and sample.columns == ["draw", "csn", "slot"]
+    assert sampling.background_sample(df.limit(1), spark.range(9).withColumnRenamed("id", "draw"), 1, "csn").count() == 9

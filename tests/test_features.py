@@ -160,3 +160,33 @@ def test_feature_list_and_csv_round_trip(spark, tmp_path):
     tables.write_table(df, f"{tmp_path}/t", "csv")
     back = tables.read_table(spark, f"{tmp_path}/t", overrides={"pat_id": "string"})
     assert back.schema["pat_id"].dataType.simpleString() == "string" and back.first().x == 1
+
+
+def test_discovered_categories(spark):
+    encs = spark.createDataFrame([("p", 1, 1, "2024-05-01 10:00:00")], "pat_id string, empi long, csn long, appt_time string") \
+        .withColumn("appt_time", F.col("appt_time").cast("timestamp"))
+    rows = [("p", 1, "2024-01-0%d 00:00:00" % (1 + i % 9), v, None if i % 2 else "II") for i, v in enumerate(["lung", "new", None, "lung"])]
+    stage = spark.createDataFrame(rows, "pat_id string, empi long, sign_datetime string, site string, grp string") \
+        .withColumn("sign_datetime", F.col("sign_datetime").cast("timestamp"))
+    found = features.stage_features_discovered(encs, stage, ["site", "grp"]).first().asDict()
+    assert {k: v for k, v in found.items() if "_" in k and k[0].isupper()} == {"SITE_lung": 2, "SITE_new": 1, "GRP_II": 2}
+    with pytest.raises(ValueError, match="more than 2"):
+        features.stage_features_discovered(encs, stage, ["site", "grp"], max_values=2)
+
+
+def test_code_map_of_a_patient_with_most_codes(spark):
+    encs = spark.createDataFrame([(p, i, i, "2024-05-01 10:00:00") for i, p in enumerate("abc")],
+                                 "pat_id string, empi long, csn long, appt_time string") \
+        .withColumn("appt_time", F.col("appt_time").cast("timestamp"))
+    dx = spark.range(6000).selectExpr("CASE WHEN id % 3 > 0 THEN 'a' ELSE 'b' END AS pat_id", "concat('c', id % 4) AS code",
+                                      "CAST(timestampadd(MINUTE, id, TIMESTAMP '2024-01-01') AS TIMESTAMP) AS contact_date")
+    maps = {r.pat_id: r.codes for r in features.dx_code_map(encs, dx).collect()}
+    assert maps == {"a": {f"c{i}": 1000 for i in range(4)}, "b": {f"c{i}": 500 for i in range(4)}}
+    lists = {r.pat_id: r.aggregated_codes for r in features.dx_codes(encs, dx).collect()}
+    assert lists["b"] == sorted(["c0", "c1", "c2", "c3"] * 500)
+
+
+def test_text_that_is_no_date_is_no_death(spark):
+    rows = [("p", 1, "not a date"), ("p", 1, ""), ("q", 2, "2024-02-30"), ("q", 2, None), ("r", 3, "2024-02-29"), ("r", 3, "x")]
+    pats = spark.createDataFrame(rows, "pat_id string, empi long, death_date string")
+    assert {r.pat_id: r.dead for r in features.mortality_flag(pats).collect()} == {"p": 0, "q": 0, "r": 1}
