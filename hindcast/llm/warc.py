@@ -1,7 +1,9 @@
 """WARC archives: a writer with revisit records for repeated payloads, and a reader that salvages damaged files.
 
 The writer is a shuffle and Spark's text sink, the reader Spark's binary file source, so both work on any store that
-Spark reaches. Files hold about a shuffle partition each; a task reads one file at a time.
+Spark reaches. Rows are dealt to as many files as their bytes ask for; a task reads one file at a time. Compressed archives
+have a gzip member per record, so that damage costs the records it hits. The sink puts one byte after each row: for
+members that is a zero, which readers of gzip files skip as padding.
 """
 
 from __future__ import annotations
@@ -12,14 +14,17 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hindcast.functions.scalars import quoted
-from hindcast.llm.common import text_of
+from hindcast.llm.common import byte_slices, text_of, total_of
+from hindcast.session import materialize
 
 REVISIT_BYTES = 1000
+FILE_BYTES = 64 << 20  # of records, before compression, per file
 _MARK = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
 _ID = re.compile(r"<urn:page:(-?\d+)>")
 
@@ -31,21 +36,27 @@ def _line(name: str, value: Column) -> Column:
 
 
 def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", html: str = "html",
-                   compression: str = "none") -> None:
+                   compression: str = "none", file_bytes: int = FILE_BYTES) -> None:
     """Write a record per page under ``path``: payload the html in UTF-8, null as empty.
 
     Of records with equal payloads of at least REVISIT_BYTES that with the largest id is a response and the others are
     revisits of it, without payload; rows that share that id are all responses. A null id is smaller than any other and
-    goes without record id. Repeated rows get a record each; a null url goes without target. With ``compression="gzip"``
-    each file is one gzip member.
+    goes without record id. Repeated rows get a record each; a null url goes without target; very long ones are kept. With
+    ``compression="gzip"`` each record is a gzip member. Files hold about ``file_bytes`` of records, and a larger record by
+    itself more.
     """
+    if compression not in ("none", "gzip"):
+        raise ValueError(f"unknown compression {compression}")
     data = text_of(html).cast("binary")
     rows = pages.select(F.col(quoted(key)).alias("page_id"), F.col(quoted(url)).alias("url"), text_of(html).alias("html"),
                         F.octet_length(data).alias("bytes"), F.sha1(data).alias("digest"))
     # Digests and ids only; equal payloads combine on the map side.
     large = pages.select(F.col(quoted(key)).alias("page_id"), data.alias("data")) \
         .where(F.octet_length("data") >= REVISIT_BYTES).select("page_id", F.sha1("data").alias("digest"))
-    repeated = large.groupBy("digest").agg(F.max("page_id").alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Written, so that the join below meets two plain tables and Spark can split a payload that many pages share.
+    large = materialize(large)
+    repeated = materialize(large.groupBy("digest").agg(F.max("page_id").alias("best"), F.count(F.lit(1)).alias("n"))
+                           .where("n > 1"))
     again = large.join(repeated, "digest").where("NOT page_id <=> best") \
         .select(F.col("page_id").alias("r_id"), F.col("digest").alias("r_digest"), "best").distinct()
     # Keyed by id and digest, which no group of copies shares.
@@ -60,9 +71,28 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
         _line("X-Payload-Length", F.col("bytes")), _line("Content-Type", F.lit("text/html")),
         _line("Content-Length", F.when(revisit, 0).otherwise(F.col("bytes"))), F.lit("\r\n"))
     body = F.when(revisit, "").otherwise(F.col("html"))
-    # The sink ends each row with the line feed that a record ends with.
-    marked.select(F.concat(head, body, F.lit("\r\n\r")).alias("value")).write.option("lineSep", "\n") \
-        .option("compression", compression).text(path)
+    files = total_of(pages, F.octet_length(data).cast("long") + 512) // file_bytes + 1
+    if compression == "gzip":
+        members = marked.select(F.concat(head, body, F.lit("\r\n\r\n")).cast("binary").alias("value")) \
+            .mapInArrow(_members, "value string")
+        members.repartition(files).write.option("lineSep", "\0").text(path)
+    else:
+        # The sink ends each row with the line feed that a record ends with.
+        marked.select(F.concat(head, body, F.lit("\r\n\r")).alias("value")).repartition(files) \
+            .write.option("lineSep", "\n").text(path)
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each record as a gzip member. The bytes travel as text, which neither Arrow nor the text sink looks into."""
+    for batch in batches:
+        for lo, hi in byte_slices(batch.column(0)):
+            members = []
+            for value in batch.column(0).slice(lo, hi - lo):
+                packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+                members.append(packer.compress(value.as_buffer()) + packer.flush())
+            offsets = np.concatenate([[0], np.cumsum([len(m) for m in members])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.string(), len(members), [
+                None, pa.py_buffer(offsets), pa.py_buffer(b"".join(members))])], names=["value"])
 
 
 @dataclass
@@ -105,8 +135,8 @@ def salvage(data: bytes) -> Iterator[Record]:
     """Records of an archive of plain records, gzip members or both, and the byte ranges given up.
 
     After a failed check the search goes on at the next version line or member header. A member that fails still gives
-    the records that it held whole and whose digest fits. Gaps next to each other are one. Offsets of records in a member
-    are the member's.
+    the records that it held whole and whose digest fits. Gaps next to each other are one; zeros between members are
+    padding and no gap. Offsets of records in a member are the member's.
     """
     gap: Record | None = None
     for found in _scan(data):
@@ -151,6 +181,9 @@ def _scan(data: bytes) -> Iterator[Record]:
             for inner in _scan(text):
                 if inner.gap is None and inner.digest and inner.headers["warc-type"] != "revisit":
                     yield Record(pos, 0, inner.headers, inner.payload)
+        elif data[pos] == 0 and (pos + 1 == len(data) or data[pos + 1] == 0 or _MARK.match(data, pos + 1)):
+            pos += 1
+            continue
         else:
             reason = "no record here"
         mark = _MARK.search(data, pos + 1)

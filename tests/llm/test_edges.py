@@ -409,3 +409,65 @@ def test_salvage(spark, members):
     assert ids(junk) == list(range(30))
     gaps = [g for g in warc.salvage(junk) if g.gap]
     assert (gaps[0].offset, gaps[0].length) == (0, 400) and gaps[-1].offset + gaps[-1].length == len(junk)
+
+
+def test_damage_to_written_archives(spark):
+    """64 bad bytes in the middle of the operator's own files lose the records that they hit and no other."""
+    r = random.Random(6)
+    rows = [(i, f"http://h/{i}", "".join(r.choices("abcdefgh <>/", k=r.choice([10, 900, 4000])))) for i in range(300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for compression in ("none", "gzip"):
+        path = shared_dir(spark)
+        warc.write_archives(pages, path, compression=compression, file_bytes=200_000)
+        files = spark.read.format("binaryFile").load(path).select("content").collect()
+        assert 2 <= len(files) <= 6  # 500 KB of records
+        ids = lambda data: {x.headers["warc-record-id"] for x in warc.salvage(data) if not x.gap}
+        found, lost = set(), 0
+        for f in files:
+            whole = [x for x in warc.salvage(bytes(f.content))]
+            assert not any(x.gap for x in whole)
+            data, at = bytearray(f.content), len(f.content) // 3
+            data[at:at + 64] = bytes(range(160, 224))
+            hit = {x.headers["warc-record-id"] for x in whole if x.offset < at + 64 and x.offset + x.length > at}
+            left = ids(bytes(data))
+            assert ids(bytes(f.content)) - hit <= left
+            assert sum(x.length for x in warc.salvage(bytes(data)) if x.gap) >= 64
+            found |= left
+            lost += len(hit)
+        assert len(found) >= 300 - lost >= 300 - 4 * len(files)
+
+
+def test_very_long_urls(spark):
+    url = "http://long.example/" + "p/" * 50_000
+    path = shared_dir(spark)
+    warc.write_archives(spark.createDataFrame([(1, url, "x")], "page_id long, url string, html string"), path, compression="gzip")
+    assert [r.target_uri for r in warc.read_archives(spark, path).collect()] == [url]
+
+
+@pytest.mark.parametrize("name", ["target", "source_size", "epochs", "least", "t_source", "mix_size", "Mix_Copies", "copy", "key"])
+def test_mix_with_columns_of_its_own_names(spark, name):
+    docs = spark.createDataFrame([(i, "a b c " * (i % 7), "xy"[i % 2], i) for i in range(40)],
+                                 f"doc_id long, text string, source string, `{name}` long")
+    got = mixing.mixed(docs)
+    assert got.columns == docs.columns and got.count() > 40
+    if not name.lower().startswith("mix"):
+        assert mixing.mix_sources(docs).where("mix_copies IS NULL").count() == 0
+
+
+def test_mix_where_most_keys_are_close(spark):
+    """Weights that press all keys into a corner: the budget's end is found among rows of any spread, and ties go together."""
+    mixing_rows = [(i % 400, "w " * (1 + i % 5), "s" if i % 3 else None) for i in range(1200)]
+    docs = spark.createDataFrame(mixing_rows, "doc_id long, text string, source string")
+    from pyspark.sql import functions as F
+    old = mixing.ROWS_PER_RANGE
+    try:
+        results = []
+        for mixing.ROWS_PER_RANGE in (5, 20_000):
+            got = mixing.mix_sources(docs, weights=(1, 9), share=0.7, weight=F.lit(0.01)).collect()
+            results.append(sorted((r.doc_id, r.mix_copies, r.mix_taken) for r in got))
+            for source in ("s", None):
+                own = [r for r in got if r.source == source]
+                assert abs(sum(r.mix_taken for r in own) - own[0].mix_target) <= 20, (mixing.ROWS_PER_RANGE, source)
+        assert results[0] == results[1]
+    finally:
+        mixing.ROWS_PER_RANGE = old
