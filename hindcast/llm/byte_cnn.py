@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hindcast.functions.scalars import quoted
-from hindcast.llm.common import byte_slices, free_name, in_fold, text_of
+from hindcast.llm.common import byte_slices, free_name, in_fold, released, text_of
 
 HALF, STEP, EMBED, FILTERS, HIDDEN = 128, 4, 4, 24, 12
 CHUNK = 2 * HALF
@@ -200,7 +200,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: in
         np.savez(out, **model)
         yield pd.DataFrame({"model": [out.getvalue()]})
 
-    row = rows.select("doc_id", "text", "label").repartition(1).mapInPandas(run, "model binary").first()
+    row = rows.select("doc_id", "text", "label").repartition(1).mapInPandas(released(run), "model binary").first()
     if row is None:
         return train([], np.zeros(0))
     return dict(np.load(io.BytesIO(bytes(row.model))))
@@ -222,7 +222,7 @@ def score_texts(docs: DataFrame, model: dict[str, np.ndarray], out: str = "score
                 columns = [*part.columns, pa.array(probabilities(model, texts), pa.float64())]
                 yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, out])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, folds: int = 4, held_out: int = 2) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import ctypes
+import gc
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +57,20 @@ def in_fold(column: str, folds: int, fold: int) -> Column:
     return F.crc32(id_text(column).cast("binary")) % folds == fold
 
 
+def released(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``work`` on a partition's batches, then the memory that it no longer uses given back to the system.
+
+    Workers are used again by later stages, and what a C library keeps of freed memory would stay with them.
+    """
+    def run(batches: Iterator) -> Iterator:
+        yield from work(batches)
+        gc.collect()
+        with suppress(OSError, AttributeError):  # only where the C library can
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def numbered(docs: DataFrame, row: str = "row") -> DataFrame:
     """``docs`` with a number of its own for each row, written once.
 

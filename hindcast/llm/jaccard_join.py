@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hindcast.functions.scalars import quoted
-from hindcast.llm.common import byte_slices, free_name, numbered, text_of
+from hindcast.llm.common import byte_slices, free_name, numbered, released, text_of
 from hindcast.llm.wordhash import Words, digest, mix
 from hindcast.session import materialize
 
@@ -110,7 +110,7 @@ def describe(docs: DataFrame) -> DataFrame:
                     names=["row", "doc_id", "set_key", "n", "sig"])
 
     return docs.select("row", F.col("doc_id").cast("long").alias("doc_id"),
-                       text_of().alias("text")).mapInArrow(run, "row long, doc_id long, set_key binary, n int, sig binary")
+                       text_of().alias("text")).mapInArrow(released(run), "row long, doc_id long, set_key binary, n int, sig binary")
 
 
 def _tiles(sets: DataFrame) -> DataFrame:
@@ -160,7 +160,7 @@ def _by_tile(df: DataFrame, work: Callable[[list[pd.DataFrame]], pd.DataFrame],
         if held:
             yield work(held)
 
-    return df.repartition(*TILE).sortWithinPartitions(*TILE).mapInPandas(run, schema)
+    return df.repartition(*TILE).sortWithinPartitions(*TILE).mapInPandas(released(run), schema)
 
 
 def _starts(pdf: pd.DataFrame) -> np.ndarray:
@@ -347,7 +347,7 @@ def _linked(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], names=["row", "set"])
 
     texts = docs.select("row", text_of().alias("text")) \
-        .join(survivors.select("row").distinct(), "row", "left_semi").mapInArrow(hashes, "row long, set binary")
+        .join(survivors.select("row").distinct(), "row", "left_semi").mapInArrow(released(hashes), "row long, set binary")
     verified = materialize(_by_tile(survivors.join(texts, "row"), _verify, "row long, links long, head long", 512))
     labels = materialize(components(verified))
     links = verified.groupBy("row").agg(F.sum("links").alias("links"))
