@@ -64,6 +64,32 @@ def op7_source_mixing(spark, sf):
                                                "mix_target AS target", "mix_taken AS taken")
 
 
+# Sources in the order in which they reach their limit: the share per weight is that of the first prefix after which the next
+# one stays below its limit.
+OP7_SQL = f"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD_SQL}'))::BIGINT AS size,
+                  length(regexp_replace(coalesce(text, ''), '[^#$%&*|!<>{{}}\\[\\]\\\\~^=+_]', '', 'g')) AS odd,
+                  length(coalesce(text, '')) AS n,
+                  ('0x' || substr(md5('7|' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / power(2::DOUBLE, 52)
+                      + power(2::DOUBLE, -53) AS u FROM documents),
+k AS (SELECT *, exp(ln(u) / greatest(0.1::DOUBLE, 1 - 8::DOUBLE * odd / greatest(n, 1))) AS key FROM d),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1]::DOUBLE AS weight,
+             2::DOUBLE * source_size AS top FROM s),
+o AS (SELECT *, row_number() OVER (ORDER BY top / weight, source) AS nth FROM w),
+p AS (SELECT a.nth, a.top / a.weight AS stops, greatest(0, (SELECT 1.5::DOUBLE * sum(source_size) FROM s)
+             - coalesce((SELECT sum(top) FROM o WHERE nth < a.nth), 0)) / (SELECT sum(weight) FROM o WHERE nth >= a.nth) AS per
+      FROM o a),
+f AS (SELECT min_by(nth, nth) AS nth, min_by(per, nth) AS per FROM p WHERE per <= stops),
+t AS (SELECT source, source_size, CASE WHEN f.nth IS NULL OR o.nth < f.nth THEN top ELSE weight * per END AS target FROM o, f),
+e AS (SELECT *, coalesce(floor(target / nullif(source_size, 0)), 0)::BIGINT AS epochs FROM t),
+g AS (SELECT source, key, sum(size) AS together FROM k GROUP BY source, key),
+r AS (SELECT source, key, sum(together) OVER (PARTITION BY source ORDER BY key DESC) - together / 2 AS middle FROM g)
+SELECT k.doc_id, k.size, e.source_size, e.target, k.size * (epochs
+           + (target - epochs * source_size > 0 AND middle <= target - epochs * source_size)::INT)::BIGINT AS taken
+FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source JOIN r ON k.source IS NOT DISTINCT FROM r.source AND k.key = r.key"""
+
+
 def op3_language_model(spark, sf):
     return language_model.score_documents(table(spark, sf, "documents"))
 
@@ -227,6 +253,6 @@ QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_url_filter": op2_url_filter,
            "op10_sentencepiece": op10_sentencepiece, "op11_suffix_dedup": op11_suffix_dedup,
            "op12_vector_codes": op12_vector_codes,
            "op13_periodic_runs": op13_periodic_runs}
-ORACLES = {"op1_exact_dedup": OP1_SQL, "op2_url_filter": OP2_SQL, "op6_warc": OP6_SQL,
+ORACLES = {"op1_exact_dedup": OP1_SQL, "op2_url_filter": OP2_SQL, "op6_warc": OP6_SQL, "op7_source_mixing": OP7_SQL,
            "op8_substring_dedup": OP8_SQL, "op11_suffix_dedup": OP11_SQL, "op12_vector_codes": OP12_SQL,
            "op13_periodic_runs": OP13_SQL}
