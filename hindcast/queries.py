@@ -538,6 +538,12 @@ def auc_ci_poisson(spark, sf):
 
 @query
 def bootstrap_compare(spark, sf):
+    return rounded(resample.bootstrap_compare(_scores(spark, sf), MODELS, CI_REPLICATES))
+
+
+@query
+def bootstrap_compare_10000(spark, sf):
+    """Full size; another engine needs some 13 GB for it, so that its twin is that of a thousand replicates."""
     return rounded(resample.bootstrap_compare(_scores(spark, sf), MODELS, COMPARE_REPLICATES))
 
 
