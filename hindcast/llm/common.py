@@ -5,7 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 from collections.abc import Callable, Iterator, Sequence
-from contextlib import suppress
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -71,6 +71,18 @@ def released(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Itera
     return run
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Batches of at most ``rows`` rows between Spark and Python for what runs inside, where rows hold texts or sets."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def numbered(docs: DataFrame, row: str = "row") -> DataFrame:
     """``docs`` with a number of its own for each row, written once.
 

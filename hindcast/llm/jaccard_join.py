@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hindcast.functions.scalars import quoted
-from hindcast.llm.common import byte_slices, free_name, numbered, released, text_of
+from hindcast.llm.common import byte_slices, free_name, numbered, released, small_batches, text_of
 from hindcast.llm.wordhash import Words, digest, mix
 from hindcast.session import materialize
 
@@ -332,7 +332,8 @@ def link_documents(docs: DataFrame) -> DataFrame:
 
 
 def _linked(docs: DataFrame) -> DataFrame:
-    base = materialize(describe(docs))
+    with small_batches(docs.sparkSession):
+        base = materialize(describe(docs))
     sets = materialize(base.groupBy("set_key").agg(F.min("row").alias("row"), F.first("n").alias("n"),
                                                    F.first("sig").alias("sig"), F.min("doc_id").alias("set_id"),
                                                    F.count(F.lit(1)).alias("copies")))
@@ -348,7 +349,8 @@ def _linked(docs: DataFrame) -> DataFrame:
 
     texts = docs.select("row", text_of().alias("text")) \
         .join(survivors.select("row").distinct(), "row", "left_semi").mapInArrow(released(hashes), "row long, set binary")
-    verified = materialize(_by_tile(survivors.join(texts, "row"), _verify, "row long, links long, head long", 512))
+    with small_batches(docs.sparkSession):
+        verified = materialize(_by_tile(survivors.join(texts, "row"), _verify, "row long, links long, head long", 512))
     labels = materialize(components(verified))
     links = verified.groupBy("row").agg(F.sum("links").alias("links"))
     classed = materialize(sets.join(labels, "row", "left").join(links, "row", "left").select(
