@@ -24,6 +24,7 @@ from hindcast.llm.common import byte_slices, text_of, total_of
 from hindcast.session import materialize
 
 REVISIT_BYTES = 1000
+PIECE = 1 << 14
 FILE_BYTES = 64 << 20  # of records, before compression, per file
 _MARK = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
 _ID = re.compile(r"<urn:page:(-?\d+)>")
@@ -166,14 +167,17 @@ def _scan(data: bytes) -> Iterator[Record]:
                 continue
             reason = found
         elif data.startswith(b"\x1f\x8b\x08", pos):
-            member, text, reason = zlib.decompressobj(31), b"", ""
+            member, parts, at = zlib.decompressobj(31), [], pos
             try:
-                text = member.decompress(memoryview(data)[pos:])
-                reason = "" if member.eof else "member without end"
+                # A piece at a time: what follows the member's end is copied, and a file has many members.
+                while at < len(data) and not member.eof:
+                    parts.append(member.decompress(memoryview(data)[at:at + PIECE]))
+                    at = min(at + PIECE, len(data))
+                text, reason = b"".join(parts), "" if member.eof else "member without end"
             except zlib.error:
                 text, reason = _until_error(data, pos), "member fails its check"
             if not reason:
-                size = len(data) - pos - len(member.unused_data)
+                size = at - pos - len(member.unused_data)
                 for inner in _scan(text):
                     yield Record(pos, size if inner.gap is None else 0, inner.headers, inner.payload, inner.gap)
                 pos += size
