@@ -185,6 +185,17 @@ def test_bootstrap_aucs_against_brute_force(spark, skewed, ranges):
             assert got[b] == pytest.approx(brute_auc(y[rows], p[rows]), abs=1e-12)
 
 
+def test_added_draws_stay_off_the_driver(spark):
+    """The added draws come from a table of a few rows, but are many: no join of theirs may be a broadcast."""
+    keys = spark.range(3000).select(F.col("id").alias("csn"))
+    plan = sampling.plan_resample(keys, 40)
+    rows = sampling.with_added(keys, keys, plan, 12345, "csn")
+    assert sum(len(r._extra or ()) for r in rows.collect()) == plan.missing.sum() > 0
+    final = rows._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    joins = [line for line in final.splitlines() if "Join [ordinal" in line or "Join [csn" in line]
+    assert len(joins) == 2 and all("SortMergeJoin" in j for j in joins)
+
+
 def test_one_class_replicates(spark):
     df = score_table(spark, [(1, .5), (0, .4), (0, .3)])
     aucs = resample.bootstrap_aucs(df, 60)
