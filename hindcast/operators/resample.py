@@ -10,51 +10,78 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hindcast.functions.draws import POISSON_CUTS, key_hash
+from hindcast.functions.draws import POISSON_CUTS, key_hash, poisson_table
 from hindcast.operators.prefix import cut_points, with_range
 from hindcast.operators.sampling import CELLS, plan_resample, row_counts, with_added
 from hindcast.session import shuffle_width
 
+
+WIDTH, SEGMENT_CELLS = 256, 1 << 20  # replicates side by side; stretches times replicates
+
+
 def _weights(streams: np.ndarray, cuts: Sequence[int]) -> Callable:
-    """Per group of rows a function of replicates ``first`` to ``last``: what each row drew, rows by replicates."""
+    """Per group of rows a function of replicates ``first`` to ``last``, which gives a function of rows ``lo`` to ``hi``: what
+    each of them drew, rows by replicates."""
 
-    def of(pdf: pd.DataFrame) -> Callable[[int, int], np.ndarray]:
-        slots = pdf["_slot"].to_numpy()
+    def of(pdf: pd.DataFrame) -> Callable[[int, int], Callable[[int, int], np.ndarray]]:
+        slots, table = pdf["_slot"].to_numpy(), poisson_table(cuts)
         lists = [x if x is not None else () for x in pdf["_extra"]] if "_extra" in pdf else []
         b = np.concatenate([*map(np.asarray, lists), []]).astype(np.int64)
         row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
         order = np.argsort(b, kind="stable")
         b, row = b[order], row[order]
 
-        def block(first: int, last: int) -> np.ndarray:
-            counts = row_counts(slots, streams[first:last], cuts).astype(np.float64)
-            lo, hi = np.searchsorted(b, [first, last])
-            if hi > lo:
-                np.add.at(counts, (row[lo:hi], b[lo:hi] - first), 1.0)
-            return counts
+        def block(first: int, last: int) -> Callable[[int, int], np.ndarray]:
+            own = slice(*np.searchsorted(b, [first, last]))
+            order = np.argsort(row[own], kind="stable")
+            at, replicate = row[own][order], b[own][order] - first
+
+            def rows(lo: int, hi: int) -> np.ndarray:
+                counts = row_counts(slots[lo:hi], streams[first:last], cuts, table).astype(np.int32)
+                some = slice(*np.searchsorted(at, [lo, hi]))
+                np.add.at(counts, (at[some] - lo, replicate[some]), 1)
+                return counts
+
+            return rows
 
         return block
 
     return of
 
 
+def _segments(pred: np.ndarray, positive: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first row, kind) of stretches of sorted rows: 1 positives only, 2 negatives only, 3 both, of one score. Pairs inside a
+    stretch are of one class or tied, so only its totals matter."""
+    ties = np.flatnonzero(np.r_[True, pred[1:] != pred[:-1]])
+    kind = np.maximum.reduceat(positive, ties).astype(int) + 2 * np.maximum.reduceat(~positive, ties)
+    new = (kind == 3) | np.r_[True, kind[1:] != kind[:-1]]
+    return ties[new], kind[new]
+
+
 def _range_wins(replicates: int, weights: Callable) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """Per group of rows: for each replicate the weights of positives and negatives, and the pairs won inside."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pred", ascending=False, kind="stable")
-        pred, positive = pdf["pred"].to_numpy(), (pdf["label"].to_numpy() == 1).astype(np.float64)[:, None]
-        starts = np.flatnonzero(np.r_[True, pred[1:] != pred[:-1]])
-        ties = len(starts) < len(pred)
-        draw, width = weights(pdf), max(1, CELLS // len(pdf))
-        parts = []
+        positive, n = pdf["label"].to_numpy() == 1, len(pdf)
+        starts, kind = _segments(pdf["pred"].to_numpy(), positive)
+        width = min(WIDTH, max(1, SEGMENT_CELLS // len(starts)))
+        draw, parts = weights(pdf), []
         for first in range(0, replicates, width):
             last = min(first + width, replicates)
-            w = draw(first, last)
-            pos = w * positive
-            neg = w - pos
-            if ties:
-                pos, neg = np.add.reduceat(pos, starts, axis=0), np.add.reduceat(neg, starts, axis=0)
+            rows = draw(first, last)
+            pos, neg = (np.zeros((len(starts), last - first)) for _ in range(2))
+            step = max(1, CELLS // (last - first))
+            for lo in range(0, n, step):
+                hi = min(lo + step, n)
+                a, b = np.searchsorted(starts, lo, "right") - 1, np.searchsorted(starts, hi)
+                w, cuts = rows(lo, hi), np.maximum(starts[a:b] - lo, 0)
+                total = np.add.reduceat(w, cuts, axis=0, dtype=np.int64)
+                of_pos = np.where(kind[a:b, None] == 1, total, 0)
+                if (kind[a:b] == 3).any():
+                    of_pos = np.add.reduceat(w * positive[lo:hi, None], cuts, axis=0, dtype=np.int64)
+                pos[a:b] += of_pos
+                neg[a:b] += total - of_pos
             above = np.cumsum(pos, axis=0)
             total = above[-1].copy()
             above -= pos / 2

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hindcast.functions.beta import beta_quantile
-from hindcast.functions.draws import POISSON_CUTS, key_hash, mix32_array, poisson, poisson_array
+from hindcast.functions.draws import POISSON_CUTS, key_hash, mix32_array, poisson, poisson_array, poisson_cuts, poisson_table
 from hindcast.functions.scalars import grid_rank
 from hindcast.operators import metrics, resample, sampling, survival
 from hindcast.operators.prefix import exact_quantiles, random_rank, running_sums
@@ -196,6 +196,28 @@ def test_added_draws_stay_off_the_driver(spark):
     assert len(joins) == 2 and all("SortMergeJoin" in j for j in joins)
 
 
+def test_poisson_table():
+    """The same counts as by comparing with every cut, at the cuts and beside them."""
+    for cuts in (POISSON_CUTS, poisson_cuts(0.9), poisson_cuts(0.0)):
+        edges = np.array([c + d for c in cuts for d in (-1, 0, 1) if 0 <= c + d < 2**32] + [0, 2**32 - 1], np.uint32)
+        want = (edges[:, None] >= np.array(cuts, np.uint32)).sum(axis=1)
+        assert (poisson_array(edges, cuts) == want).all() and (poisson_array(edges, cuts, poisson_table(cuts)) == want).all()
+
+
+def test_range_wins_over_blocks(skewed):
+    """Stretches that go over several blocks of rows and scores shared by both classes, against brute force."""
+    y, p = (np.tile(a, 3) for a in skewed)
+    pdf = pd.DataFrame({"model": "m", "_range": 0, "label": y, "pred": p, "_slot": np.arange(len(y)) * 7919})
+    pdf["_extra"] = [[i % 300, i % 300] if i % 7 == 0 else None for i in range(len(y))]
+    out = resample._range_wins(300, resample._weights(np.arange(300), POISSON_CUTS))(pdf)
+    w = sampling.row_counts(pdf["_slot"].to_numpy(), np.arange(300), POISSON_CUTS).astype(int)
+    w[np.arange(0, len(y), 7), np.arange(0, len(y), 7) % 300] += 2
+    better = (p[y == 1][:, None] > p[y == 0]) + 0.5 * (p[y == 1][:, None] == p[y == 0])
+    for b in (0, 1, 7, 299):
+        pos, neg = w[y == 1, b], w[y == 0, b]
+        assert tuple(out.iloc[b][["b", "pos", "neg", "wins"]]) == (b, pos.sum(), neg.sum(), pos @ better @ neg)
+
+
 def test_one_class_replicates(spark):
     df = score_table(spark, [(1, .5), (0, .4), (0, .3)])
     aucs = resample.bootstrap_aucs(df, 60)
