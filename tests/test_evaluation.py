@@ -302,6 +302,22 @@ def test_histogram(spark, skewed):
 
 # Rows by rank
 
+def test_scores_are_made_once(spark):
+    """Metrics that read scores several times do not make them several times."""
+    df = spark.range(400).select(
+        F.col("id").alias("csn"), F.when(F.col("id") % 5 > 0, F.lit("m")).alias("model"), (F.col("id") % 3 == 0).cast("int").alias("label"),
+        (F.conv(F.substring(F.md5(F.col("id").cast("string")), 1, 8), 16, 10).cast("double") / 2.0**32).alias("pred"),
+        (F.col("id") % 37).cast("double").alias("age"))
+    found = metrics.subgroup_numeric(df, "age", 0.3)
+    assert "md5(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got, want = {r.tile: r for r in found.collect()}, df.where("model = 'm'").toPandas()
+    edges = np.quantile(want.age, np.linspace(0, 1, 10))
+    for tile in range(1, 10):
+        part = want[(want.age > edges[tile - 1]) & (want.age <= edges[tile])]
+        assert got[tile].n == len(part) and got[tile].tp == ((part.pred >= got[tile].threshold) & (part.label == 1)).sum()
+        assert got[tile].auc == pytest.approx(brute_auc(part.label.to_numpy(), part.pred.to_numpy()), abs=1e-12)
+
+
 def test_rows_by_rank(spark):
     """The same rows as by numbering all of them, without a sort or shuffle of the table."""
     df = spark.range(3000).select((F.col("id") * 7).alias("csn"), (F.col("id") % 5).alias("slot"))
