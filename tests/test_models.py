@@ -9,7 +9,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from hindcast.operators import explain, metrics, models, selection
-from hindcast.plans import train
+from hindcast.plans import modelling, train
 from hindcast.session import shared_dir
 from hindcast.sources.tables import load_features, load_model, save_features
 
@@ -186,6 +186,19 @@ def test_recursive_elimination_keeps_fewer_each_step(table):
     assert judged.auc.between(0.8, 1).all() and judged.groupby("step").auc.nunique().max() == 1
 
 
+def test_models_score_rows_once(table):
+    """Reports read written scores, so that their several passes do not score the rows again."""
+    split = table.withColumn("group", F.when(F.col("csn") % 2 == 0, "train").otherwise("test"))
+    forest = models.fit(split, NAMES, models.random_forest(numTrees=3, maxDepth=3))
+    report = modelling.evaluate(forest, "rf", split)
+    steps = models.recursive_elimination(split, NAMES, models.random_forest(numTrees=3, maxDepth=3), split, shares=(0.4, 0.0))
+    for found in (report, steps):
+        assert "UDF" not in found._jdf.queryExecution().optimizedPlan().toString()
+    want = {r.group: r.auc for r in metrics.model_report(
+        models.score(forest, split).select(F.lit("rf").alias("model"), "group", "label", "pred")).collect()}
+    assert {r.group: r.auc for r in report.collect()} == pytest.approx(want)
+
+
 def test_partial_dependence(table):
     model = models.fit(table, NAMES, models.random_forest(numTrees=5, maxDepth=3))
     for background in (True, False):
