@@ -32,7 +32,8 @@ from hindcast.llm.wordhash import mix, run_hashes
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE, LITERAL = 0x2581, 0x110000  # the mark of a space; the character that looks like it, which only bytes spell
 MAX_UNIT, SHIFT, BYTE_LOSS, MOST_GIFT = 24, 10.0, 11.0, 20.0
-BLOCK_CHARS, LATTICE_CODES = 1 << 17, 1 << 17
+BLOCK_CHARS, LATTICE_CODES = 1 << 15, 1 << 17
+SAMPLES = 8  # per text: the search opens as many sets less one
 WIDTH, SLOT_BITS = 16, 20
 _BASE = 0x9E3779B97F4A7C15
 _BYTES = np.uint64(0x0101010101010101)
@@ -424,7 +425,7 @@ def decode_pieces(v: Vocabulary, pieces: Sequence[int]) -> str:
     return b"".join(map(v.text.__getitem__, pieces)).decode("utf-8", "surrogatepass")[1:]
 
 
-def encode_documents(docs: DataFrame, k: int = 2, seed: int = 1, path: str = MODEL) -> DataFrame:
+def encode_documents(docs: DataFrame, k: int = SAMPLES, seed: int = 1, path: str = MODEL) -> DataFrame:
     """(doc_id, sample, pieces, n_pieces, log_prob, perturbed, inclusion, decoded), up to ``k`` rows per document.
 
     Fewer where a text has fewer segmentations; an empty or null text has the space before it only. ``decoded``: whether the

@@ -323,6 +323,17 @@ def test_sentencepiece(spark, odd):
     assert pieces.encode_documents(frame(spark, [])).collect() == []
 
 
+def test_sentencepiece_searches_by_default(spark):
+    """Enough samples that the search opens sets of sets; the first ones do not depend on how many follow."""
+    df = frame(spark, [(1, "several segmentations", None, None, None), (2, None, None, None, None)])
+    got = pieces.encode_documents(df).collect()
+    own = [r for r in got if r.doc_id == 1]
+    assert len(own) == pieces.SAMPLES == 8 and len({tuple(r.pieces) for r in own}) == 8
+    assert [r.perturbed for r in own] == sorted((r.perturbed for r in own), reverse=True)
+    two = pieces.encode_documents(df, k=2).where("doc_id = 1").collect()
+    assert [r.pieces for r in two] == [r.pieces for r in own[:2]] and [r.doc_id for r in got].count(2) == 1
+
+
 def test_sentencepiece_draws_follow_the_lattice():
     """Each segmentation of a short text is the first sample as often as its probability says, and the pair of samples as
     often as drawing without replacement says; inclusion scores weigh the samples to unbiased sums."""
