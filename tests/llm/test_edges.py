@@ -133,6 +133,31 @@ def test_language_model_is_a_probability():
     assert np.allclose(mixer.log_probability(long_)[1], mixer.log_probability([b"the"])[0])
 
 
+def test_language_model_mixes_along_the_text(spark):
+    """What a seen word gets depends on what stands before it, across the word's start; the score is the product of the bits'
+    chances, so that texts that are no beginnings of each other have at most 1 together."""
+    import numpy as np
+
+    from hindcast.llm.bitmix import ORDERS, SLOTS, Mixer
+    rows = [(i, "hot tea now " * 20 + "cold ice then " * 20) for i in range(40)]
+    rows += [(1000, "hot tea now"), (1001, "hot ice now"), (1002, "cold tea then"), (1003, "cold ice then")]
+    got = {r.doc_id: r for r in language_model.score_documents(frame(spark, rows)).collect()}
+    assert got[1000].score > got[1001].score + 0.1 and got[1003].score > got[1002].score + 0.1
+    assert all(abs(got[i].bits_per_byte + got[i].score * np.log2(10) / (len(rows[-4 + i - 1000][1]) + 2)) < 1e-9
+               for i in range(1000, 1004))
+    counts = np.zeros((ORDERS, SLOTS, 2), np.int32)
+    mixer = Mixer(counts)
+    texts = [language_model.spelled(t) for t in ([], [b"a"], [b"a", b"b"], [b"a", b"a"], [b"b"], [b"b", b"a", b"a"])]
+    mixer.learn(texts * 2000, b"", counts)
+    mixer.read(counts)
+    p = np.exp(mixer.log_probability(texts, b""))
+    assert 0.5 < p.sum() <= 1.0001
+    # Cut into stretches, no byte of a text is left out.
+    codes = [b"x" * (language_model.PIECE + 5), b" ", b"ab  " * 30_000]
+    parts = [(n, piece) for numbers, pieces in language_model.stretches(codes) for n, piece in zip(numbers, pieces)]
+    assert [b"".join(piece for n, piece in parts if n == i) for i in range(3)] == codes
+
+
 def test_fingerprints(spark, odd):
     rows = [r for r in odd if r[0] is not None]
     got = fingerprints.fingerprint_documents(frame(spark, rows)).collect()
