@@ -171,6 +171,22 @@ def test_boosting_with_patience(spark, table):
     assert boosted.evaluateEachIteration(held)[-1] == pytest.approx(found[stop - 1].loss)
 
 
+def test_boosting_is_cut_not_fitted_again(table, monkeypatch):
+    """The model cut at the stop is the fit to just that many rounds; the losses told go to the next of 16, 32, ... rounds."""
+    estimator = models.PatientBoosting(labelCol="label", featuresCol="features", seed=42, maxDepth=3, stepSize=0.3, maxIter=40)
+    rows, fits = assembler_rows(table).coalesce(1).cache(), []
+    plain = models.GBTClassifier._fit
+    monkeypatch.setattr(models.GBTClassifier, "_fit", lambda self, df: fits.append(self.getMaxIter()) or plain(self, df))
+    model = estimator.fit(rows)
+    stop = model.getNumTrees
+    assert fits in ([25], [25, 40]) and stop not in fits and model.getMaxIter() == stop
+    assert len(estimator.last_losses) == (16 if stop <= 16 else 32)
+    again = plain(estimator.copy({estimator.maxIter: stop}), rows.where("NOT held_out"))
+    trees = lambda m: m.toDebugString.split("\n", 1)[1]
+    assert trees(model) == trees(again) and model.featureImportances == again.featureImportances
+    assert model.evaluateEachIteration(rows) == again.evaluateEachIteration(rows)
+
+
 def assembler_rows(table):
     rows = models.with_held_out(table).select("csn", "held_out", F.col("label").cast("double").alias("label"),
                                               *[F.col(f"`{f}`").cast("double").alias(f) for f in NAMES])
