@@ -11,6 +11,7 @@ from hindcast.functions.columns import (
 from hindcast.functions.scalars import age_years, flag_score, label_horizon, lenient_date, recode_flags, survival_days
 from hindcast.operators import features
 from hindcast.operators.asof import asof_join
+from hindcast.plans import modelling
 from hindcast.plans.feature_matrix import left_join_features
 from hindcast.sources import clinical, tables
 
@@ -63,6 +64,28 @@ def test_two_encounters_on_a_day_double_counts(spark):
     assert features.demographics(enc).count() == 2
 
 
+def test_labs_and_stages_in_one_window(spark):
+    """Rows before an encounter in either table, both, none, and on its own day; the training table runs one window for both."""
+    enc = encounters(spark, [("a", 1, 1, at(10, 8)), ("a", 1, 2, at(10, 15)), ("b", 2, 3, at(5)), ("c", 3, 4, at(5)),
+                             ("d", 4, 5, at(5)), ("a", 1, 6, at(2)), (None, 5, 7, at(9)), ("e", 6, 8, None)]) \
+        .withColumn("specialty", F.lit("P"))
+    labs = spark.createDataFrame([("a", 1, at(3), "X", 1.0, None), ("a", 1, at(6), "X", None, "Low"),
+                                  ("a", 1, at(10), "X", 5.0, None), ("b", 2, at(1), "Y", 2.0, None), ("e", 6, at(1), "X", 3.0, None)], LAB)
+    stage = spark.createDataFrame([("a", 1, at(4), "P", "1"), ("a", 1, at(9), "Q", "2"), ("c", 3, at(1), "P", None),
+                                   ("c", 3, at(5), "P", None), ("b", 2, at(4), None, "1")], tables.STAGES)
+    both = features.lab_and_stage_features(enc, labs, stage, ["X", "Y"], {"body_site_name": ["P", "Q"]}, prefixes={"body_site_name": "n_"})
+    key = ["pat_id", "empi", "appt_date"]
+    apart = features.lab_features(enc, labs, ["X", "Y"]).join(
+        features.stage_features(enc, stage, {"body_site_name": ["P", "Q"]}, {"body_site_name": "n_"}), key, "full")
+    assert sorted(map(str, both.select(apart.columns).collect())) == sorted(map(str, apart.collect())) and apart.count() == 3
+    wide = modelling.encounter_features(enc, labs, stage, ["X", "Y"], ["P", "Q"], ["P"], ["result_time"])
+    got = {r.csn: (r["X: last"], r["X: count"], r["Y: count"], r.n_P, r.n_Q) for r in wide.collect()}
+    assert got == {1: (1, 4, 0, 2, 2), 2: (1, 4, 0, 2, 2), 3: (0, 0, 1, 0, 0), 4: (0, 0, 0, 1, 0), 5: (0, 0, 0, 0, 0),
+                   6: (0, 0, 0, 0, 0), 7: (0, 0, 0, 0, 0), 8: (0, 0, 0, 0, 0)}
+    plan = wide._jdf.queryExecution().optimizedPlan().toString()
+    assert sum(line.strip(" :+-").startswith("Window ") for line in plan.splitlines()) == 1
+
+
 def test_missing_keys_and_dates_match_nothing(spark):
     enc = encounters(spark, [(None, 1, 1, at(10)), ("a", None, 2, at(10)), ("a", 1, 3, None), ("a", 1, 4, at(10))])
     labs = spark.createDataFrame([(None, 1, at(1), "X", 1.0, None), ("a", None, at(1), "X", 1.0, None),
