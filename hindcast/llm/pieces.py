@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hindcast.llm.common import byte_slices, id_text, released, text_of
-from hindcast.llm.wordhash import mix, run_hashes
+from hindcast.llm.wordhash import mix, run_hashes, upto_hashes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE, LITERAL = 0x2581, 0x110000  # the mark of a space; the character that looks like it, which only bytes spell
@@ -173,6 +173,7 @@ class Lattice:
         end = np.repeat(np.cumsum(size), size)
         open_, given = np.arange(n_codes), np.zeros(n_codes)
         mixed = mix(codes.astype(np.uint64) + np.uint64(1))
+        total = upto_hashes(mixed, _BASE)
         alone = np.full(n_codes, -np.inf)
         for n in range(1, v.longest + 1):
             open_ = open_[open_ + n <= end[open_]]
@@ -180,7 +181,7 @@ class Lattice:
                 break
             if n > 1:
                 given[open_] += own_gift[open_ + n - 1]
-            at, there = v.find(mix(run_hashes(mixed, open_, open_ + n, _BASE) + np.uint64(n)))
+            at, there = v.find(mix(run_hashes(mixed, open_, open_ + n, _BASE, total) + np.uint64(n)))
             open_, at = open_[there], v.piece[at[there]]
             whole, at = open_[at >= 0], at[at >= 0]
             pieces[whole, n - 1] = at
@@ -197,48 +198,51 @@ class Lattice:
             own_gift = np.minimum(-alone, MOST_GIFT)
             given[:] = own_gift
             weight[:, 0] = np.exp(alone + own_gift)
-        # Units of one size at a time, from their ends back: ``total`` is the sum of all ways from a character to the end.
-        sizes, units = np.unique(size, return_counts=True)
+        # From the units' ends back, those that reach so far together: ``total`` is the sum of all ways from a character to
+        # the end, with a place more per unit, for the end itself.
         head = self.used - n_codes
-        low = 0
-        for s, m in zip(sizes.tolist(), units.tolist()):
-            high = low + s * m
-            own = weight[low:high].reshape(m, s, WIDTH)
-            chance, upto, rest = (x[head + low:head + high].reshape(m, s, WIDTH) for x in (self.chance, self.upto, self.rest))
-            total = np.ones((m, s + 1))
-            for i in range(s - 1, -1, -1):
-                w = min(s - i, WIDTH)
-                value = own[:, i, :w] * total[:, i + 1:i + 1 + w]
-                total[:, i] = value.sum(axis=1)
-                value /= total[:, i, None]
-                chance[:, i, :w], chance[:, i, w:] = value, 0
-                run = np.cumsum(value, axis=1)
-                upto[:, i, :w], upto[:, i, w:] = run, run[:, -1:]
-                # All edges but one, added up without it, so that the sum keeps its digits.
-                rest[:, i, 0], rest[:, i, 1:w] = 0, run[:, :-1]
-                rest[:, i, :w - 1] += np.cumsum(value[:, :0:-1], axis=1)[:, ::-1]
-            low = high
+        ends, skipped = np.cumsum(size), np.arange(len(size))
+        total = np.ones(n_codes + len(size))
+        chance, upto, rest = (x[head:self.used] for x in (self.chance, self.upto, self.rest))
+        chance[:], rest[:] = 0, 0
+        for left in range(1, int(size[-1]) + 1 if len(size) else 1):
+            far = int(np.searchsorted(size, left))  # units come by size
+            at, w = ends[far:] - left, min(left, WIDTH)
+            place = at + skipped[far:]
+            value = weight[at, :w] * total[place[:, None] + np.arange(1, w + 1)]
+            ways = value.sum(axis=1)
+            total[place] = ways
+            value /= ways[:, None]
+            chance[at, :w] = value
+            run = np.cumsum(value, axis=1)
+            upto[at, :w], upto[at, w:] = run, run[:, -1:]
+            # All edges but one, added up without it, so that the sum keeps its digits.
+            others = np.zeros_like(value)
+            others[:, 1:] = run[:, :-1]
+            others = others.astype(np.float32)
+            others[:, :-1] += np.cumsum(value[:, :0:-1], axis=1)[:, ::-1]
+            rest[at, :w] = others
 
     def walk(self, at: np.ndarray, end: np.ndarray, draw) -> tuple[np.ndarray, np.ndarray]:
         """From each character to its unit's end: (which, edge), by ``which`` and then step. ``draw(which, step)`` are
         uniform."""
         which, found_w, found_e, step = np.flatnonzero(at < end), [], [], 0
-        at, end = at[which], end[which]
+        at, end, chance = at[which], end[which], self.chance.ravel()
         while len(which):
-            upto = self.upto[at]
+            upto = self.upto.take(at, axis=0)
             u = (draw(which, step) * upto[:, -1]).astype(np.float32)
             # How many sums are not above u: a row's 16 truth values are two words, whose bytes are added up.
             words = (upto <= u[:, None]).view(np.uint64)
             length = (((words[:, 0] + words[:, 1]) * _BYTES >> np.uint64(56)) % np.uint64(WIDTH)).astype(np.int64)
             edge = at * WIDTH + length
-            bad = self.chance.ravel()[edge] <= 0
+            bad = chance.take(edge) <= 0
             if bad.any():
                 edge[bad] = at[bad] * WIDTH + self.chance[at[bad]].argmax(axis=1)
             found_w.append(which)
             found_e.append(edge)
             at = at + edge % WIDTH + 1
-            on = at < end
-            which, at, end, step = which[on], at[on], end[on], step + 1
+            on = np.flatnonzero(at < end)
+            which, at, end, step = which.take(on), at.take(on), end.take(on), step + 1
         if not found_w:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         which, edge = np.concatenate(found_w), np.concatenate(found_e)
@@ -303,7 +307,7 @@ def sample_block(lattice: Lattice, texts: Sequence[str], keys: np.ndarray, k: in
     def made(number: int, unit: np.ndarray, edge: np.ndarray, first: np.ndarray, value: np.ndarray, old: np.ndarray) -> _Path:
         """A path from its steps; sets that leave it are drawn from step ``old`` of each text on."""
         doc = np.repeat(docs, np.diff(first))
-        log = np.log(chance[edge].astype(np.float64))
+        log = np.log(chance.take(edge).astype(np.float64))
         run = np.cumsum(log)
         before = run - log
         before -= np.repeat(before[first[:-1]], np.diff(first))
@@ -311,7 +315,7 @@ def sample_block(lattice: Lattice, texts: Sequence[str], keys: np.ndarray, k: in
         new = np.flatnonzero(step >= old[doc])
         own, left = doc[new], np.full(len(edge), -np.inf)
         with np.errstate(divide="ignore"):
-            place = before[new] + np.log(rest[edge[new]].astype(np.float64))
+            place = before[new] + np.log(rest.take(edge[new]).astype(np.float64))
         drawn = place + _gumbel(_uniform(_stream(seed, keys, number * 2 + 1)[own] + step[new].astype(np.uint64)))
         some = np.isfinite(place)
         left[new[some]] = -np.logaddexp(-value[own[some]], -drawn[some])
@@ -343,21 +347,29 @@ def sample_block(lattice: Lattice, texts: Sequence[str], keys: np.ndarray, k: in
         pick = np.stack([s for _, s in found])[source, docs]
         alt, gone = np.zeros(len(docs), np.int64), {}
         place = np.zeros(len(docs), np.int64)
-        for d in docs[alive]:
-            p, s = paths[source[d]], pick[d]
-            out = [*(p.gone[d] if p.branch.get(d) == s else ()), int(p.edge[s])]
-            base = int(p.edge[s]) // WIDTH * WIDTH
-            options = [e for e in range(base, base + WIDTH) if chance[e] > 0 and e not in out]
-            mass = np.cumsum(chance[options])
-            u = _uniform(_stream(seed, keys[d:d + 1], number * 2 + 2) + FAR)[0]
-            alt[d] = options[min(int(np.searchsorted(mass, u * mass[-1])), len(options) - 1)]
-            gone[d] = [*out, int(alt[d])]
-            place[d] = s - old_first[source[d]][d]
-            p.left[s] = -np.inf
         live = docs[alive]
         if not len(live):
             bound = value
             break
+        for d in live.tolist():
+            p, s = paths[source[d]], pick[d]
+            gone[d] = [*(p.gone[d] if p.branch.get(d) == s else ()), int(p.edge[s])]
+            place[d] = s - old_first[source[d]][d]
+            p.left[s] = -np.inf
+        # Another edge at the character where each text's path branches, by the chances of those that are not gone.
+        node = np.array([gone[d][-1] for d in live.tolist()]) // WIDTH
+        open_ = lattice.chance.take(node, axis=0)
+        for i, d in enumerate(live.tolist()):
+            open_[i, [e % WIDTH for e in gone[d]]] = 0
+        mass = np.cumsum(open_, axis=1)
+        turn = _uniform(_stream(seed, keys[live], number * 2 + 2) + FAR) * mass[:, -1]
+        right = (open_ > 0) & (mass >= turn[:, None])
+        length = np.where(right.any(axis=1), right.argmax(axis=1), WIDTH - 1 - (open_[:, ::-1] > 0).argmax(axis=1))
+        alt[live] = node * WIDTH + length
+        open_[np.arange(len(live)), length] = 0
+        others = np.cumsum(open_, axis=1)[:, -1]
+        for d in live.tolist():
+            gone[d].append(int(alt[d]))
         branch_unit = np.array([paths[source[d]].unit[pick[d]] for d in live])
         # The rest of the unit in which the path branches, and all units after it.
         counts = first_unit[live] + n_units[live] - branch_unit
@@ -381,16 +393,14 @@ def sample_block(lattice: Lattice, texts: Sequence[str], keys: np.ndarray, k: in
                 length[d] = 1
         first = np.append(0, np.cumsum(length))
         path = made(number, np.concatenate(steps_u), np.concatenate(steps_e), first, value, place + 1)
-        for d in live:
-            # What is left where it branched: all edges but those gone.
-            s = first[d] + place[d]
-            base = int(path.edge[s]) // WIDTH * WIDTH
-            others = sum(chance[e] for e in range(base, base + WIDTH) if e not in gone[d])
+        # What is left where it branched: all edges but those gone.
+        step = first[live] + place[live]
+        with np.errstate(divide="ignore"):
+            drawn = path.before[step] + np.log(others) + _gumbel(_uniform(_stream(seed, keys[live], number * 2 + 1) + FAR))
+        some = others > 0
+        path.left[step[some]] = -np.logaddexp(-value[live][some], -drawn[some])
+        for d, s in zip(live.tolist(), step.tolist()):
             path.gone[d], path.branch[d] = gone[d][:-1], s
-            if others > 0:
-                u = _uniform(_stream(seed, keys[d:d + 1], number * 2 + 1) + FAR)
-                drawn = path.before[s] + np.log(others) + _gumbel(u)[0]
-                path.left[s] = -np.logaddexp(-value[d], -drawn)
         paths.append(path)
         taken.append(alive)
     out: list[list] = [[] for _ in texts]

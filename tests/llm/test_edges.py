@@ -359,6 +359,16 @@ def test_sentencepiece_searches_by_default(spark):
     assert [r.pieces for r in two] == [r.pieces for r in own[:2]] and [r.doc_id for r in got].count(2) == 1
 
 
+def test_sentencepiece_draws_for_all_texts_at_once(monkeypatch):
+    """Calls per block depend on the longest unit, not on the number of texts."""
+    import numpy as np
+
+    v, calls, plain = pieces.load(), [], pieces._uniform
+    monkeypatch.setattr(pieces, "_uniform", lambda place: calls.append(len(place)) or plain(place))
+    found = pieces.sample_block(pieces.Lattice(v), ["hello world"] * 60, np.arange(60), 4, 9)
+    assert all(len({tuple(s[0]) for s in own}) == 4 for own in found) and len(calls) < 120
+
+
 def test_sentencepiece_draws_follow_the_lattice():
     """Each segmentation of a short text is the first sample as often as its probability says, and the pair of samples as
     often as drawing without replacement says; inclusion scores weigh the samples to unbiased sums."""
