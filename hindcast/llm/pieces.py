@@ -32,9 +32,13 @@ from hindcast.llm.wordhash import mix, run_hashes, upto_hashes
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE, LITERAL = 0x2581, 0x110000  # the mark of a space; the character that looks like it, which only bytes spell
 MAX_UNIT, SHIFT, BYTE_LOSS, MOST_GIFT = 24, 10.0, 11.0, 20.0
-BLOCK_CHARS, LATTICE_CODES = 1 << 15, 1 << 17
+BLOCK_CHARS, LATTICE_CODES, SPELLED = 1 << 16, 3 << 16, 1 << 18  # SPELLED: pieces put together at a time, or one text's
 SAMPLES = 8  # per text: the search opens as many sets less one
 WIDTH, SLOT_BITS = 16, 20
+WALKED, ROWS = 1 << 16, 1 << 11  # units walked together; characters whose edges are worked out together
+# A Gumbel draw is below MOST_GUMBEL, since uniform draws are below 1 - 2^-54. So sets with a log probability under -NEAR have
+# values far under those of the best, and are drawn only if the best ever come down to what they can reach.
+NEAR, MOST_GUMBEL = 45.0, 37.5
 _BASE = 0x9E3779B97F4A7C15
 _BYTES = np.uint64(0x0101010101010101)
 
@@ -112,7 +116,12 @@ def _stream(seed: int, keys: np.ndarray, number: int) -> np.ndarray:
 
 def _uniform(place: np.ndarray) -> np.ndarray:
     """In (0, 1), from the place alone."""
-    return ((mix(place) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+    x = mix(place)
+    x >>= np.uint64(11)
+    out = x.astype(np.float64)
+    out += 0.5
+    out *= 2.0**-53
+    return out
 
 
 def _gumbel(u: np.ndarray) -> np.ndarray:
@@ -135,7 +144,6 @@ class Lattice:
         if room != self.room:  # what is left of earlier units is written over or not looked at
             self.room, self.piece = room, np.zeros((room, WIDTH), np.int32)
             self.chance, self.upto, self.rest = (np.zeros((room, WIDTH), np.float32) for _ in range(3))
-            self.weight = np.zeros((room, WIDTH))
         self.used = 0
         self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.names, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # units by hash, sorted
@@ -167,8 +175,7 @@ class Lattice:
     def _add(self, codes: np.ndarray, size: np.ndarray) -> None:
         """The characters of new units, which come by size."""
         v, n_codes = self.vocabulary, len(codes)
-        pieces, weight = self.piece[self.used:self.used + n_codes], self.weight[:n_codes]
-        weight[:] = 0
+        pieces, weight = self.piece[self.used:self.used + n_codes], np.zeros((n_codes, WIDTH))
         self.used += n_codes
         end = np.repeat(np.cumsum(size), size)
         open_, given = np.arange(n_codes), np.zeros(n_codes)
@@ -202,52 +209,62 @@ class Lattice:
         # the end, with a place more per unit, for the end itself.
         head = self.used - n_codes
         ends, skipped = np.cumsum(size), np.arange(len(size))
-        total = np.ones(n_codes + len(size))
-        chance, upto, rest = (x[head:self.used] for x in (self.chance, self.upto, self.rest))
-        chance[:], rest[:] = 0, 0
+        total = np.ones(n_codes + len(size) + WIDTH)
+        onward = np.lib.stride_tricks.sliding_window_view(total[1:], WIDTH)  # the totals after each place
         for left in range(1, int(size[-1]) + 1 if len(size) else 1):
             far = int(np.searchsorted(size, left))  # units come by size
             at, w = ends[far:] - left, min(left, WIDTH)
             place = at + skipped[far:]
-            value = weight[at, :w] * total[place[:, None] + np.arange(1, w + 1)]
-            ways = value.sum(axis=1)
-            total[place] = ways
-            value /= ways[:, None]
-            chance[at, :w] = value
-            run = np.cumsum(value, axis=1)
-            upto[at, :w], upto[at, w:] = run, run[:, -1:]
+            total[place] = (weight[at, :w] * onward[place, :w]).sum(axis=1)
+        place = np.arange(n_codes) + np.repeat(skipped, size)
+        for lo in range(0, n_codes, ROWS):
+            own = place[lo:lo + ROWS]
+            value = weight[lo:lo + ROWS]
+            value *= onward[own]
+            value /= total[own][:, None]
+            rows = slice(head + lo, head + lo + len(own))
+            self.chance[rows] = value
             # All edges but one, added up without it, so that the sum keeps its digits.
-            others = np.zeros_like(value)
-            others[:, 1:] = run[:, :-1]
-            others = others.astype(np.float32)
-            others[:, :-1] += np.cumsum(value[:, :0:-1], axis=1)[:, ::-1]
-            rest[at, :w] = others
+            after = np.zeros((len(own), WIDTH))
+            for n in range(WIDTH - 1, 0, -1):
+                np.add(after[:, n], value[:, n], out=after[:, n - 1])
+            for n in range(1, WIDTH):
+                value[:, n] += value[:, n - 1]
+            self.upto[rows] = value
+            others = self.rest[rows]
+            others[:, 0] = 0
+            others[:, 1:] = value[:, :-1]
+            others[:, :-1] += after[:, :-1]
 
     def walk(self, at: np.ndarray, end: np.ndarray, draw) -> tuple[np.ndarray, np.ndarray]:
-        """From each character to its unit's end: (which, edge), by ``which`` and then step. ``draw(which, step)`` are
-        uniform."""
-        which, found_w, found_e, step = np.flatnonzero(at < end), [], [], 0
-        at, end, chance = at[which], end[which], self.chance.ravel()
+        """From each character to its unit's end: (edges, by character and then step; where each character's begin, with one
+        entry more). ``draw(which, step)`` are uniform."""
+        count, found, step = np.zeros(len(at), np.int64), [], 0
+        which = np.flatnonzero(at < end)
+        at, end = at.take(which), end.take(which)
         while len(which):
             upto = self.upto.take(at, axis=0)
             u = (draw(which, step) * upto[:, -1]).astype(np.float32)
             # How many sums are not above u: a row's 16 truth values are two words, whose bytes are added up.
             words = (upto <= u[:, None]).view(np.uint64)
-            length = (((words[:, 0] + words[:, 1]) * _BYTES >> np.uint64(56)) % np.uint64(WIDTH)).astype(np.int64)
-            edge = at * WIDTH + length
-            bad = chance.take(edge) <= 0
-            if bad.any():
-                edge[bad] = at[bad] * WIDTH + self.chance[at[bad]].argmax(axis=1)
-            found_w.append(which)
-            found_e.append(edge)
-            at = at + edge % WIDTH + 1
+            length = words[:, 0] + words[:, 1]
+            length *= _BYTES
+            length >>= np.uint64(56)
+            length = length.view(np.int64)
+            bad = np.flatnonzero(length == WIDTH)
+            if len(bad):
+                length[bad] = self.chance[at[bad]].argmax(axis=1)
+            found.append((which, at * WIDTH + length))
+            count[which] = step = step + 1
+            at += length
+            at += 1
             on = np.flatnonzero(at < end)
-            which, at, end, step = which.take(on), at.take(on), end.take(on), step + 1
-        if not found_w:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        which, edge = np.concatenate(found_w), np.concatenate(found_e)
-        order = np.argsort(which, kind="stable")
-        return which[order], edge[order]
+            which, at, end = which.take(on), at.take(on), end.take(on)
+        first = np.append(0, np.cumsum(count))
+        edges = np.empty(first[-1], np.int64)
+        for i, (which, edge) in enumerate(found):
+            edges[first.take(which) + i] = edge
+        return edges, first
 
 
 def _units(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -271,91 +288,143 @@ def _units(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class _Path:
-    """A sample of every text: flat steps, ``first`` of each text, the log probability before each step, and the value of
-    the set that leaves it there."""
-
-    def __init__(self, first, unit, edge, value, before, left, total):
-        self.first, self.unit, self.edge, self.value = first, unit, edge, value
-        self.before, self.left, self.total = before, left, total
+    """A sample of every text, and the sets that leave it, each at a step of its own: text, step, unit, edge, the log
+    probability before the step and the set's value, by text and then step. Edges are ``head`` of the text and then
+    [``lo``, ``hi``) of the walk with the sample's number; ``start`` is the log probability before ``lo``. Steps from
+    ``near`` on have no values yet; theirs are below ``far``."""
+
+    def __init__(self, value: np.ndarray, lo: np.ndarray, hi: np.ndarray, head: dict[int, np.ndarray], start: np.ndarray):
+        self.value, self.lo, self.hi, self.head, self.start = value, lo, hi, head, start
+        self.near, self.far = lo.copy(), np.full(len(lo), -np.inf)
+        self.first, self.sets = np.zeros(len(lo) + 1, np.int64), []
         self.gone: dict[int, list[int]] = {}  # by text: edges ruled out at the step where the path branched
         self.branch: dict[int, int] = {}
 
+    def add(self, *sets: np.ndarray) -> None:
+        """More sets: (text, step, unit, edge, before, value)."""
+        self.sets = [np.concatenate(x) for x in zip(self.sets, sets)] if self.sets else list(sets)
+        order = np.argsort(self.sets[0], kind="stable")
+        self.sets = [x.take(order) for x in self.sets]
+        self.first = np.searchsorted(self.sets[0], np.arange(len(self.lo) + 1))
+
     def best(self) -> tuple[np.ndarray, np.ndarray]:
-        """(largest value left, its step), per text."""
-        most = np.maximum.reduceat(self.left, self.first[:-1])
-        size = np.diff(self.first)
-        hit = np.flatnonzero(self.left == np.repeat(most, size))
-        doc = np.searchsorted(self.first, hit, "right") - 1
-        step = np.zeros(len(size), np.int64)
-        step[doc[::-1]] = hit[::-1]
-        return most, step
+        """(largest value, its place among the sets), per text."""
+        doc, left = self.sets[0], self.sets[-1]
+        most, place = np.full(len(self.lo), -np.inf), np.zeros(len(self.lo), np.int64)
+        some = np.flatnonzero(np.diff(self.first))
+        if len(some):
+            most[some] = np.maximum.reduceat(left, self.first[some])
+            hit = np.flatnonzero(left == most.take(doc))[::-1]
+            place[doc[hit]] = hit
+        return most, place
+
+
+def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which range, number) of all numbers in ranges."""
+    size = hi - lo
+    which = np.repeat(np.arange(len(lo)), size)
+    return which, np.arange(len(which)) + (lo - np.cumsum(size) + size)[which]
 
 
 def sample_block(lattice: Lattice, texts: Sequence[str], keys: np.ndarray, k: int, seed: int
                  ) -> list[list[tuple[np.ndarray, float, float, float]]]:
-    """Per text up to ``k`` of (piece numbers, log probability, perturbed value, inclusion score), best first."""
+    """Per text up to ``k`` of (piece numbers, log probability, perturbed value, inclusion score), best first.
+
+    The draws that lead from a unit's start to its end depend on the sample's number and the unit, not on what came before. So
+    all samples walk through all units together, and a sample takes what follows the unit in which it branches."""
     codes, head, n_units = _units(texts)
     kind = lattice.units(codes, head, np.append(head[1:], len(codes)))
-    docs = np.arange(len(texts))
+    docs, n_heads = np.arange(len(texts)), len(head)
     text_of_unit = np.repeat(docs, n_units)
-    first_unit = np.cumsum(n_units) - n_units
+    first_unit = np.append(0, np.cumsum(n_units))
     start = lattice.first[kind]
     stop = start + lattice.size[kind]
     keys = keys.astype(np.uint64)
     chance, rest = lattice.chance.ravel(), lattice.rest.ravel()
-
-    def made(number: int, unit: np.ndarray, edge: np.ndarray, first: np.ndarray, value: np.ndarray, old: np.ndarray) -> _Path:
-        """A path from its steps; sets that leave it are drawn from step ``old`` of each text on."""
-        doc = np.repeat(docs, np.diff(first))
-        log = np.log(chance.take(edge).astype(np.float64))
-        run = np.cumsum(log)
-        before = run - log
-        before -= np.repeat(before[first[:-1]], np.diff(first))
-        step = np.arange(len(edge)) - first[:-1][doc]
-        new = np.flatnonzero(step >= old[doc])
-        own, left = doc[new], np.full(len(edge), -np.inf)
+    local = (np.arange(n_heads) - first_unit[text_of_unit]).astype(np.uint64) * np.uint64(64)
+
+    def walked(units: np.ndarray, at: np.ndarray, numbers: Sequence[int]):
+        """Walks from the characters ``at`` of units, once for each number."""
+        base = np.concatenate([_stream(seed, keys, n * 2 + 2)[text_of_unit[units]] + local[units] for n in numbers])
+        return lattice.walk(np.tile(at, len(numbers)), np.tile(stop[units], len(numbers)),
+                            lambda w, s: _uniform(base.take(w) + np.uint64(s)))
+
+    # By number: edges, where each unit's begin, and the log probability lost before each edge.
+    walks: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    every, together = np.arange(n_heads), max(1, WALKED // n_heads)
+    for lo in range(0, k, together):
+        numbers = range(lo, min(lo + together, k))
+        edges, first = walked(every, start, numbers)
+        for i in range(len(numbers)):
+            own = first[i * n_heads:(i + 1) * n_heads + 1]
+            edge = edges[own[0]:own[-1]]
+            lost = np.zeros(len(edge) + 1)
+            np.cumsum(-np.log(chance.take(edge).astype(np.float64)), out=lost[1:])
+            walks.append((edge, own - own[0], lost))
+        del edges
+
+    def drawn(number: int, doc: np.ndarray, value: np.ndarray, place: np.ndarray, log_mass: np.ndarray) -> np.ndarray:
+        """Values of sets, below the value of the set that they are part of."""
+        out = np.full(len(doc), -np.inf)
+        some = np.flatnonzero(np.isfinite(log_mass))
+        own = doc[some]
+        noise = _gumbel(_uniform(_stream(seed, keys, number * 2 + 1)[own] + place[some]))
+        out[some] = -np.logaddexp(-value[own], -(log_mass[some] + noise))
+        return out
+
+    def log_rest(edge: np.ndarray) -> np.ndarray:
         with np.errstate(divide="ignore"):
-            place = before[new] + np.log(rest.take(edge[new]).astype(np.float64))
-        drawn = place + _gumbel(_uniform(_stream(seed, keys, number * 2 + 1)[own] + step[new].astype(np.uint64)))
-        some = np.isfinite(place)
-        left[new[some]] = -np.logaddexp(-value[own[some]], -drawn[some])
-        return _Path(first, unit, edge, value, before, left, np.add.reduceat(log, first[:-1]))
-
-    def walked(units: np.ndarray, at: np.ndarray, number: int):
-        doc = text_of_unit[units]
-        base = _stream(seed, keys, number * 2 + 2)[doc] + (units - first_unit[doc]).astype(np.uint64) * np.uint64(64)
-        return lattice.walk(at, stop[units], lambda w, s: _uniform(base[w] + np.uint64(s)))
-
-    every = np.arange(len(head))
-    which, edge = walked(every, start, 0)
-    first = np.append(np.searchsorted(text_of_unit[which], docs), len(which))
+            return np.log(rest.take(edge).astype(np.float64))
+
+    def draw_tail(path: _Path, number: int, own: np.ndarray, floor: float) -> None:
+        """Values for the steps of texts ``own`` from ``near`` on whose log probability before is ``floor`` or more."""
+        edges, unit_first, lost = walks[number]
+        lo, hi = path.near[own], path.hi[own]
+        upto = lost[path.lo[own]] + path.start[own]  # the log probability before a step is this less what is lost
+        till = np.clip(np.searchsorted(lost, upto - floor, "right"), lo, hi) if floor > -np.inf else hi
+        which, at = _ranges(lo, till)
+        doc, edge = own[which], edges[at]
+        step = at - path.lo[doc] + np.array([len(path.head.get(d, ())) for d in own.tolist()], np.int64)[which]
+        before = upto[which] - lost[at]
+        path.add(doc, step, np.searchsorted(unit_first, at, "right") - 1, edge, before,
+                 drawn(number, doc, path.value, step.astype(np.uint64), before + log_rest(edge)))
+        path.near[own] = till
+        path.far[own] = np.where(till < hi, upto - lost[till] + MOST_GUMBEL, -np.inf)
+
+    def found(paths: list[_Path]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(value, path, place among its sets) of each text's best set; values that may matter are drawn first."""
+        best = [p.best() for p in paths]
+        most = np.max([m for m, _ in best], axis=0)
+        for number, p in enumerate(paths):
+            late = np.flatnonzero((p.far > -np.inf) & (p.far >= most))
+            if len(late):
+                draw_tail(p, number, late, -np.inf)
+                best[number] = p.best()
+        values = np.stack([m for m, _ in best])
+        source = values.argmax(axis=0)
+        return values[source, docs], source, np.stack([x for _, x in best])[source, docs]
+
     top = _gumbel(_uniform(_stream(seed, keys, 0)))
-    paths = [made(0, which, edge, first, top, np.zeros(len(docs), np.int64))]
-    alive = np.ones(len(docs), bool)
-    taken = [np.ones(len(docs), bool)]
+    paths = [_Path(top, walks[0][1][first_unit[:-1]], walks[0][1][first_unit[1:]], {}, np.zeros(len(docs)))]
+    draw_tail(paths[0], 0, docs, -NEAR)
+    taken = [docs]
     bound = np.full(len(docs), -np.inf)
+    alive = np.ones(len(docs), bool)
     for number in range(1, k + 1):
-        found = [p.best() for p in paths]
-        values = np.stack([np.where(t, m, -np.inf) for (m, _), t in zip(found, taken)])
-        source = values.argmax(axis=0)
-        value = values[source, docs]
-        alive = alive & (value > -np.inf)
-        if number == k:
-            bound = value
-            break
-        old_first = [p.first for p in paths]
-        pick = np.stack([s for _, s in found])[source, docs]
-        alt, gone = np.zeros(len(docs), np.int64), {}
-        place = np.zeros(len(docs), np.int64)
+        value, source, pick = found(paths)
+        alive &= value > -np.inf
         live = docs[alive]
-        if not len(live):
+        if number == k or not len(live):
             bound = value
             break
-        for d in live.tolist():
-            p, s = paths[source[d]], pick[d]
-            gone[d] = [*(p.gone[d] if p.branch.get(d) == s else ()), int(p.edge[s])]
-            place[d] = s - old_first[source[d]][d]
-            p.left[s] = -np.inf
+        gone, heads = {}, {}
+        place, branch_unit, before = np.zeros(len(live), np.int64), np.zeros(len(live), np.int64), np.zeros(len(live))
+        for i, (d, n, s) in enumerate(zip(live.tolist(), source[live].tolist(), pick[live].tolist())):
+            p = paths[n]
+            _, step, unit, edge, prob, left = p.sets
+            place[i], branch_unit[i], before[i] = step[s], unit[s], prob[s]
+            gone[d] = [*(p.gone[d] if p.branch.get(d) == step[s] else ()), int(edge[s])]
+            left[s] = -np.inf
         # Another edge at the character where each text's path branches, by the chances of those that are not gone.
         node = np.array([gone[d][-1] for d in live.tolist()]) // WIDTH
         open_ = lattice.chance.take(node, axis=0)
@@ -365,51 +434,55 @@ def sample_block(lattice: Lattice, texts: Sequence[str], keys: np.ndarray, k: in
         turn = _uniform(_stream(seed, keys[live], number * 2 + 2) + FAR) * mass[:, -1]
         right = (open_ > 0) & (mass >= turn[:, None])
         length = np.where(right.any(axis=1), right.argmax(axis=1), WIDTH - 1 - (open_[:, ::-1] > 0).argmax(axis=1))
-        alt[live] = node * WIDTH + length
+        alt = node * WIDTH + length
         open_[np.arange(len(live)), length] = 0
         others = np.cumsum(open_, axis=1)[:, -1]
-        for d in live.tolist():
-            gone[d].append(int(alt[d]))
-        branch_unit = np.array([paths[source[d]].unit[pick[d]] for d in live])
-        # The rest of the unit in which the path branches, and all units after it.
-        counts = first_unit[live] + n_units[live] - branch_unit
-        units = np.repeat(branch_unit - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-        nodes = start[units].copy()
-        nodes[np.cumsum(counts) - counts] = alt[live] // WIDTH + alt[live] % WIDTH + 1
-        which, tail = walked(units, nodes, number)
-        tail_unit = units[which]
-        cut = np.append(np.searchsorted(text_of_unit[tail_unit], docs), len(tail_unit))
-        steps_u, steps_e, length = [], [], np.zeros(len(docs), np.int64)
-        for d in docs:
-            if alive[d]:
-                p = paths[source[d]]
-                lo, s = p.first[d], pick[d]
-                steps_u += [p.unit[lo:s + 1], tail_unit[cut[d]:cut[d + 1]]]
-                steps_e += [p.edge[lo:s], alt[d:d + 1], tail[cut[d]:cut[d + 1]]]
-                length[d] = s - lo + 1 + cut[d + 1] - cut[d]
-            else:  # a stand-in of one step that is not looked at
-                steps_u.append(paths[0].unit[paths[0].first[d]:paths[0].first[d] + 1])
-                steps_e.append(paths[0].edge[paths[0].first[d]:paths[0].first[d] + 1])
-                length[d] = 1
-        first = np.append(0, np.cumsum(length))
-        path = made(number, np.concatenate(steps_u), np.concatenate(steps_e), first, value, place + 1)
+        # The rest of the unit in which the path branches, on from there.
+        tail, tail_first = walked(branch_unit, node + length + 1, [number])
+        edges, unit_first, lost = walks[number]
+        for i, d in enumerate(live.tolist()):
+            p = paths[source[d]]
+            old = p.head.get(d, alt[:0])
+            more = p.lo[d] + place[i] - len(old)
+            heads[d] = np.concatenate([old[:place[i]], walks[source[d]][0][p.lo[d]:max(more, p.lo[d])], alt[i:i + 1],
+                                       tail[tail_first[i]:tail_first[i + 1]]])
+        lo, hi = (np.zeros(len(docs), np.int64) for _ in range(2))
+        lo[live], hi[live] = unit_first[branch_unit + 1], unit_first[first_unit[live + 1]]
+        log = np.log(chance.take(tail).astype(np.float64))
+        run = np.append(0, np.cumsum(log))
+        after = before + np.log(chance.take(alt).astype(np.float64))
+        start_ = np.zeros(len(docs))
+        start_[live] = after + run[tail_first[1:]] - run[tail_first[:-1]]
+        path = _Path(value, lo, hi, heads, start_)
         # What is left where it branched: all edges but those gone.
-        step = first[live] + place[live]
         with np.errstate(divide="ignore"):
-            drawn = path.before[step] + np.log(others) + _gumbel(_uniform(_stream(seed, keys[live], number * 2 + 1) + FAR))
-        some = others > 0
-        path.left[step[some]] = -np.logaddexp(-value[live][some], -drawn[some])
-        for d, s in zip(live.tolist(), step.tolist()):
-            path.gone[d], path.branch[d] = gone[d][:-1], s
+            left = drawn(number, live, value, np.full(len(live), FAR), before + np.log(others))
+        path.add(live, place, branch_unit, alt, before, left)
+        which, at = _ranges(tail_first[:-1], tail_first[1:])
+        step = place[which] + 1 + at - tail_first[which]
+        inner = after[which] + run[at] - run[tail_first[which]]
+        path.add(live[which], step, branch_unit[which], tail, inner,
+                 drawn(number, live[which], value, step.astype(np.uint64), inner + log_rest(tail)))
+        draw_tail(path, number, live, -NEAR)
+        path.gone, path.branch = gone, dict(zip(live.tolist(), place.tolist()))
         paths.append(path)
-        taken.append(alive)
+        taken.append(live)
     out: list[list] = [[] for _ in texts]
-    for p, t in zip(paths, taken):
-        numbers, first = _spelled(lattice.vocabulary, lattice.piece.ravel()[p.edge], p.first)
-        for d in docs[t]:
-            total = float(p.total[d])
-            inclusion = float(-np.expm1(-np.exp(min(total - bound[d], 700.0)))) if bound[d] > -np.inf else 1.0
-            out[d].append((numbers[first[d]:first[d + 1]], total, float(p.value[d]), inclusion))
+    piece, parts = lattice.piece.ravel(), []
+    for p, t, (edges, _, _) in zip(paths, taken, walks):
+        tail = piece.take(edges)
+        for d in t.tolist():
+            own = tail[p.lo[d]:p.hi[d]]
+            parts.append(np.concatenate([piece.take(p.head[d]), own]) if d in p.head else own)
+    numbers, first = _spelled(lattice.vocabulary, np.concatenate(parts), np.append(0, np.cumsum([len(x) for x in parts])))
+    first, row = first.tolist(), 0
+    for p, t, (_, _, lost) in zip(paths, taken, walks):
+        total = (p.start + lost[p.lo] - lost[p.hi])[t]
+        least = bound[t]
+        inclusion = np.where(least > -np.inf, -np.expm1(-np.exp(np.minimum(total - least, 700.0))), 1.0)
+        for d, *facts in zip(t.tolist(), total.tolist(), p.value[t].tolist(), inclusion.tolist()):
+            out[d].append((numbers[first[row]:first[row + 1]], *facts))
+            row += 1
     return out
 
 
@@ -418,18 +491,34 @@ def _spelled(v: Vocabulary, pieces: np.ndarray, first: np.ndarray) -> tuple[np.n
     bare = np.flatnonzero(pieces < 0)
     if not len(bare):
         return pieces, first
-    known: dict[int, np.ndarray] = {}
-    for p in np.unique(pieces[bare]).tolist():
-        char = chr(SPACE) if -1 - p == LITERAL else chr(-1 - p)
-        known[p] = v.byte_piece[list(char.encode("utf-8", "surrogatepass"))]
+    kinds, kind = np.unique(pieces[bare], return_inverse=True)
+    chars = [chr(SPACE) if -1 - p == LITERAL else chr(-1 - p) for p in kinds.tolist()]
+    known = [v.byte_piece[list(c.encode("utf-8", "surrogatepass"))] for c in chars]
+    sizes = np.array([len(b) for b in known])
+    ends = np.cumsum(sizes)
     size = np.ones(len(pieces), np.int64)
-    spelled = [known[p] for p in pieces[bare].tolist()]
-    size[bare] = [len(b) for b in spelled]
+    size[bare] = sizes[kind]
     out = np.repeat(pieces, size)
-    out[np.repeat(pieces < 0, size)] = np.concatenate(spelled)
+    out[np.repeat(pieces < 0, size)] = np.concatenate(known)[_ranges((ends - sizes)[kind], ends[kind])[1]]
     return out, np.append(0, np.cumsum(size))[first]
 
 
+def _gives_back(text: pa.Array, rows: Sequence[tuple[int, np.ndarray]], wanted: Sequence[str]) -> list[bool]:
+    """Whether the pieces of each (number, pieces) give back the text of that number; ``text``: what each piece stands for."""
+    out: list[bool] = []
+    blobs = [b" " + t.encode("utf-8", "surrogatepass") for t in wanted]
+    while len(out) < len(rows):
+        own, n = [], 0
+        while len(out) + len(own) < len(rows) and (not own or n < SPELLED):
+            own.append(rows[len(out) + len(own)])
+            n += len(own[-1][1])
+        spelled = text.take(pa.array(np.concatenate([p for _, p in own])))
+        cuts = np.frombuffer(spelled.buffers()[1], np.int32)[np.append(0, np.cumsum([len(p) for _, p in own]))].tolist()
+        data = (spelled.buffers()[2] or pa.py_buffer(b"")).to_pybytes()
+        out += [data[a:b] == blobs[d] for (d, _), a, b in zip(own, cuts, cuts[1:])]
+    return out
+
+
 def decode_pieces(v: Vocabulary, pieces: Sequence[int]) -> str:
     """The text, without the space that encoding puts before it."""
     return b"".join(map(v.text.__getitem__, pieces)).decode("utf-8", "surrogatepass")[1:]
@@ -448,7 +537,7 @@ def encode_documents(docs: DataFrame, k: int = SAMPLES, seed: int = 1, path: str
                        ("inclusion", pa.float64()), ("decoded", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(v)
+        lattice, text = Lattice(v), pa.array(v.text, pa.binary())
         for batch in batches:
             ids, keys = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False)
             for lo, hi in byte_slices(batch.column(2), BLOCK_CHARS):
@@ -458,7 +547,7 @@ def encode_documents(docs: DataFrame, k: int = SAMPLES, seed: int = 1, path: str
                 size = np.array([len(r[2]) for r in rows])
                 lists = pa.ListArray.from_arrays(np.append(0, np.cumsum(size)).astype(np.int32),
                                                  pa.array(np.concatenate([r[2] for r in rows])))
-                ok = [decode_pieces(v, r[2].tolist()) == texts[r[0]] for r in rows]
+                ok = _gives_back(text, [(r[0], r[2]) for r in rows], texts)
                 yield pa.RecordBatch.from_arrays([
                     ids.take(pa.array([lo + r[0] for r in rows])), pa.array([r[1] for r in rows], pa.int32()), lists,
                     pa.array(size, pa.int32()), *[pa.array([r[i] for r in rows]) for i in (3, 4, 5)], pa.array(ok)],

@@ -393,6 +393,54 @@ def test_sentencepiece_draws_follow_the_lattice():
         assert abs(seen / n - want) < 4 * (want / n) ** 0.5 + 2e-3
 
 
+def test_sentencepiece_draws_values_only_for_sets_that_may_matter(monkeypatch):
+    """Values are drawn for the sets near a long text's start, not for each of its pieces; the others follow when the best
+    values come down to what they can reach, with the same samples."""
+    import numpy as np
+
+    v, sizes, plain = pieces.load(), [], pieces._gumbel
+    monkeypatch.setattr(pieces, "_gumbel", lambda u: sizes.append(len(u)) or plain(u))
+    words = [f"word{i * i} " for i in range(2000)]
+    long, short = "".join(words), "several segmentations"
+    got = pieces.sample_block(pieces.Lattice(v), [long, short, ""], np.arange(3), 8, 9)
+    assert sum(len(s[0]) for s in got[0]) > 8 * 4000 and sum(sizes) < 8 * 1000
+    monkeypatch.setattr(pieces, "NEAR", 1e9)  # every set at once
+    every = pieces.sample_block(pieces.Lattice(v), [long, short, ""], np.arange(3), 8, 9)
+    sizes.clear()
+    monkeypatch.setattr(pieces, "NEAR", 0.0)  # hardly any at first, so that the others are drawn late
+    late = pieces.sample_block(pieces.Lattice(v), [long, short, ""], np.arange(3), 8, 9)
+    assert sum(sizes) > 4000
+    for a, b, c in zip(got, every, late):
+        assert [s[0].tolist() for s in a] == [s[0].tolist() for s in b] == [s[0].tolist() for s in c]
+        assert np.allclose([s[1:] for s in a], [s[1:] for s in b]) and np.allclose([s[1:] for s in a], [s[1:] for s in c])
+
+
+def test_sentencepiece_walks_all_samples_together(monkeypatch):
+    """One walk through all units for all samples; besides it only the units in which samples branch are walked."""
+    import numpy as np
+
+    v, walked, plain = pieces.load(), [], pieces.Lattice.walk
+    monkeypatch.setattr(pieces.Lattice, "walk", lambda self, at, *a: walked.append(len(at)) or plain(self, at, *a))
+    pieces.sample_block(pieces.Lattice(v), ["the same words " * 100] * 2, np.arange(2), 8, 9)
+    assert walked[0] == 2 * 301 * 8 and walked[1:] == [2] * 7
+
+
+def test_sentencepiece_checks_what_pieces_give_back(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    v = pieces.load()
+    texts = ["hello wörld", "", "▁ \n x", "hello wörld"]
+    own = [s[0][0] for s in pieces.sample_block(pieces.Lattice(v), texts, np.arange(4), 1, 9)]
+    rows = [(0, own[0]), (1, own[1]), (2, own[2]), (0, own[1]), (1, own[0]), (3, own[0][:-1]), (3, own[3])]
+    for n in (1, 1 << 18):  # pieces put together at a time
+        monkeypatch.setattr(pieces, "SPELLED", n)
+        assert pieces._gives_back(pa.array(v.text, pa.binary()), rows, texts) == [True, True, True, False, False, False, True]
+    for d, p in rows:
+        assert (pieces.decode_pieces(v, p.tolist()) == texts[d]) == pieces._gives_back(
+            pa.array(v.text, pa.binary()), [(d, p)], texts)[0]
+
+
 def test_warc_round_trip(spark):
     big = "x" * 1500
     rows = [(1, "http://a", big, "h"), (2, "http://b\nc", big, "h"), (3, None, big + "é", "h"), (4, "u", "small", "h"),
