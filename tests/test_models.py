@@ -8,6 +8,7 @@ import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
+from hindcast import queries
 from hindcast.operators import explain, metrics, models, selection
 from hindcast.plans import modelling, train
 from hindcast.session import shared_dir
@@ -243,3 +244,22 @@ def test_training_job(spark, table, tmp_path):
 
 def test_shared_folder_is_new_each_time(spark):
     assert shared_dir(spark) != shared_dir(spark)
+
+
+@pytest.fixture
+def asked(table, monkeypatch):
+    """What a registered query asks of the fits: its estimator, or the arguments of its search."""
+    calls = []
+    split = table.withColumn("group", F.when(F.col("csn") % 2 == 0, "train").otherwise("test"))
+    monkeypatch.setattr(queries, "_training", lambda spark, sf: (split, NAMES))
+    monkeypatch.setattr(models, "fit", lambda df, features, estimator: calls.append(estimator))
+    monkeypatch.setattr(modelling, "evaluate", lambda model, name, table: None)
+    monkeypatch.setattr(models, "_search", lambda df, features, estimator, points, evaluator, k_cv, *rest:
+                        (None, calls.append((estimator, points, k_cv))))
+    return calls
+
+
+def test_fixed_boosting_has_all_rounds(asked):
+    queries.QUERIES["ml_gb_fixed"](None, None)
+    boosting, = asked
+    assert (boosting.getMaxIter(), boosting.getMaxDepth(), boosting.getSubsamplingRate()) == (100, 3, 0.9)
