@@ -263,3 +263,9 @@ def test_fixed_boosting_has_all_rounds(asked):
     queries.QUERIES["ml_gb_fixed"](None, None)
     boosting, = asked
     assert (boosting.getMaxIter(), boosting.getMaxDepth(), boosting.getSubsamplingRate()) == (100, 3, 0.9)
+
+
+def test_fixed_forest_has_all_trees(asked):
+    queries.QUERIES["ml_rf_fixed"](None, None)
+    forest, = asked
+    assert (forest.getNumTrees(), forest.getMaxDepth(), forest.getImpurity()) == (200, 30, "entropy")
