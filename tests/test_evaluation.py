@@ -8,11 +8,13 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from hindcast import queries
 from hindcast.functions.beta import beta_quantile
 from hindcast.functions.draws import POISSON_CUTS, key_hash, mix32_array, poisson, poisson_array, poisson_cuts, poisson_table
 from hindcast.functions.scalars import grid_rank
 from hindcast.operators import metrics, resample, sampling, survival
 from hindcast.operators.prefix import exact_quantiles, random_rank, running_sums
+from hindcast.oracles import ORACLES
 
 
 def score_table(spark, rows, model="m"):
@@ -329,3 +331,13 @@ def test_rows_by_rank(spark):
     sample = sampling.background_sample(df, spark.range(500).withColumnRenamed("id", "draw"), 1, "csn")
     assert sample.count() == 500 and sample.columns == ["draw", "csn", "slot"]
     assert sampling.background_sample(df.limit(1), spark.range(9).withColumnRenamed("id", "draw"), 1, "csn").count() == 9
+
+
+def test_comparison_draws_all_replicates(monkeypatch):
+    """The reference's 10,000, in the query and in its SQL twin."""
+    asked = []
+    monkeypatch.setattr(queries, "_scores", lambda spark, sf: None)
+    monkeypatch.setattr(queries, "rounded", lambda df: df)
+    monkeypatch.setattr(resample, "bootstrap_compare", lambda scores, models, replicates: asked.append(replicates))
+    queries.QUERIES["bootstrap_compare"](None, None)
+    assert asked == [10_000] and "range(10000)" in ORACLES["bootstrap_compare"]
