@@ -269,3 +269,11 @@ def test_fixed_forest_has_all_trees(asked):
     queries.QUERIES["ml_rf_fixed"](None, None)
     forest, = asked
     assert (forest.getNumTrees(), forest.getMaxDepth(), forest.getImpurity()) == (200, 30, "entropy")
+
+
+def test_boosting_search_has_the_whole_space(asked):
+    """Three draws and five folds, from ensembles long enough for the rule to stop them."""
+    queries.QUERIES["ml_gb_search"](None, None)
+    (_, points, k_cv), = asked
+    assert points == models.sample_space(models.GB_SEARCH, 3) and k_cv == 5
+    assert all(p["maxIter"] > 10 * models.PATIENCE for p in points)
