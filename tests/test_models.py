@@ -277,3 +277,26 @@ def test_boosting_search_has_the_whole_space(asked):
     (_, points, k_cv), = asked
     assert points == models.sample_space(models.GB_SEARCH, 3) and k_cv == 5
     assert all(p["maxIter"] > 10 * models.PATIENCE for p in points)
+
+
+def test_forest_grid_is_whole(asked):
+    queries.QUERIES["ml_rf_grid"](None, None)
+    (_, points, k_cv), = asked
+    assert points == models.full_grid(models.RF_GRID) and len(points) == 216 and k_cv == 5
+
+
+def test_nested_forests_fit_once(table, monkeypatch):
+    """Each point gets a forest of its own size, the first trees of the largest one; the fit of a point alone is plain."""
+    rows, fits = assembler_rows(table).coalesce(1).cache(), []
+    plain = models.RandomForestClassifier._fit
+    monkeypatch.setattr(models.RandomForestClassifier, "_fit", lambda self, df: fits.append(self.getNumTrees()) or plain(self, df))
+    nested = models.NestedForests(labelCol="label", featuresCol="features", seed=42)
+    points = models._param_maps(nested, models.full_grid({"numTrees": [2, 5, 3], "maxDepth": [2, 30, None]}))
+    found = dict(nested.fitMultiple(rows, points))
+    assert fits == [5, 5] and sorted(found) == list(range(9))
+    assert [found[i].getNumTrees for i in range(9)] == [2] * 3 + [5] * 3 + [3] * 3
+    trees = lambda m: [t.toDebugString.split("\n", 1)[1] for t in m.trees]
+    whole = trees(plain(nested.copy({**points[1], nested.numTrees: 5}), rows))
+    for i, n in ((1, 2), (2, 2), (4, 5), (7, 3)):
+        assert trees(found[i]) == whole[:n] and found[i].transform(rows).where("probability IS NOT NULL").count() == 400
+    assert all(found[i].trees[0].depth <= 2 for i in (0, 3, 6))
