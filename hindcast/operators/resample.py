@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -10,43 +11,43 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hindcast.functions.draws import POISSON_CUTS, key_hash, poisson_table
+from hindcast.functions.draws import POISSON_CUTS, MovedCounts, key_hash
 from hindcast.operators.prefix import cut_points, with_range
-from hindcast.operators.sampling import CELLS, plan_resample, row_counts, with_added
+from hindcast.operators.sampling import CELLS, moves, plan_resample, with_added
 from hindcast.session import shuffle_width
 
 
 WIDTH, SEGMENT_CELLS = 256, 1 << 20  # replicates side by side; stretches times replicates
+PIECES = (1, 2, 4, 8, 16)  # rows added up as bytes: 16 counts of at most 13 each
 
 
-def _weights(streams: np.ndarray, cuts: Sequence[int]) -> Callable:
-    """Per group of rows a function of replicates ``first`` to ``last``, which gives a function of rows ``lo`` to ``hi``: what
-    each of them drew, rows by replicates."""
+@dataclass(frozen=True)
+class Weights:
+    """What rows draw by themselves: Poisson counts by the cuts, in a stream for each replicate."""
 
-    def of(pdf: pd.DataFrame) -> Callable[[int, int], Callable[[int, int], np.ndarray]]:
-        slots, table = pdf["_slot"].to_numpy(), poisson_table(cuts)
+    streams: np.ndarray
+    cuts: Sequence[int]
+
+    def added(self, pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """(replicate, row) of the draws that rows bring, by replicate."""
         lists = [x if x is not None else () for x in pdf["_extra"]] if "_extra" in pdf else []
         b = np.concatenate([*map(np.asarray, lists), []]).astype(np.int64)
         row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
         order = np.argsort(b, kind="stable")
-        b, row = b[order], row[order]
-
-        def block(first: int, last: int) -> Callable[[int, int], np.ndarray]:
-            own = slice(*np.searchsorted(b, [first, last]))
-            order = np.argsort(row[own], kind="stable")
-            at, replicate = row[own][order], b[own][order] - first
+        return b[order], row[order]
 
-            def rows(lo: int, hi: int) -> np.ndarray:
-                counts = row_counts(slots[lo:hi], streams[first:last], cuts, table).astype(np.int32)
-                some = slice(*np.searchsorted(at, [lo, hi]))
-                np.add.at(counts, (at[some] - lo, replicate[some]), 1)
-                return counts
 
-            return rows
+def _weights(streams: np.ndarray, cuts: Sequence[int]) -> Weights:
+    return Weights(streams, cuts)
 
-        return block
 
-    return of
+def _pieces(sizes: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """Runs of rows in pieces of one size, the last of each run filled up: (rows a piece, place of each row, first piece of
+    each run). The size is that with the least work; a piece costs about half as much as a row."""
+    size = min(PIECES, key=lambda p: (-(-sizes // p)).sum() * (2 * p + 1))
+    pieces = -(-sizes // size)
+    first = np.cumsum(pieces) - pieces
+    return size, np.arange(sizes.sum()) + np.repeat(first * size - (np.cumsum(sizes) - sizes), sizes), first
 
 
 def _segments(pred: np.ndarray, positive: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -58,30 +59,45 @@ def _segments(pred: np.ndarray, positive: np.ndarray) -> tuple[np.ndarray, np.nd
     return ties[new], kind[new]
 
 
-def _range_wins(replicates: int, weights: Callable) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Per group of rows: for each replicate the weights of positives and negatives, and the pairs won inside."""
+def _range_wins(replicates: int, weights: Weights) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Per group of rows: for each replicate the weights of positives and negatives, and the pairs won inside.
+
+    A stretch is a run of rows of one class, or two of them if its score has both. Runs are laid out in pieces of a few rows;
+    a piece's counts are added up as bytes, many replicates at once, and the pieces of a run are added up then.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pred", ascending=False, kind="stable")
         positive, n = pdf["label"].to_numpy() == 1, len(pdf)
-        starts, kind = _segments(pdf["pred"].to_numpy(), positive)
+        starts, _ = _segments(pdf["pred"].to_numpy(), positive)
+        stretch = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, n]))
+        # Within a stretch the positives come last, whatever other labels there are.
+        order = np.lexsort((positive, stretch))
+        pdf, positive = pdf.iloc[order], positive[order]
+        runs = np.flatnonzero(np.r_[True, (stretch[1:] != stretch[:-1]) | (positive[1:] != positive[:-1])])
+        size, place, first_piece = _pieces(np.diff(np.r_[runs, n]))
+        pieces = place[-1] // size + 1
+        slots, filled = np.zeros(pieces * size, np.uint32), np.zeros(pieces * size, bool)
+        slots[place], filled[place] = pdf["_slot"].to_numpy(), True
+        empty, of_run, won_by = np.flatnonzero(~filled), stretch[runs], positive[runs]
         width = min(WIDTH, max(1, SEGMENT_CELLS // len(starts)))
-        draw, parts = weights(pdf), []
+        counts, moved = MovedCounts(weights.cuts), moves(weights.streams)
+        (added, row), parts = weights.added(pdf), []
         for first in range(0, replicates, width):
             last = min(first + width, replicates)
-            rows = draw(first, last)
+            total = np.zeros((len(runs), last - first), np.int64)
+            step = max(1, CELLS // (last - first) // size)
+            for lo in range(0, pieces, step):
+                hi = min(lo + step, pieces)
+                w = counts(slots[lo * size:hi * size], moved[first:last])
+                w[empty[slice(*np.searchsorted(empty, [lo * size, hi * size]))] - lo * size] = 0
+                w = np.add.reduce(w.reshape(hi - lo, size, last - first), axis=1, dtype=np.uint8)
+                a, b = np.searchsorted(first_piece, lo, "right") - 1, np.searchsorted(first_piece, hi)
+                total[a:b] += np.add.reduceat(w, np.maximum(first_piece[a:b] - lo, 0), axis=0, dtype=np.int64)
+            own = slice(*np.searchsorted(added, [first, last]))
+            np.add.at(total, (np.searchsorted(runs, row[own], "right") - 1, added[own] - first), 1)
             pos, neg = (np.zeros((len(starts), last - first)) for _ in range(2))
-            step = max(1, CELLS // (last - first))
-            for lo in range(0, n, step):
-                hi = min(lo + step, n)
-                a, b = np.searchsorted(starts, lo, "right") - 1, np.searchsorted(starts, hi)
-                w, cuts = rows(lo, hi), np.maximum(starts[a:b] - lo, 0)
-                total = np.add.reduceat(w, cuts, axis=0, dtype=np.int64)
-                of_pos = np.where(kind[a:b, None] == 1, total, 0)
-                if (kind[a:b] == 3).any():
-                    of_pos = np.add.reduceat(w * positive[lo:hi, None], cuts, axis=0, dtype=np.int64)
-                pos[a:b] += of_pos
-                neg[a:b] += total - of_pos
+            pos[of_run[won_by]], neg[of_run[~won_by]] = total[won_by], total[~won_by]
             above = np.cumsum(pos, axis=0)
             total = above[-1].copy()
             above -= pos / 2
@@ -94,7 +110,7 @@ def _range_wins(replicates: int, weights: Callable) -> Callable[[pd.DataFrame],
     return run
 
 
-def _aucs(rows: DataFrame, scores: DataFrame, replicates: int, weights: Callable, ranges: int) -> DataFrame:
+def _aucs(rows: DataFrame, scores: DataFrame, replicates: int, weights: Weights, ranges: int) -> DataFrame:
     """AUC per (replicate, model) from rows (model, label, pred, _slot and what ``weights`` reads).
 
     Scores are cut into ranges; a range gives its totals and the pairs won inside it, and ranges are then added up. A

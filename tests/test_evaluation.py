@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from hindcast import queries
 from hindcast.functions.beta import beta_quantile
-from hindcast.functions.draws import POISSON_CUTS, key_hash, mix32_array, poisson, poisson_array, poisson_cuts, poisson_table
+from hindcast.functions.draws import POISSON_CUTS, MovedCounts, key_hash, mix32_array, poisson, poisson_array, poisson_cuts, poisson_table
 from hindcast.functions.scalars import grid_rank
 from hindcast.operators import metrics, resample, sampling, survival
 from hindcast.operators.prefix import exact_quantiles, random_rank, running_sums
@@ -206,6 +206,26 @@ def test_poisson_table():
         assert (poisson_array(edges, cuts) == want).all() and (poisson_array(edges, cuts, poisson_table(cuts)) == want).all()
 
 
+def test_counts_in_place_are_the_plain_ones():
+    """For all pairs, in calls of changing size, and for hashes that reach more cuts than are compared."""
+    slots, moved = (np.random.default_rng(s).integers(0, 2**32, n, dtype=np.uint32) for s, n in ((1, 700), (2, 301)))
+    for cuts in (POISSON_CUTS, poisson_cuts(0.9), poisson_cuts(0.0)):
+        counts = MovedCounts(cuts)
+        want = poisson_array(mix32_array(slots[:, None] + moved[None, :]), cuts)
+        for n in (3, 700, 1, 512):
+            assert (counts(slots[:n], moved) == want[:n]).all()
+        assert (counts(slots[:41], moved[:7]) == want[:41, :7]).all()
+        assert (sampling.column_sums(want) == want.sum(axis=0, dtype=int)).all()
+    assert poisson_array(mix32_array(slots[:, None] + moved[None, :])).max() > 5
+
+
+def test_pieces_hold_every_row_once():
+    for sizes in ([1, 1, 1], [40, 1, 17, 300], [5000], [2, 3] * 50):
+        size, place, first = resample._pieces(np.array(sizes))
+        run = np.repeat(np.arange(len(sizes)), sizes)
+        assert len(set(place)) == sum(sizes) and (np.searchsorted(first, place // size, "right") - 1 == run).all()
+
+
 def test_range_wins_over_blocks(skewed):
     """Stretches that go over several blocks of rows and scores shared by both classes, against brute force."""
     y, p = (np.tile(a, 3) for a in skewed)
